@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, neighbours, quality, topk, toxicity
+from tidemark.llm import bpe, jaccard, mixing, neighbours, quality, substrings, topk, toxicity
 from tidemark.llm.common import crc_mod
 
 
@@ -29,6 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -54,8 +62,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_mixing, op7_neighbours, op8_bpe, op9_quality, op10_topk)}
+    return {f.__name__: f for f in (op2_toxicity, op4_substrings, op5_jaccard, op6_mixing, op7_neighbours, op8_bpe, op9_quality, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op7_neighbours": neighbours.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op4_substrings": substrings.ORACLE, "op5_jaccard": jaccard.ORACLE, "op6_mixing": mixing.ORACLE, "op7_neighbours": neighbours.ORACLE, "op10_topk": topk.ORACLE}
