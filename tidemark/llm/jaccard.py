@@ -1,8 +1,8 @@
 """N-gram Jaccard join by prefix trees.
 
-Each document is the set of its distinct word n-grams. Equal sets are compared once. Rare n-grams come first in one global order (counts from a fixed-size
-sketch over all documents), and two sets that are similar enough share an n-gram of their prefixes in that order. All sets that share a prefix n-gram with the
-smallest document that has it (its hub) meet in one star: there they are stored in a compressed trie, common n-grams first, and each open set walks the trie, adding up
+Each document is the set of its distinct word n-grams. Equal sets are compared once. N-grams of rare words come first in one global order (from a fixed-size
+sketch of word counts over all documents), and two sets that are similar enough share an n-gram of their prefixes in that order. All sets that share a prefix n-gram, without a gap in their sizes that the
+bound excludes, meet in the star of the smallest of them (the hub): there they are stored in a compressed trie, common n-grams first, and each open set walks the trie, adding up
 overlaps node by node, leaving subtrees whose remaining lengths cannot reach the bound or that are linked with it already. Stars beyond a
 size are cut into chunks that each hold the hub; what is not linked with the hub then meets every chunk.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Fingerprints, Scratch, combine, mix, slices, sorted_groups, word_hashes
@@ -21,20 +21,29 @@ from tidemark.llm.components import connected_components
 
 #: Words of an n-gram; similarity in percent.
 N, PERCENT = 3, 90
-#: Buckets of the sketch of document counts (4 bytes each) and the pieces in which it is summed.
+#: Cells of the sketch of word counts (8 bytes each) and the pieces in which it is summed.
 SKETCH, PIECES = 1 << 18, 64
 #: N-grams of a chunk of a star, about.
 CHUNK = 1_500_000
 
 
-def ngram_set(text: bytes | None, n: int = N) -> np.ndarray:
-    """Sorted distinct fingerprints of a text's n-grams; with fewer words, of all its words as one; ASCII letters in lower case."""
+def ngram_set(text: bytes | None, n: int = N, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints of a text's n-grams, and how common each is expected to be (with ``counts``: the sum of its words' log counts).
+
+    With fewer than n words all of them are one n-gram; ASCII letters count in lower case.
+    """
     words = text.lower().split() if text else []
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     size = min(n, len(words))
+    hashes = word_hashes(words)
     start = np.arange(len(words) - size + 1)
-    return np.unique(Fingerprints(word_hashes(words)).spans(start, start + size))
+    grams = Fingerprints(hashes).spans(start, start + size)
+    if counts is None:
+        return np.unique(grams), np.zeros(0, np.int64)
+    grams, first = np.unique(grams, return_index=True)
+    rate = counts[_cell(hashes)]
+    return grams, sum(rate[i : len(rate) - size + 1 + i] for i in range(size))[first]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -46,16 +55,16 @@ def _cell(s: np.ndarray) -> np.ndarray:
     return (mix(s) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
 
-def document_counts(rows: DataFrame, n: int) -> np.ndarray:
-    """The sketch: how many documents have an n-gram of each cell. Of fixed size, whatever the input."""
+def word_rates(rows: DataFrame) -> np.ndarray:
+    """16 * log2 of a sketch of word counts over all texts: how often the words of each cell occur. Of fixed size, whatever the input."""
     step = SKETCH // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(SKETCH, np.int64), False
         for part in slices(batches):
-            for t in part.column(1).to_pylist():
-                np.add.at(total, _cell(ngram_set(t, n)), 1)
-                seen = True
+            words = [w for t in part.column(1).to_pylist() if t for w in t.lower().split()]
+            total += np.bincount(_cell(word_hashes(words)), minlength=SKETCH)
+            seen = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int64()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(PIECES)], pa.binary())], ["piece", "counts"])
 
@@ -71,7 +80,7 @@ def document_counts(rows: DataFrame, n: int) -> np.ndarray:
     out = np.zeros(SKETCH, np.int64)
     for piece, c in rows.select("doc_id", "text").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect():
         out[piece * step : (piece + 1) * step] = np.frombuffer(c, np.int64)
-    return out.astype(np.int32) if out.max(initial=0) < 2**31 else out
+    return (16 * np.log2(out + 1.0)).astype(np.int64)
 
 
 class Trie:
@@ -115,36 +124,44 @@ class Trie:
             stack.append(leaf)
         for k in stack:
             self.nodes[k][4] = len(sets)
-        self.low = [int(self.size[n[3] : n[4]].min()) for n in self.nodes]
-        self.high = [int(self.size[n[3] : n[4]].max()) for n in self.nodes]
+        start, self.depth, speller, self.first, self.end = (np.array([n[i] for n in self.nodes]) for i in range(5))
+        self.low = np.array([self.size[n[3] : n[4]].min() for n in self.nodes])
+        self.high = np.array([self.size[n[3] : n[4]].max() for n in self.nodes])
+        # The ranks that each node adds to its path, one node after another.
+        self.text = np.concatenate([self.rows[n[2]][n[0] : n[1]] for n in self.nodes])
+        self.to = np.cumsum(self.depth - start)
+        self.since = self.to - (self.depth - start)
+        self.last = np.array([self.rows[n[2]][n[1] - 1] if n[1] else -1 for n in self.nodes])
+        self.n_children = np.array([len(n[5]) for n in self.nodes])
+        self.at_child = np.cumsum(self.n_children) - self.n_children
+        self.child = np.array([c for n in self.nodes for c in n[5]], np.int64)
+        # Sets that end at a node come first among those below it.
+        self.ends = np.array([self.nodes[n[5][0]][3] if n[5] else n[4] for n in self.nodes])
 
     def partners(self, row: np.ndarray, percent: int, skip: np.ndarray) -> list[int]:
-        """Places of the sets that are similar to ``row``, leaving out subtrees whose sets are all in ``skip``."""
+        """Places of the sets that are similar to ``row``, leaving out subtrees whose sets are all in ``skip``; a level of the trie at a time."""
         n, found = len(row), []
         has = np.zeros(self.vocab, bool)
         has[row] = True
-        walk = [(0, 0)]
-        while walk:
-            k, overlap = walk.pop()
-            start, depth, speller, first, end, children = self.nodes[k]
-            if skip[first:end].all():
-                continue
-            if depth > start:
-                part = self.rows[speller][start:depth]
-                overlap += int(np.count_nonzero(has[part]))
-                left = n - int(np.searchsorted(row, part[-1], side="right"))
-            else:
-                left = n
+        shared = np.concatenate(([0], np.cumsum(has[self.text])))
+        open_ = np.concatenate(([0], np.cumsum(~skip)))
+        k, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(k):
+            live = open_[self.end[k]] > open_[self.first[k]]
+            k, overlap = k[live], overlap[live]
+            overlap = overlap + shared[self.to[k]] - shared[self.since[k]]
+            depth = self.depth[k]
+            left = n - np.searchsorted(row, self.last[k], side="right")
             # Of the sizes below, the best is where both remainders are used up.
-            size = min(max(depth + left, self.low[k]), self.high[k])
-            best = overlap + min(left, size - depth)
-            if (100 + percent) * best < percent * (n + size):
-                continue
-            if not children:
-                if (100 + percent) * overlap >= percent * (n + depth):
-                    found += [i for i in range(first, end) if not skip[i]]
-                continue
-            walk += [(c, overlap) for c in children]
+            size = np.clip(depth + left, self.low[k], self.high[k])
+            live = (100 + percent) * (overlap + np.minimum(left, size - depth)) >= percent * (n + size)
+            k, overlap, depth = k[live], overlap[live], depth[live]
+            hit = (self.size[self.first[k]] == depth) & ((100 + percent) * overlap >= percent * (n + depth))
+            for i, j in zip(self.first[k[hit]], self.ends[k[hit]], strict=True):
+                found += [int(x) for x in range(i, j) if not skip[x]]
+            many = self.n_children[k]
+            overlap = np.repeat(overlap, many)
+            k = self.child[np.repeat(self.at_child[k] - np.cumsum(many) + many, many) + np.arange(many.sum())]
         return found
 
 
@@ -158,16 +175,15 @@ def link_sets(sets: list[np.ndarray], percent: int, open_first: list[int], queri
     def walk(p: int) -> None:
         for q in trie.partners(trie.rows[p], percent, label == label[p]):
             if label[q] != label[p]:
-                label[label == label[q]] = label[p]
+                label[label == label[p]] = label[q]
 
     for i in open_first:
         walk(place[i])
     if queries is None:
-        main = np.bincount(label).argmax()
+        main = int(np.flatnonzero(label == np.bincount(label).argmax())[0])  # of two linked sets, one at least is walked
         for p in range(len(sets)):
-            if label[p] != main:
+            if label[p] != label[main]:
                 walk(p)
-                main = np.bincount(label).argmax() if label[p] != main and len(sets) < 64 else main
     else:
         for i in queries:
             walk(place[i])
@@ -190,17 +206,16 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    counts = document_counts(rows, n)
+    counts = word_rates(rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sizes, names, prefixes = [], [], []
             for t in part.column(1).to_pylist():
-                s = ngram_set(t, n)
+                s, c = ngram_set(t, n, counts)
                 sizes.append(len(s))
                 names.append(s.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(combine(s, s, 5)).tobytes() if len(s) else None)
                 p = len(s) - least_overlap(len(s), percent) + 1
-                c = counts[_cell(s)]
                 rare = np.argpartition(c, p - 1) if p < len(s) else np.arange(len(s))
                 if len(s):
                     rare = np.flatnonzero(c <= c[rare[:p]].max())
@@ -212,8 +227,12 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
     real = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch.save(real.groupBy("name").agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = real.join(classes, "name").where("doc_id = class_id").select("class_id", "n_shingles", F.explode("prefix").alias("gram"))
-    hubs = firsts.groupBy("gram").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").select("gram", "hub")
-    star = scratch.save(firsts.join(hubs, "gram").where("hub <> class_id").select("hub", "class_id", "n_shingles").distinct(), "star")
+    # Along the sizes of a gram's documents, a step beyond the bound parts the star: no pair across it is similar enough.
+    along = Window.partitionBy("gram").orderBy("n_shingles", "class_id")
+    before = F.lag("n_shingles").over(along)
+    opens = before.isNull() | (100 * before < percent * F.col("n_shingles"))
+    runs = firsts.withColumn("opens", opens).withColumn("hub", F.last(F.when(F.col("opens"), F.col("class_id")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    star = scratch.save(runs.where("NOT opens AND hub <> class_id").select("hub", "class_id", "n_shingles").distinct(), "star")
     sizes = star.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("chunks"))
     own = sizes.select("hub", F.col("hub").alias("class_id"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     dealt = star.join(sizes, "hub").select("hub", "class_id", "chunks", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int").alias("chunk"))
@@ -227,7 +246,7 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
         for g in sorted_groups(batches, 2):
             hub, ids, texts_ = g.column(0)[0].as_py(), g.column(2).to_numpy(), g.column(4).to_pylist()
             if len(ids) > 1:
-                label = link_sets([ngram_set(t, n) for t in texts_], percent, list(np.flatnonzero(ids == hub)[:1]))
+                label = link_sets([ngram_set(t, n)[0] for t in texts_], percent, list(np.flatnonzero(ids == hub)[:1]))
                 out += [(0, a, b, 0) for a, b in _edges(ids, label)]
                 if g.column(3)[0].as_py() > 1:
                     near = set(label[ids == hub])
@@ -264,7 +283,7 @@ def _across(rest: DataFrame, star: DataFrame, member: DataFrame, texts: DataFram
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, 3):
             ids, open_, texts_ = g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_pylist()
-            label = link_sets([ngram_set(t, n) for t in texts_], percent, [], list(np.flatnonzero(open_ == 1)))
+            label = link_sets([ngram_set(t, n)[0] for t in texts_], percent, [], list(np.flatnonzero(open_ == 1)))
             pairs = _edges(ids, label)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
