@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, mixing, neighbours, quality, substrings, topk, toxicity
+from tidemark.llm import bpe, jaccard, lines, mixing, neighbours, pseudo_lm, quality, substrings, topk, toxicity
 from tidemark.llm.common import crc_mod
 
 
@@ -22,6 +22,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -29,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op3_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"), texts=False)
 
@@ -62,8 +71,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_substrings, op5_jaccard, op6_mixing, op7_neighbours, op8_bpe, op9_quality, op10_topk)}
+    return {f.__name__: f for f in (op1_lines, op2_toxicity, op3_pseudo_lm, op4_substrings, op5_jaccard, op6_mixing, op7_neighbours, op8_bpe, op9_quality, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": substrings.ORACLE, "op5_jaccard": jaccard.ORACLE, "op6_mixing": mixing.ORACLE, "op7_neighbours": neighbours.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op1_lines": lines.ORACLE, "op4_substrings": substrings.ORACLE, "op5_jaccard": jaccard.ORACLE, "op6_mixing": mixing.ORACLE, "op7_neighbours": neighbours.ORACLE, "op10_topk": topk.ORACLE}
