@@ -21,8 +21,8 @@ from tidemark.llm.components import connected_components
 
 #: Words of an n-gram; similarity in percent.
 N, PERCENT = 3, 90
-#: Cells of the sketch of word counts (8 bytes each) and the pieces in which it is summed.
-SKETCH, PIECES = 1 << 18, 64
+#: Cells of the sketch of word counts (4 bytes each) and the pieces in which it is summed.
+SKETCH, PIECES = 1 << 20, 64
 #: N-grams of a chunk of a star, about.
 CHUNK = 1_500_000
 
@@ -42,7 +42,7 @@ def ngram_set(text: bytes | None, n: int = N, counts: np.ndarray | None = None)
     if counts is None:
         return np.unique(grams), np.zeros(0, np.int64)
     grams, first = np.unique(grams, return_index=True)
-    rate = counts[_cell(hashes)]
+    rate = counts[_cell(hashes)].astype(np.int64)
     return grams, sum(rate[i : len(rate) - size + 1 + i] for i in range(size))[first]
 
 
@@ -51,6 +51,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def shared_grams(n: int) -> int:
+    """How many n-grams of its prefix a set of n has in common with any set that is similar enough: a longer prefix makes that more than one."""
+    return 1 + n * 3 // 100
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (mix(s) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
@@ -66,21 +71,21 @@ def word_rates(rows: DataFrame) -> np.ndarray:
             total += np.bincount(_cell(word_hashes(words)), minlength=SKETCH)
             seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int64()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(PIECES)], pa.binary())], ["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int64()), pa.array([total[i * step : (i + 1) * step].astype(np.int32).tobytes() for i in range(PIECES)], pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(c, np.int64)
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(c, np.int32).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.log2(v + 1.0).tobytes() for v in sums.values()], pa.binary())], ["piece", "counts"])
 
     kind = "piece long, counts binary"
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(SKETCH)
     for piece, c in rows.select("doc_id", "text").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect():
-        out[piece * step : (piece + 1) * step] = np.frombuffer(c, np.int64)
-    return (16 * np.log2(out + 1.0)).astype(np.int64)
+        out[piece * step : (piece + 1) * step] = np.frombuffer(c, np.float64)
+    return (16 * out).astype(np.int16)
 
 
 class Trie:
@@ -215,7 +220,7 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
                 s, c = ngram_set(t, n, counts)
                 sizes.append(len(s))
                 names.append(s.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(combine(s, s, 5)).tobytes() if len(s) else None)
-                p = len(s) - least_overlap(len(s), percent) + 1
+                p = min(len(s), len(s) - least_overlap(len(s), percent) + shared_grams(len(s)))
                 rare = np.argpartition(c, p - 1) if p < len(s) else np.arange(len(s))
                 if len(s):
                     rare = np.flatnonzero(c <= c[rare[:p]].max())
@@ -229,16 +234,22 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
     firsts = real.join(classes, "name").where("doc_id = class_id").select("class_id", "n_shingles", F.explode("prefix").alias("gram"))
     # Along the sizes of a gram's documents, a step beyond the bound parts the star: no pair across it is similar enough.
     along = Window.partitionBy("gram").orderBy("n_shingles", "class_id")
-    before = F.lag("n_shingles").over(along)
+    before, after = F.lag("n_shingles").over(along), F.lead("n_shingles").over(along)
     opens = before.isNull() | (100 * before < percent * F.col("n_shingles"))
-    runs = firsts.withColumn("opens", opens).withColumn("hub", F.last(F.when(F.col("opens"), F.col("class_id")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    lone = opens & (after.isNull() | (percent * after > 100 * F.col("n_shingles")))
+    met = scratch.save(firsts.withColumn("lone", lone).where("NOT lone").drop("lone"), "met")
+    # A set with a partner meets it in as many n-grams as its smallest partner's prefix promises; sets that meet fewer have none.
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    some = met.groupBy("class_id", "n_shingles").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= 1 + F.floor(least * 3 / 100)).select("class_id")
+    runs = met.join(some, "class_id", "left_semi").withColumn("opens", opens).withColumn("hub", F.last(F.when(F.col("opens"), F.col("class_id")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     star = scratch.save(runs.where("NOT opens AND hub <> class_id").select("hub", "class_id", "n_shingles").distinct(), "star")
+    scratch.drop("met")
     sizes = star.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("chunks"))
     own = sizes.select("hub", F.col("hub").alias("class_id"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     dealt = star.join(sizes, "hub").select("hub", "class_id", "chunks", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int").alias("chunk"))
     member = scratch.save(own.union(dealt), "members")
-    texts = rows.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    placed = member.join(texts.withColumnRenamed("doc_id", "class_id"), "class_id")
+    texts = rows.withColumnRenamed("doc_id", "class_id").hint("merge")
+    placed = texts.join(member, "class_id")
 
     def in_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within each (star, chunk); kind 1 names what a cut star has left unlinked with its hub."""
@@ -278,7 +289,7 @@ def _across(rest: DataFrame, star: DataFrame, member: DataFrame, texts: DataFram
     left = rest.join(blocks, "hub").join(chunks, "hub").select("hub", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "class_id", F.lit(1).alias("open"))
     right = member.join(blocks, "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "chunk", "class_id", F.lit(0).alias("open"))
     rows = left.union(right).groupBy("hub", "block", "chunk", "class_id").agg(F.max("open").alias("open"))
-    placed = rows.join(texts.withColumnRenamed("doc_id", "class_id"), "class_id")
+    placed = texts.join(rows, "class_id")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, 3):
