@@ -21,9 +21,9 @@ from tidemark.llm.common import Scratch, slices
 #: Words with counts of their own; the most frequent of them are classes of their own, all others are hashed into the remaining classes.
 VOCABULARY, OWN, HASHED = 32_768, 40, 24
 CLASSES = OWN + HASHED
-HIDDEN, SIDE = 24, 2
-#: Every so many words, one is a training target in each round, at another place in each; all documents take part.
-STRIDE, ROUNDS = 16, 2
+HIDDEN, SIDE = 16, 2
+#: Each document trains in one round, by hash of its id; there every so many words, one is a target.
+STRIDE, ROUNDS = 8, 2
 _CACHE = 200_000
 _SHAPES = [(2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
@@ -83,9 +83,10 @@ class Lexicon:
         for k, (w, n) in enumerate(top):
             c = k if k < OWN else hashed_class(w)
             self.known[w] = (c, 0.0 if k < OWN else float(np.log(n / full[c - OWN])))
-        self.other = np.log((np.maximum(rest, 0) + 1.0) / full)
+        self.other: list[float] = np.log((np.maximum(rest, 0) + 1.0) / full).tolist()
         p = pairs.reshape(256, 256) + 0.05
-        self.spelling = np.log(p / p.sum(1, keepdims=True))
+        self.spelling: list[list[float]] = np.log(p / p.sum(1, keepdims=True)).tolist()
+        self.classes: dict[bytes, int] = {w: c for w, (c, _) in self.known.items()}
         self.fresh()
 
     def fresh(self) -> None:
@@ -105,11 +106,19 @@ class Lexicon:
             self.cls, self.logp = np.concatenate((self.cls, np.zeros_like(self.cls))), np.concatenate((self.logp, np.zeros_like(self.logp)))
         if (hit := self.known.get(word)) is None:
             c = hashed_class(word)
-            b = np.frombuffer(b"\0" + word + b"\0", np.uint8)
-            hit = c, float(self.other[c - OWN] + self.spelling[b[:-1], b[1:]].sum())
+            sum_, row, rows = self.other[c - OWN], self.spelling[0], self.spelling
+            for b in word:
+                sum_ += row[b]
+                row = rows[b]
+            hit = c, sum_ + row[0]
         self.cls[k], self.logp[k] = hit
         return k
 
+    def only_classes(self, docs: list[list[bytes]]) -> np.ndarray:
+        """Classes of all words in a row."""
+        get = self.classes.get
+        return np.array([c if (c := get(w)) is not None else hashed_class(w) for words in docs for w in words], np.int64)
+
     def look(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(classes, log P(word | class)) of all words in a row."""
         if len(self.number) > _CACHE:
@@ -171,14 +180,14 @@ class Network:
             x -= rate * g / np.sqrt(a)
 
 
-def neighbours(cls: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(2 * SIDE x words classes around each word, place of each word); beyond a document's ends stands the class CLASSES."""
-    ends = np.cumsum(lengths)
+def neighbours(cls: np.ndarray, lengths: list[int], at: np.ndarray | None = None) -> np.ndarray:
+    """2 * SIDE x words classes around each word, or those at ``at``; beyond a document's ends stands the class CLASSES."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(cls)) + SIDE * (doc + 1)
-    padded = np.full((ends[-1] if len(ends) else 0) + SIDE * (len(lengths) + 1), CLASSES, np.int64)
+    padded = np.full(len(cls) + SIDE * (len(lengths) + 1), CLASSES, np.int32)
     padded[place] = cls
-    return np.stack([padded[place + d] for d in range(-SIDE, SIDE + 1) if d]), place
+    place = place if at is None else place[at]
+    return np.stack([padded[place + d] for d in range(-SIDE, SIDE + 1) if d])
 
 
 def fit_lm(docs: DataFrame, scratch: Scratch) -> tuple[Lexicon, Network]:
@@ -211,18 +220,18 @@ def fit_lm(docs: DataFrame, scratch: Scratch) -> tuple[Lexicon, Network]:
             own_net, sums, seen = Network(start), [np.full(s, 1e-4, np.float32) for s in _SHAPES], 0
             for part in slices(batches):
                 words = [t.split() if t else [] for t in part.column(0).to_pylist()]
-                cls, _ = lexicon.look(words)
-                near, _ = neighbours(cls, [len(w) for w in words])
-                at = np.arange(r * STRIDE // ROUNDS, len(cls), STRIDE)
-                for i in range(0, len(at), 2048):
-                    own_net.step(near[:, at[i : i + 2048]], cls[at[i : i + 2048]], sums, 0.05 / (r + 1))
+                cls = lexicon.only_classes(words)
+                at = np.arange(0, len(cls), STRIDE)
+                near = neighbours(cls, [len(w) for w in words], at)
+                for i in range(0, len(at), 4096):
+                    own_net.step(near[:, i : i + 4096], cls[at[i : i + 4096]], sums, 0.05 / (r + 1))
                 seen += len(at)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(own_net.flat().astype(np.float64) * seen, seen).tobytes()], pa.binary())], ["v"])
 
-        total = summed(docs.select(F.col("text").cast("binary")).mapInArrow(train, "v binary"), np.float64)
+        total = summed(docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)), F.lit(0)) == r).select(F.col("text").cast("binary")).mapInArrow(train, "v binary"), np.float64)
         if total is None:
-            break
+            continue
         net = Network(total[:-1] / total[-1])
     return lexicon, net
 
@@ -238,7 +247,7 @@ def score_lm(docs: DataFrame, lexicon: Lexicon, net: Network) -> DataFrame:
             n = np.array([len(w) for w in words], np.int64)
             cls, logp = lexicon.look(words)
             if len(cls):
-                logp = logp + net.log_prob(neighbours(cls, list(n))[0], cls)
+                logp = logp + net.log_prob(neighbours(cls, list(n)), cls)
             ends = np.cumsum(n)
             total = np.array([logp[e - k : e].sum() for e, k in zip(ends, n, strict=True)]) if len(n) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total, pa.float64()), pa.array([s / k if k else None for s, k in zip(total, n, strict=True)], pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
