@@ -140,6 +140,20 @@ def segment_keys(lines: list[str], most: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(out_key), np.concatenate(out_line), np.concatenate(out_kind)
 
 
+def pair_marks(lines: list[str]) -> np.ndarray:
+    """64 bits for each line: the parity of the number of its pairs of neighbouring code points in each of 64 hash cells.
+
+    An edit changes four pairs at most, so lines within ``most`` edits differ in 4 * most bits at most.
+    """
+    size = np.array([len(x) for x in lines], np.int64)
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    line = np.repeat(np.arange(len(lines)), size)
+    pair = np.flatnonzero(line[1:] == line[:-1]) if len(line) else np.zeros(0, np.int64)
+    cell = (combine(text[pair], text[pair + 1], 23) >> np.uint64(58)).astype(np.int64)
+    odd = (np.bincount(line[pair] * 64 + cell, minlength=64 * len(lines)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel()
+
+
 def _printed() -> Column:
     """Whether a line holds more than white space."""
     return F.col("line").rlike(r"[^\x20\x09-\x0D]")
@@ -155,8 +169,8 @@ def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def near_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD) -> DataFrame:
     """(a: lid, b: lid) of the pairs of distinct lines within ``most`` edits, each pair once, with their first documents; ``lines``: lid, line, first_doc.
 
-    Keys go to buckets in packed blobs, by the first eight bytes of the ids. A bucket emits, for a key, each probe with each indexed line: lines with a common
-    segment of a third of their length at a place; hot keys come from families of near lines, whose pairs are what is asked for.
+    Keys go to buckets in packed blobs, with the first eight bytes of the ids and the lines' pair marks. A bucket compares, for a key, each probe with each
+    indexed line (some at a time), and only pairs whose marks allow it go on to be verified.
     """
     spark = lines.sparkSession
     size = lines.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0))).first()[0]
@@ -166,28 +180,31 @@ def near_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD) -> Dat
         for part in slices(batches, 8192):
             key, line, kind = segment_keys(part.column(1).to_pylist(), most)
             ids = np.frombuffer(b"".join(x[:8] for x in part.column(0).to_pylist()), np.int64)
-            yield _blobs((key % np.uint64(buckets)).astype(np.int64), [key, ids[line], kind])
+            marks = pair_marks(part.column(1).to_pylist())
+            yield _blobs((key % np.uint64(buckets)).astype(np.int64), [key, ids[line], kind, marks[line]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, 1):
             key, who, kind = _column(g, "a", np.uint64), _column(g, "b", np.int64), _column(g, "c", np.int8)
             order = np.lexsort((kind, key))
-            key, who, kind = key[order], who[order], kind[order]
+            key, who, kind, marks = key[order], who[order], kind[order], _column(g, "d", np.int64)[order]
             index, probe = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             low, high = np.searchsorted(key[index], key[probe], "left"), np.searchsorted(key[index], key[probe], "right")
             some = high > low
             low, high, probe = low[some], high[some], probe[some]
             for i in range(0, len(probe), 50_000):
                 n = (high - low)[i : i + 50_000]
-                a = np.repeat(who[probe[i : i + 50_000]], n)
-                b = who[index[np.repeat(low[i : i + 50_000] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
-                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+                left = np.repeat(probe[i : i + 50_000], n)
+                right = index[np.repeat(low[i : i + 50_000] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                may = (np.bitwise_count((marks[left] ^ marks[right]).view(np.uint64)) <= 4 * most) & (who[left] != who[right])
+                a, b = who[left[may]], who[right[may]]
+                a, b = np.minimum(a, b), np.maximum(a, b)
                 if len(a):
                     pair = np.unique(np.stack((a, b)), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     blobs = lines.select("lid", "line").mapInArrow(keys, "bucket long, n int, a binary, b binary, c binary, d binary")
-    pairs = scratch.save(blobs.select("bucket", "a", "b", "c").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct(), "pairs")
+    pairs = scratch.save(blobs.select("bucket", "a", "b", "c", "d").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
 
     def little(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +213,7 @@ def near_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(k), *batch.columns], ["k", "lid", "line", "first_doc"])
 
     keyed = lines.select("lid", "line", "first_doc").mapInArrow(little, "k long, lid binary, line string, first_doc long")
-    named = scratch.save(keyed.join(wanted, "k"), "named")
+    named = scratch.save(keyed.hint("merge").join(wanted, "k"), "named")
     side = lambda x: named.select(F.col("k").alias(x), F.col("lid").alias(f"{x}_lid"), F.col("line").alias(f"{x}_line"), F.col("first_doc").alias(f"{x}_doc"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.length("a_line") - F.length("b_line")) <= most)
 
@@ -236,7 +253,7 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD) -> DataFrame:
     gone = scratch.save(at.join(fates, "lid").where(F.col("shadowed") | later).groupBy("doc_id").agg(F.collect_set("lid").alias("gone")), "gone")
     names = docs.columns
     renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    joined = renamed.join(gone, renamed["id"].eqNullSafe(gone["doc_id"]), "left").select("row", "t", "gone")
+    joined = renamed.hint("merge").join(gone, renamed["id"].eqNullSafe(gone["doc_id"]), "left").select("row", "t", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
