@@ -8,6 +8,7 @@ as one exact scan of 2x2 step matrices, in chunks; what a word adds to its own a
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import bounded_batches, slices
 
 #: Labelled documents of each class that the field is fitted on, at most.
 SAMPLE = 2500
@@ -27,7 +28,7 @@ SAMPLE = 2500
 BUCKETS = 1 << 17
 CUT = 0.7
 #: Words whose potentials a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 _EDGE = b" \t\n\r\x0b\x0c.,!?;:%&$*#|\"'()[]{}<>-_"
 
 
@@ -179,31 +180,39 @@ def chain_marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
     return (both[..., 1] / both.sum(-1)).ravel()[:n]
 
 
+class _Words:
+    """What each word adds, numbered as words come; one for each worker process, so that tasks leave nothing behind."""
+
+    owner = ""
+    number: dict[bytes, int] = {}
+    adds = np.zeros((1024, 3), np.float32)
+
+    @classmethod
+    def of(cls, name: str) -> None:
+        if cls.owner != name or len(cls.number) > CACHE:
+            cls.owner, cls.number, cls.adds = name, {}, np.zeros((1024, 3), np.float32)
+
+
 class Tagger:
-    """What a worker needs: the field, and a bounded cache of what each word adds."""
+    """What a worker needs of the field."""
 
     def __init__(self, field: Field):
         self.w, self.trans, self.start = field.w.astype(np.float32), field.trans, field.start
-        self.cache: dict[bytes, int] = {}
-        self.adds = np.zeros((1024, 3), np.float32)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "adds": np.zeros((1024, 3), np.float32)}
+        self.name = uuid.uuid4().hex
 
     def _number(self, word: bytes) -> int:
-        k = self.cache[word] = len(self.cache)
-        if k >= len(self.adds):
-            self.adds = np.concatenate((self.adds, np.zeros_like(self.adds)))
-        self.adds[k] = self.w[:, features(word)].sum(1)
+        k = _Words.number[word] = len(_Words.number)
+        if k >= len(_Words.adds):
+            _Words.adds = np.concatenate((_Words.adds, np.zeros_like(_Words.adds)))
+        _Words.adds[k] = self.w[:, features(word)].sum(1)
         return k
 
     def marginals(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        get, ids = self.cache.get, []
+        _Words.of(self.name)
+        get, ids = _Words.number.get, []
         for words in docs:
             ids += [k if (k := get(w)) is not None else self._number(w) for w in words]
-        add = self.adds[np.array(ids, np.int64)].astype(float)
+        add = _Words.adds[np.array(ids, np.int64)].astype(float)
         ends = np.cumsum([len(d) for d in docs])
         first = np.zeros(len(ids), bool)
         begins = np.concatenate(([0], ends[:-1])) if docs else np.zeros(0, int)
@@ -317,4 +326,5 @@ def score_toxicity(docs: DataFrame, model: Tagger, cut: float = CUT) -> DataFram
             found = [spans(t, p) if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, ps, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(found, arrow.field("spans").type)], schema=arrow)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
