@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import bounded_batches, slices
 
 #: Stretches of each cache generation.
-CACHE = 150_000
+CACHE = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -157,4 +157,5 @@ def bpe_encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
                 cols += [pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows])]
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, T.StructType(fields))

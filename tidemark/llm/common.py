@@ -28,6 +28,13 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps the batches that go to Python workers small: texts may be long, and every batch exists several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables in the shared folder that ``spark.checkpoint.dir`` names; they cut lineage and survive lost executors.
 
@@ -36,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -177,7 +177,7 @@ def near_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD) -> Dat
     buckets = parts_for(spark, size, BUCKET_BYTES)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 8192):
+        for part in slices(batches, 1024):
             key, line, kind = segment_keys(part.column(1).to_pylist(), most)
             ids = np.frombuffer(b"".join(x[:8] for x in part.column(0).to_pylist()), np.int64)
             marks = pair_marks(part.column(1).to_pylist())
@@ -218,7 +218,7 @@ def near_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD) -> Dat
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.length("a_line") - F.length("b_line")) <= most)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4096):
+        for part in slices(batches, 512):
             a, b = part.column("a_line").to_pylist(), part.column("b_line").to_pylist()
             near = pa.array([banded_distance(x, y, most) <= most for x, y in zip(a, b, strict=True)])
             yield part.select(["a_lid", "b_lid", "a_doc", "b_doc", "a_line", "b_line"]).filter(near)
