@@ -7,6 +7,7 @@ spelling model for words outside the vocabulary. A document's score is the sum o
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ CLASSES = OWN + HASHED
 HIDDEN, SIDE = 16, 2
 #: Each document trains in one round, by hash of its id; there every so many words, one is a target.
 STRIDE, ROUNDS = 8, 2
-_CACHE = 200_000
+_CACHE = 100_000
 _SHAPES = [(2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
 
@@ -61,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for t in part.column(0).to_pylist():
                 if t:
                     seen.update(t.split())
-            if len(seen) > 300_000:
+            if len(seen) > 150_000:
                 yield out()
         if seen:
             yield out()
@@ -69,6 +70,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Words:
+    """Class and log P(word | class) by number, as words come; one for each worker process."""
+
+    owner = ""
+    number: dict[bytes, int] = {}
+    cls, logp = np.zeros(4096, np.int64), np.zeros(4096)
+
+    @classmethod
+    def of(cls, name: str) -> None:
+        if cls.owner != name or len(cls.number) > _CACHE:
+            cls.owner, cls.number, cls.cls, cls.logp = name, {}, np.zeros(4096, np.int64), np.zeros(4096)
+
+
 class Lexicon:
     """Class and log P(word | class) of each word."""
 
@@ -87,23 +101,12 @@ class Lexicon:
         p = pairs.reshape(256, 256) + 0.05
         self.spelling: list[list[float]] = np.log(p / p.sum(1, keepdims=True)).tolist()
         self.classes: dict[bytes, int] = {w: c for w, (c, _) in self.known.items()}
-        self.fresh()
-
-    def fresh(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.cls, self.logp = np.zeros(4096, np.int64), np.zeros(4096)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("number", "cls", "logp")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.fresh()
+        self.name = uuid.uuid4().hex
 
     def _add(self, word: bytes) -> int:
-        k = self.number[word] = len(self.number)
-        if k >= len(self.cls):
-            self.cls, self.logp = np.concatenate((self.cls, np.zeros_like(self.cls))), np.concatenate((self.logp, np.zeros_like(self.logp)))
+        k = _Words.number[word] = len(_Words.number)
+        if k >= len(_Words.cls):
+            _Words.cls, _Words.logp = np.concatenate((_Words.cls, np.zeros_like(_Words.cls))), np.concatenate((_Words.logp, np.zeros_like(_Words.logp)))
         if (hit := self.known.get(word)) is None:
             c = hashed_class(word)
             sum_, row, rows = self.other[c - OWN], self.spelling[0], self.spelling
@@ -111,7 +114,7 @@ class Lexicon:
                 sum_ += row[b]
                 row = rows[b]
             hit = c, sum_ + row[0]
-        self.cls[k], self.logp[k] = hit
+        _Words.cls[k], _Words.logp[k] = hit
         return k
 
     def only_classes(self, docs: list[list[bytes]]) -> np.ndarray:
@@ -121,13 +124,12 @@ class Lexicon:
 
     def look(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(classes, log P(word | class)) of all words in a row."""
-        if len(self.number) > _CACHE:
-            self.fresh()
-        get, ids = self.number.get, []
+        _Words.of(self.name)
+        get, ids = _Words.number.get, []
         for words in docs:
             ids += [k if (k := get(w)) is not None else self._add(w) for w in words]
         at = np.array(ids, np.int64)
-        return self.cls[at], self.logp[at]
+        return _Words.cls[at], _Words.logp[at]
 
 
 class Network:
