@@ -129,15 +129,18 @@ class Field:
 
     def fit(self, f: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = 6, batch: int = 512, rate: float = 0.1, decay: float = 1e-6) -> None:
         """AdaGrad over shuffled batches (fixed seed)."""
+        # Few segments are gone through more often, in smaller batches.
+        batch, epochs = min(batch, max(16, len(y) // 40)), max(epochs, 15_000 // max(len(y), 1))
+        paces = np.array([[1.0], [0.1], [0.1]])  # neighbours learn slowly, lest rare ones explain the word beside them
         rng, sums = np.random.default_rng(7), [np.full_like(x, 1e-8) for x in (self.w, self.trans, self.start)]
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for i in range(0, len(order), batch):
                 k = order[i : i + batch]
-                for x, g, s in zip((self.w, self.trans, self.start), self.gradient(f[k], y[k], on[k]), sums, strict=True):
+                for x, g, s, pace in zip((self.w, self.trans, self.start), self.gradient(f[k], y[k], on[k]), sums, (paces, 1.0, 1.0), strict=True):
                     g -= decay * x
                     s += g * g
-                    x += rate * g / np.sqrt(s)
+                    x += rate * pace * g / np.sqrt(s)
 
 
 def chain_marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
