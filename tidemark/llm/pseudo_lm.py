@@ -225,8 +225,8 @@ def fit_lm(docs: DataFrame, scratch: Scratch) -> tuple[Lexicon, Network]:
                 cls = lexicon.only_classes(words)
                 at = np.arange(0, len(cls), STRIDE)
                 near = neighbours(cls, [len(w) for w in words], at)
-                for i in range(0, len(at), 4096):
-                    own_net.step(near[:, i : i + 4096], cls[at[i : i + 4096]], sums, 0.05 / (r + 1))
+                for i in range(0, len(at), 512):
+                    own_net.step(near[:, i : i + 512], cls[at[i : i + 512]], sums, 0.1 / (r + 1))
                 seen += len(at)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(own_net.flat().astype(np.float64) * seen, seen).tobytes()], pa.binary())], ["v"])
