@@ -37,7 +37,16 @@ def normal(word: bytes) -> str:
     return word.strip(_EDGE).decode("utf-8", "replace").lower()
 
 
+#: CRC states after the letter that names a feature.
+_NAMED = [zlib.crc32(c) for c in (b"w", b"s", b"a", b"b", b"c", b"d")]
+_NO_WORD, _A_WORD = zlib.crc32(b"e") % BUCKETS, zlib.crc32(b"n") % BUCKETS
+
+
 def features(word: bytes) -> list[int]:
+    """Buckets of the word, its ending, its beginnings, and whether it is one."""
+    if word.isascii():  # bytes are letters: the same buckets without texts
+        b, crc, (w, s, *starts) = word.strip(_EDGE).lower(), zlib.crc32, _NAMED
+        return [crc(b, w) % BUCKETS, crc(b[-3:], s) % BUCKETS, *[crc(b[:k], c) % BUCKETS for k, c in enumerate(starts, 3)], _A_WORD if b else _NO_WORD]
     w = normal(word)
     named = [f"w{w}", f"s{w[-3:]}", f"a{w[:3]}", f"b{w[:4]}", f"c{w[:5]}", f"d{w[:6]}", "n" if w else "e"]
     return [zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in named]
@@ -203,18 +212,23 @@ class Tagger:
         self.w, self.trans, self.start = field.w.astype(np.float32), field.trans, field.start
         self.name = uuid.uuid4().hex
 
-    def _number(self, word: bytes) -> int:
-        k = _Words.number[word] = len(_Words.number)
-        if k >= len(_Words.adds):
+    def _learn(self, words: set[bytes]) -> None:
+        """Numbers words that the worker has not met, their potentials gathered at once."""
+        known, n = _Words.number, len(_Words.number)
+        while n + len(words) > len(_Words.adds):
             _Words.adds = np.concatenate((_Words.adds, np.zeros_like(_Words.adds)))
-        _Words.adds[k] = self.w[:, features(word)].sum(1)
-        return k
+        order = list(words)
+        for i in range(0, len(order), 4096):
+            part = order[i : i + 4096]
+            _Words.adds[n + i : n + i + len(part)] = self.w[:, np.array([features(w) for w in part])].sum(-1).T
+        known.update(zip(order, range(n, n + len(order)), strict=True))
 
     def marginals(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         _Words.of(self.name)
-        get, ids = _Words.number.get, []
-        for words in docs:
-            ids += [k if (k := get(w)) is not None else self._number(w) for w in words]
+        known = _Words.number
+        if new := {w for words in docs for w in words if w not in known}:
+            self._learn(new)
+        ids = [known[w] for words in docs for w in words]
         add = _Words.adds[np.array(ids, np.int64)].astype(float)
         ends = np.cumsum([len(d) for d in docs])
         first = np.zeros(len(ids), bool)
