@@ -35,8 +35,13 @@ def realised_volatility(window: int = 20) -> Column:
     return F.when(F.count("ret").over(w) >= max(5, window // 2), F.stddev_pop("ret").over(w)).otherwise(0.0)
 
 
-def volatility_target(vol: Column, target: float = 0.1, periods: int = 252, most: float = 3.0) -> Column:
-    return F.when(vol > 1e-9, F.least(F.lit(most), F.lit(target / math.sqrt(periods)) / vol)).otherwise(0.0)
+def volatility_target(vol: Column, target: float = 0.1, periods: int = 252) -> Column:
+    """What a position is multiplied with; 0 without volatility."""
+    return F.when(vol > 1e-9, F.lit(target / math.sqrt(periods)) / vol).otherwise(0.0)
+
+
+def sized(raw: Column, scale: Column, most: float = 1.0) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), raw * scale))
 
 
 def trend_position(z: Column, band: float = 0.5, size: float = 1.0, short: bool = True) -> Column:

@@ -12,6 +12,8 @@ from tidemark.functions import ranges
 from tidemark.functions import signals as S
 from tidemark.operators import detection as D
 from tidemark.operators import market as M
+from tidemark.operators.drift import drift_status
+from tidemark.plans import evolving as E
 from tidemark.plans import lifecycle as L
 from tidemark.sources.tables import series, table, with_seq
 
@@ -316,7 +318,7 @@ def realized_vol(spark, sf_dir):
     return M.with_returns(prices(spark, sf_dir)).select("series_id", "seq", (F.round(M.realised_volatility(), 8) + 0.0).alias("vol"))
 
 
-@query("vol_target", f"WITH {_RET}, v AS (SELECT series_id, seq, {_VOL} AS vol FROM rt) SELECT series_id, seq, round(CASE WHEN vol > 1e-9 THEN least(3, 0.1 / sqrt(252) / vol) ELSE 0 END, 6) + 0.0 AS scale FROM v")
+@query("vol_target", f"WITH {_RET}, v AS (SELECT series_id, seq, {_VOL} AS vol FROM rt) SELECT series_id, seq, round(CASE WHEN vol > 1e-9 THEN 0.1 / sqrt(252) / vol ELSE 0 END, 6) + 0.0 AS scale FROM v")
 def vol_target(spark, sf_dir):
     v = M.with_returns(prices(spark, sf_dir)).withColumn("vol", M.realised_volatility())
     return v.select("series_id", "seq", r6(M.volatility_target(F.col("vol"))).alias("scale"))
@@ -401,7 +403,7 @@ def registry_best(spark, sf_dir):
     return s.groupBy("unit").agg(F.min_by("detector", F.struct(-F.col("score"), "detector")).alias("detector"))
 
 
-@query("challenger_grid", "SELECT a::DOUBLE AS alpha, w::INTEGER AS resid_window, round(abs(a - 0.2) + abs(w - 200) / 200.0, 6) + 0.0 AS distance FROM unnest([0.05::DOUBLE, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]) AS x(a), unnest([50, 100, 200, 300, 400]) AS y(w) WHERE a <> 0.2 OR w <> 200 ORDER BY round(abs(a - 0.2), 6) + abs(w - 200) / 200.0, a, w LIMIT 5")
+@query("challenger_grid", "SELECT a::DOUBLE AS alpha, w::INTEGER AS resid_window, round(abs(a - 0.2) + abs(w - 200) / 200.0, 6) + 0.0 AS distance FROM unnest([0.05::DOUBLE, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6]) AS x(a), unnest([50, 100, 200, 400, 800]) AS y(w) WHERE a <> 0.2 OR w <> 200 ORDER BY round(abs(a - 0.2), 6) + abs(w - 200) / 200.0, a, w LIMIT 5")
 def challenger_grid(spark, sf_dir):
     return L.challenger_grid(spark, n=5).withColumn("distance", r6(F.col("distance")))
 
@@ -420,3 +422,64 @@ def tab_pivot(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     long = e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("string").alias("date"), F.explode(F.array(F.struct(F.col("value").alias("data"), F.lit("value").alias("cols")), F.struct(F.lit(0.0).alias("data"), F.lit("label").alias("cols")))).alias("c")).select("file", "date", "c.data", "c.cols")
     return pivot_channels(long).groupBy("file").agg(F.count("label").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+
+
+# Drift over time, shadows, the non-causal teacher, traders
+_MON = f"""{BASE}, q AS (SELECT series_id, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS q FROM s WHERE seq < 300 GROUP BY series_id),
+b AS (SELECT s.series_id, seq, len(list_filter(q[2:-2], lambda e: e <= value)) AS bin FROM s JOIN q USING (series_id)),
+r AS (SELECT series_id, bin, count(*) / 300.0::DOUBLE AS p FROM b WHERE seq < 300 GROUP BY ALL),
+tick AS (SELECT series_id, seq AS t FROM s WHERE seq >= 599 AND (seq + 1) % 50 = 0),
+c AS (SELECT tick.series_id, t, bin, count(*) / 300.0::DOUBLE AS p FROM tick JOIN b ON b.series_id = tick.series_id AND b.seq BETWEEN t - 299 AND t GROUP BY ALL),
+g AS (SELECT tick.series_id, tick.t, greatest(coalesce(r.p, 0), 1e-6::DOUBLE) AS rp, greatest(coalesce(c.p, 0), 1e-6::DOUBLE) AS cp FROM tick CROSS JOIN range(10) AS k(bin) LEFT JOIN r ON r.series_id = tick.series_id AND r.bin = k.bin LEFT JOIN c ON c.series_id = tick.series_id AND c.t = tick.t AND c.bin = k.bin),
+v AS (SELECT series_id, t, sum((cp - rp) * ln(cp / rp)) AS psi FROM g GROUP BY series_id, t)"""
+
+
+@query("drift_monitor", f"WITH {_MON} SELECT s.series_id, s.seq, round(coalesce(psi, 0), 6) + 0.0 AS psi, coalesce(psi > 0.25, false) AS drift, CASE WHEN psi IS NULL THEN 'warmup' WHEN psi > 0.25 THEN 'significant' WHEN psi > 0.1 THEN 'moderate' ELSE 'stable' END AS level FROM s LEFT JOIN v ON v.series_id = s.series_id AND v.t = (s.seq + 1) // 50 * 50 - 1")
+def drift_monitor(spark, sf_dir):
+    return drift_status(series(spark, sf_dir)).select("series_id", "seq", r6(F.col("psi")).alias("psi"), "drift", "level")
+
+
+@query("best_challenger", f"WITH {_SCORES}, m AS (SELECT detector, avg(score) AS score FROM sc GROUP BY detector) SELECT a.detector, round(a.score, 6) + 0.0 AS score, round(a.score - b.score, 6) + 0.0 AS delta, a.score > b.score AS beats_champion FROM m a, m b WHERE b.detector = 'd0' AND a.detector <> 'd0' ORDER BY a.score DESC, a.detector LIMIT 1")
+def best_challenger(spark, sf_dir):
+    return L.best_challenger(detector_scores(spark, sf_dir), "d0").withColumns({c: r6(F.col(c)) for c in ("score", "delta")})
+
+
+@query("shadow_scores")
+def shadow_scores(spark, sf_dir):
+    """Every candidate scores the same series in one pass; VUS of each against the labels."""
+    s, lab = series(spark, sf_dir), labels(spark, sf_dir)
+    out = None
+    for alpha, window in ((0.2, 200), (0.1, 200), (0.3, 100)):
+        one = D.residual_z(D.ewma_residuals(s, alpha), window=window).withColumn("detector", F.lit(f"a{alpha}_w{window}"))
+        out = one if out is None else out.union(one)
+    rows = D.label_points(out, lab)
+
+    def score(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("seq")
+        if not g["label"].any():
+            return pd.DataFrame(columns=["detector", "unit", "score"])
+        return pd.DataFrame([(g["detector"].iloc[0], g["series_id"].iloc[0], round(ranges.vus(g["label"], g["z"], 20, 50)[1], 6))], columns=["detector", "unit", "score"])
+
+    return rows.select("detector", "series_id", "seq", "z", "label").groupBy("detector", "series_id").applyInPandas(score, "detector string, unit string, score double")
+
+
+@query("oracle_scores")
+def oracle_scores(spark, sf_dir):
+    """The larger of two ranks: a point's worst covering window by the matrix profile, and its distance from a centred average."""
+    s = with_seq(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("u"), "ts", "event_id", "value"), "u", ["ts", "event_id"], "value")
+
+    def profile(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("seq")
+        mp = ranges.point_profile(g["value"].to_numpy(), 8)
+        return pd.DataFrame({"series_id": g["series_id"], "seq": g["seq"], "mp": mp})
+
+    mp = s.groupBy("series_id").applyInPandas(profile, "series_id string, seq long, mp double")
+    both = M.noncausal_residual(s).join(mp, ["series_id", "seq"])
+    return both.select("series_id", "seq", r6(F.greatest(L.rank01("mp"), L.rank01("robust"))).alias("score"))
+
+
+@query("evolving_trader")
+def evolving_trader(spark, sf_dir):
+    names = list(S.SIGNALS)
+    out = E.evolve_traders(E.states(prices(spark, sf_dir), names), names)
+    return out.select("series_id", "swaps", *[r6(F.col(c)).alias(c) for c in out.columns[2:]])

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.drift import Monitor
+from tidemark.operators.drift import with_level
+
 RESULT = "series_id string, seq long, value double, z double, is_anomaly boolean"
 STATE = "i long, ewma double, ring array<double>"
 
@@ -40,3 +43,17 @@ def flag_sessions(flags: DataFrame, gap: str = "10 minutes", late: str = "1 hour
     """(series_id, start, end, size) of flagged points that are less than ``gap`` apart; rows later than ``late`` are left out."""
     w = flags.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "series_id").agg(F.count(F.lit(1)).alias("size"))
     return w.select("series_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "size")
+
+
+def online_drift(stream: DataFrame, reference_size: int = 300, window: int = 300, bins: int = 10, threshold: float = 0.25, every: int = 50) -> DataFrame:
+    """``drift_status`` of a stream; the state of a series is its two windows. ``Retrainer`` takes its rows in ``foreachBatch``."""
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        seen, ref, ring, value = state.get if state.exists else (0, [], [], 0.0)
+        m = Monitor(reference_size, window, bins, every, seen, list(ref), list(ring), value)
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = [m.push(float(v)) for v in rows["value"]]
+        state.update((m.seen, m.reference, m.ring, m.value))
+        yield pd.DataFrame({"series_id": key[0], "seq": rows["seq"], "psi": pd.array(out, dtype="Float64")})
+
+    held = "seen long, reference array<double>, ring array<double>, value double"
+    return with_level(stream.groupBy("series_id").applyInPandasWithState(step, "series_id string, seq long, psi double", held, "append", "NoTimeout"), threshold)
