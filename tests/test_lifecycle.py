@@ -94,3 +94,25 @@ def test_trader_by_hand(spark):
     got = E.evolve_traders(rows, names, plan).collect()
     assert [r["series_id"] for r in got] == ["a"] and got == E.evolve_traders(rows, names, plan).collect() and got[0]["max_drawdown"] <= 0
     assert rows.where(F.size("state") != 2).isEmpty()
+
+
+def test_price_walks_agree_however_rows_lie(spark, tmp_path):
+    from tidemark.sources import tables as T
+
+    a = T.synthetic_prices(spark, 3, 500, seed=4)
+    assert a.where("value > 0").count() == 1500
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, T.synthetic_prices(spark, 3, 500, seed=4).repartition(7).collect()))
+    (tmp_path / "m.csv").write_text("file_name,dataset_name,if_univariate,train_lens,test_lens,time_steps,anomaly_rate\na.csv,X,true,10,,30,0.5\nb.csv,Y,False,x,1,2,\n")
+    got = [tuple(r)[2:] for r in T.read_channel_meta(spark, str(tmp_path / "m.csv")).orderBy("file_name").collect()]
+    assert got == [(True, 10, None, 30, 0.5), (False, None, 1, 2, None)]
+
+
+def test_store_lists(spark, tmp_path):
+    from tidemark.sources import tables as T
+
+    store = T.RunStore(spark, str(tmp_path))
+    assert store.channels(1).isEmpty() and store.signal_names(1).isEmpty()
+    run = store.begin_run("x")
+    s = spark.createDataFrame([(0, 1.0, 2.0, None)], "seq long, value double, b double, a double").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    store.write(run, s, ["b", "a"])
+    assert [r[0] for r in store.signal_names(run).collect()] == ["a", "b"] and [r[0] for r in store.channels(run).collect()] == ["value"]

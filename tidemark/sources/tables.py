@@ -60,6 +60,25 @@ def read_windows_json(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("series_id", "window_id", at(0).alias("w_start"), at(1).alias("w_end"))
 
 
+def read_channel_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, dataset_name, if_univariate, train_lens, test_lens, time_steps, anomaly_rate) of a description file; what does not parse is null."""
+    raw = spark.read.csv(path, header=True)
+    whole = [F.expr(f"try_cast(try_cast(trim({c}) AS double) AS int)").alias(c) for c in ("train_lens", "test_lens", "time_steps")]
+    return raw.select("file_name", "dataset_name", (F.upper(F.trim("if_univariate")) == "TRUE").alias("if_univariate"), *whole, F.expr("try_cast(trim(anomaly_rate) AS double)").alias("anomaly_rate"))
+
+
+def synthetic_prices(spark: SparkSession, series: int, n: int, seed: int = 0, drift: float = 0.0002, vol: float = 0.01, start: float = 100.0) -> DataFrame:
+    """(series_id, seq, value): geometric walks whose volatility changes every 250 steps, with about one jump in 500. Hashes give the numbers, so reruns agree however rows are placed."""
+    u = lambda tag, *cols: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), *cols), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    rows = spark.range(series * n).select((F.col("id") / n).cast("long").cast("string").alias("series_id"), (F.col("id") % n).alias("seq"))
+    at = ("series_id", "seq")
+    normal = F.sqrt(-2 * F.log(u("a", *at))) * F.cos(2 * F.pi() * u("b", *at))
+    times = F.element_at(F.array(*map(F.lit, (0.5, 1.0, 1.0, 2.0, 3.0))), (u("c", "series_id", F.floor(F.col("seq") / 250)) * 5).cast("int") + 1)
+    jump = F.when(u("d", *at) < 1 / 500, F.signum(u("e", *at) - 0.5) * vol * (8 + 8 * u("f", *at))).otherwise(0.0)
+    w = Window.partitionBy("series_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("r", (normal + drift) * vol * times + jump).select("series_id", "seq", (start * F.exp(F.sum("r").over(w))).alias("value"))
+
+
 class RunStore:
     """Runs, stream values and signal scores as Parquet partitioned by run."""
 
@@ -95,6 +114,13 @@ class RunStore:
         df = self._read("signals", "seq long, ts timestamp_ntz, signal_name string, value double, channel string, run_id long")
         return df.where((F.col("run_id") == run) & (F.col("channel") == channel) & (F.col("signal_name") == name)).orderBy("seq")
 
+    def signal_names(self, run: int, channel: str = "value") -> DataFrame:
+        df = self._read("signals", "signal_name string, channel string, run_id long")
+        return df.where((F.col("run_id") == run) & (F.col("channel") == channel)).select("signal_name").distinct().orderBy("signal_name")
+
+    def channels(self, run: int) -> DataFrame:
+        return self._read("stream", "channel string, run_id long").where(F.col("run_id") == run).select("channel").distinct().orderBy("channel")
+
     def summary(self, run: int) -> DataFrame:
         if self.runs().where(F.col("run_id") == run).isEmpty():
             raise KeyError(run)
