@@ -217,6 +217,16 @@ def test_neighbours_by_brute_force(spark):
     assert neighbours.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_dense_groups_that_link_only_across(spark):
+    """20 vectors each, 0.99 inside and 0.935 across: every list of K is full of its own group."""
+    e, cos = np.eye(64), 0.935 / 0.99
+    centres = e[0], cos * e[0] + np.sqrt(1 - cos * cos) * e[1]
+    x = [np.sqrt(0.99) * centres[i // 20] + np.sqrt(0.01) * e[2 + i] for i in range(40)] + [e[50], e[51], 0.99 * e[50] + np.sqrt(1 - 0.99**2) * e[52]]
+    got = {r["vec_id"]: r for r in neighbours.near_vectors(vectors(spark, [(i, [float(c) for c in v], 1, 0, "") for i, v in enumerate(x)])).collect()}
+    assert all(got[i]["n_links"] == 39 and got[i]["component_id"] == 0 for i in range(40)) and sum(got[i]["kept"] for i in range(40)) == 1
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (40, 41, 42)] == [(1, 40), (0, 41), (1, 40)]
+
+
 def test_bpe_equals_the_library(spark, table, empty):
     from tokenizers import Tokenizer
 

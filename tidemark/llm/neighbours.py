@@ -1,7 +1,8 @@
 """Embedding near-dedup: NN-descent over the distinct vectors of each label.
 
 A first neighbour graph comes from blocks of random hyperplanes; joins of neighbours of neighbours refine it until few lists change. Edges at the
-threshold are kept. Where a list is full of such edges it is saturated: its component's members are then compared among themselves, tile by tile, so that the list holds every link.
+threshold are kept. Where a list is full of such edges it is saturated and may hide links: its vector is then compared exactly with all rows of its label in other components,
+and the members of each component among themselves, tile by tile, so that every link of a saturated vector counts.
 An audit compares a hashed sample of vectors with all rows; while its recall is low, more blocks and rounds follow.
 """
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, sorted_groups
+from tidemark.llm.common import Scratch, slices, sorted_groups
 from tidemark.llm.components import connected_components
 from tidemark.llm.topk import usable
 
@@ -143,6 +144,61 @@ def _links_within(reps: DataFrame, comps: DataFrame, threshold: float) -> DataFr
     return pairs.groupBy("comp", "i", "j").applyInPandas(tile, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _saturated(edges: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(id) of the vectors whose lists are full of edges at the threshold: further links may have been cut off."""
+    return edges.where(F.col("sim") >= threshold).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("a").alias("id"))
+
+
+def _links_across(reps: DataFrame, comps: DataFrame, picked: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): links of the picked vectors with rows of other components, exactly; a names the component of the picked one.
+
+    The picked vectors of a component lie in tiles, each with a centre and the largest angle to it. A row meets a tile unless its angle to the centre
+    excludes every link (triangle inequality), so a dense group costs other rows one product a tile.
+    """
+    named = reps.join(comps, reps["id"] == comps["node"], "left").select("id", "lab", "v", F.coalesce("component", "id").alias("comp"), (F.octet_length("v") / 8).cast("int").alias("dim"))
+    named = scratch.save(named, f"{name}-named")
+    own = named.join(picked, "id", "left_semi")
+    tiles = own.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    placed = scratch.save(own.join(tiles, "comp").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles"))), f"{name}-placed")
+
+    def centre(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        x = _rows(g["v"])
+        c = x.sum(0)
+        c = c / np.sqrt(c @ c) if c @ c > 1e-12 else x[0]
+        far = np.arccos(np.clip((x @ c).min(), -1, 1)) + np.arccos(np.clip(threshold, -1, 1))
+        return pd.DataFrame({"lab": [key[0]], "dim": [key[1]], "comp": [key[2]], "t": [key[3]], "c": [c.tobytes()], "low": [np.cos(far) - 1e-7 if far < np.pi else -2.0]})
+
+    centres = scratch.save(placed.groupBy("lab", "dim", "comp", "t").applyInPandas(centre, "lab long, dim int, comp long, t long, c binary, low double"), f"{name}-centres")
+    groups = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = named.groupBy("lab", "dim").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("shards")).join(centres.groupBy("lab", "dim").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks")), ["lab", "dim"])
+    many = scratch.save(many.withColumn("groups", F.least("shards", F.lit(groups).cast("long"))), f"{name}-many")
+    shards = named.join(many, ["lab", "dim"]).groupBy("lab", "dim", "groups", F.pmod(F.xxhash64("id"), F.col("shards")).alias("s")).agg(F.collect_list(F.struct("id", "comp", "v")).alias("rows"))
+    blocks = centres.join(many, ["lab", "dim"]).groupBy("lab", "dim", "groups", F.pmod(F.xxhash64("comp", "t"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("comp", "t", "c", "low")).alias("tiles"))
+    dealt = shards.withColumn("g", F.pmod(F.col("s"), F.col("groups"))).join(blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups"), ["lab", "dim", "g"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            rows, tile = pd.DataFrame(part.column(0)[0].as_py()), pd.DataFrame(part.column(1)[0].as_py())
+            hit = (_rows(rows["v"]) @ _rows(tile["c"]).T >= tile["low"].to_numpy()) & (rows["comp"].to_numpy()[:, None] != tile["comp"].to_numpy())
+            i, j = np.nonzero(hit)
+            for at in range(0, len(i), 4 * TILE):
+                a, b = i[at : at + 4 * TILE], j[at : at + 4 * TILE]
+                yield pa.RecordBatch.from_arrays([pa.array(tile["comp"].to_numpy()[b]), pa.array(tile["t"].to_numpy()[b]), pa.array(rows["id"].to_numpy()[a]), pa.array(rows["v"].to_numpy()[a], pa.binary())], ["comp", "t", "id", "v"])
+
+    met = scratch.save(dealt.select("rows", "tiles").mapInArrow(near, "comp long, t long, id long, v binary"), f"{name}-met")
+    pieces = met.groupBy("comp", "t").agg(F.ceil(F.count(F.lit(1)) / (4 * TILE)).alias("pieces"))
+    left = placed.join(pieces, ["comp", "t"]).select("comp", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "id", "v", F.lit(True).alias("own"))
+    right = met.join(pieces, ["comp", "t"]).select("comp", "t", F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece"), "id", "v", F.lit(False).alias("own"))
+
+    def linked(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        mine, other = g[g["own"]], g[~g["own"]]
+        # A tile's vectors share a component, so one link joins the other row to all of them.
+        hit = (_rows(mine["v"]) @ _rows(other["v"]).T >= threshold).any(0) if len(mine) and len(other) else np.zeros(len(other), bool)
+        return pd.DataFrame({"a": key[0], "b": other["id"].to_numpy()[hit]}).astype("int64")
+
+    return scratch.save(left.union(right).groupBy("comp", "t", "piece").applyInPandas(linked, "a long, b long").distinct(), f"{name}-across")
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, audit: bool = True) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -184,6 +240,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
                 break
         strong = edges.where(F.col("sim") >= threshold).select("a", "b")
         comps = connected_components(strong, scratch, f"cc{go}")
+        across = _links_across(reps, comps, _saturated(edges, threshold, k), threshold, scratch, f"sat{go}")
+        if not across.isEmpty():
+            comps = connected_components(strong.union(across), scratch, f"cs{go}")
         if not audit or n == 0 or go == TRIES - 1:
             break
         # Links inside a component are all counted below, so the audit asks whether the ends of a link share one.
