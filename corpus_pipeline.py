@@ -32,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates. Rows with a null id stay."""
-    kept = jaccard.similar_sets(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the smallest id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more. Rows with a null id stay."""
+    kept = jaccard.similar_sets(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 

@@ -28,3 +28,12 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    """A tail cut off (85% shared) and one changed word of 50: 0.8 or more by five words, below 0.9 by three."""
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(50)]
+    texts = [a, a[:170], b, [*b[:25], "other", *b[26:]], a[:150]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.one_of_each(spark, docs.where("doc_id < 4"), SF).collect()) == [0, 2]
+    assert sorted(r["doc_id"] for r in P.one_of_each(spark, docs.where("doc_id IN (0, 4)"), SF).collect()) == [0, 4]
