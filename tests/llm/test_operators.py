@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, components, jaccard, lines, mixing, neighbours, pseudo_lm, quality, substrings, topk, toxicity
 from tidemark.llm.common import Scratch
@@ -227,6 +228,22 @@ def test_dense_groups_that_link_only_across(spark):
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in (40, 41, 42)] == [(1, 40), (0, 41), (1, 40)]
 
 
+def test_small_groups_beside_a_hot_one(spark, monkeypatch):
+    """The search finds the hot group only: its links must not outvote five pairs, after the last try either."""
+    e = np.eye(160)
+    x = [np.sqrt(0.99) * e[0] + np.sqrt(0.01) * e[1 + i] for i in range(100)] + [y for i in range(5) for y in (e[110 + i], 0.95 * e[110 + i] + np.sqrt(1 - 0.95**2) * e[120 + i])]
+    found = spark.createDataFrame([(a, (a + d) % 100, 0.99) for a in range(100) for d in range(1, 9)], neighbours.EDGE)
+    monkeypatch.setattr(neighbours, "_block_edges", lambda *a, **b: found)
+    monkeypatch.setattr(neighbours, "TRIES", 1)
+    got = {r["vec_id"]: r for r in neighbours.near_vectors(vectors(spark, [(i, [float(c) for c in v], 1, 0, "") for i, v in enumerate(x)])).collect()}
+    assert all(got[i]["n_links"] == 99 for i in range(100)) and all((got[i]["n_links"], got[i]["component_id"]) == (1, i - i % 2) for i in range(100, 110))
+
+
+def test_trees_grow_with_the_label(spark):
+    sizes = neighbours._label_sizes(spark.range(1 << 20).select((F.col("id") == 0).cast("long").alias("lab")), 0.93)
+    assert {r["lab"]: (r["bits"], r["trees"]) for r in sizes.collect()} == {1: (0, 4), 0: (12, 15)}
+
+
 def test_bpe_equals_the_library(spark, table, empty):
     from tokenizers import Tokenizer
 

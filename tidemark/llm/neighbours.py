@@ -3,7 +3,8 @@
 A first neighbour graph comes from blocks of random hyperplanes; joins of neighbours of neighbours refine it until few lists change. Edges at the
 threshold are kept. Where a list is full of such edges it is saturated and may hide links: its vector is then compared exactly with all rows of its label in other components,
 and the members of each component among themselves, tile by tile, so that every link of a saturated vector counts.
-An audit compares a hashed sample of vectors with all rows; while its recall is low, more blocks and rounds follow.
+An audit compares vectors drawn by hash from components of every size with all rows; while its recall is low anywhere, more blocks and rounds follow, and after the
+last of them every vector is compared exactly.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.topk import usable
 
 K = 8
-TREES = 4
+#: The first graph has TREES trees at least; in large labels so many that a pair at the threshold shares a block of one of them but for a chance of APART.
+TREES, APART = 4, 0.03
 #: Vectors of a block of the first graph, and of a tile.
 LEAF, TILE = 256, 512
-#: Vectors of the audit, and the recall below which more rounds follow.
-AUDIT, RECALL, TRIES = 128, 0.97, 3
+#: Vectors of the audit from each range of component sizes, about, and the recall below which more rounds follow.
+AUDIT, RECALL, TRIES = 512, 0.97, 3
 
 
 def _rows(vectors: pd.Series) -> np.ndarray:
@@ -54,15 +56,22 @@ def _keep_best(edges: DataFrame, k: int) -> DataFrame:
 EDGE = "a long, b long, sim double"
 
 
-def _block_edges(reps: DataFrame, sizes: DataFrame, dim_seed: int, trees: int, k: int, first_tree: int = 0) -> DataFrame:
-    """Best k partners of each vector within blocks of random hyperplanes; blocks beyond 2 * LEAF are dealt by hash into pieces."""
+def _label_sizes(reps: DataFrame, threshold: float) -> DataFrame:
+    """(lab, bits, trees): a pair at the threshold falls on one side of a plane with the chance ``side``, of all planes of a tree with side ** bits."""
+    side = 1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi
+    bits = reps.groupBy("lab").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / LEAF))).cast("int").alias("bits"))
+    return bits.withColumn("trees", F.greatest(F.lit(TREES), F.ceil(float(np.log(APART)) / F.log(1 - F.pow(F.lit(side), F.col("bits")))).cast("int")))
+
+
+def _block_edges(reps: DataFrame, sizes: DataFrame, dim_seed: int, times: int, k: int, first: int = 0) -> DataFrame:
+    """Best k partners of each vector within blocks of random hyperplanes, from ``times`` times its label's number of trees after the ``first`` times; blocks beyond 2 * LEAF are dealt by hash into pieces."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.to_pandas()
             parts = []
-            for dim, g in f.groupby(f["v"].map(len) // 8):
+            for (dim, trees), g in f.groupby([f["v"].map(len) // 8, "trees"]):
                 x = np.frombuffer(b"".join(g["v"]), np.float64).reshape(-1, dim)
-                for t in range(first_tree, first_tree + trees):
+                for t in range(first * trees, (first + times) * trees):
                     planes = np.random.default_rng((dim_seed, t)).normal(size=(int(dim), 24))
                     signs = (x @ planes > 0).astype(np.int64) @ (1 << np.arange(24, dtype=np.int64))
                     parts.append(pd.DataFrame({"id": g["id"], "v": g["v"], "lab": g["lab"], "bits": g["bits"], "tree": t, "dim": dim, "sig": signs}))
@@ -72,7 +81,7 @@ def _block_edges(reps: DataFrame, sizes: DataFrame, dim_seed: int, trees: int, k
                 yield pa.RecordBatch.from_pandas(p[["id", "v", "lab", "tree", "dim", "sig"]].astype({"tree": "int32", "dim": "int32"}), preserve_index=False)
 
     sized = reps.join(F.broadcast(sizes), "lab") if sizes.count() < 10_000 else reps.join(sizes, "lab")
-    keyed = sized.select("id", "v", "lab", "bits").mapInArrow(keys, "id long, v binary, lab long, tree int, dim int, sig long")
+    keyed = sized.select("id", "v", "lab", "bits", "trees").mapInArrow(keys, "id long, v binary, lab long, tree int, dim int, sig long")
     n = keyed.groupBy("lab", "tree", "dim", "sig").agg(F.count(F.lit(1)).alias("n"))
     dealt = keyed.join(n, ["lab", "tree", "dim", "sig"]).withColumn("piece", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / (2 * LEAF))))
 
@@ -222,18 +231,19 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
 
     units = scratch.save(scaled.mapInArrow(unit, "vec_id long, lab long, v binary"), "units")
     reps = scratch.save(units.groupBy("lab", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "reps")
-    sizes = scratch.save(reps.groupBy("lab").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / LEAF))).cast("int").alias("bits")), "sizes")
-    edges = scratch.save(_keep_best(_block_edges(reps, sizes, 5, TREES, k), k), "g0")
+    sizes = scratch.save(_label_sizes(reps, threshold), "sizes")
+    edges = scratch.save(_keep_best(_block_edges(reps, sizes, 5, 1, k), k), "g0")
     n = reps.count()
     step = 0
     for go in range(TRIES):
         for _ in range(4):
             found = edges.union(_descend(edges, reps, k))
             new = scratch.save(_keep_best(found, k), f"g{step + 1}")
-            # Only edges at the threshold matter in the end: the rounds stop when hardly any is new.
+            # The rounds stop when hardly any edge at the threshold is new outside saturated lists, which are compared exactly and of which a hot group has most.
             strong = new.where(F.col("sim") >= threshold)
-            fresh = strong.join(edges.select("a", "b"), ["a", "b"], "left_anti").count()
-            few = fresh <= 0.01 * strong.count()
+            open_ = strong.join(_saturated(new, threshold, k).withColumnRenamed("id", "a"), "a", "left_anti")
+            fresh = open_.join(edges.select("a", "b"), ["a", "b"], "left_anti").count()
+            few = fresh <= 0.01 * open_.count()
             scratch.drop(f"g{step}")
             edges, step = new, step + 1
             if few:
@@ -243,12 +253,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
         across = _links_across(reps, comps, _saturated(edges, threshold, k), threshold, scratch, f"sat{go}")
         if not across.isEmpty():
             comps = connected_components(strong.union(across), scratch, f"cs{go}")
-        if not audit or n == 0 or go == TRIES - 1:
+        if not audit or n == 0:
             break
         # Links inside a component are all counted below, so the audit asks whether the ends of a link share one.
-        if _audit(reps, comps, edges, threshold) >= RECALL:
+        if _audit(reps, comps, threshold) >= RECALL:
+            break
+        if go == TRIES - 1:
+            across = across.union(_links_across(reps, comps, reps.select("id"), threshold, scratch, "all"))
+            comps = connected_components(strong.union(across), scratch, "ca")
             break
-        more = _block_edges(reps, sizes, 5, 2 * TREES, k, first_tree=TREES * (2 * go + 1))
+        more = _block_edges(reps, sizes, 5, 2, k, first=2 * go + 1)
         new = scratch.save(_keep_best(edges.union(more), k), f"g{step + 1}")
         scratch.drop(f"g{step}")
         edges, step = new, step + 1
@@ -259,15 +273,21 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
     return named.union(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _audit(reps: DataFrame, comps: DataFrame, edges: DataFrame, threshold: float) -> float:
-    """Recall of the audit, a link counting as found where both ends share a component."""
+def _audit(reps: DataFrame, comps: DataFrame, threshold: float) -> float:
+    """Least recall over ranges of component sizes, a link counting as found where both ends share a component.
+
+    Every vector that has links counts alike, by the share of them that were found. Vectors alone and those in components of up to 7 form one range: what
+    the former miss is weighed against what the latter have.
+    """
     # Every pair inside a component is compared in the end: what matters is that the sample's true partners are in the sample's components.
     named = reps.join(comps, reps["id"] == comps["node"], "left").select("id", "lab", "v", F.coalesce("component", "id").alias("comp"))
-    linked = edges.where(F.col("sim") >= threshold).select("a").distinct()
-    some = pd.concat([
-        named.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(AUDIT).toPandas(),
-        named.join(linked, named["id"] == linked["a"], "left_semi").orderBy(F.xxhash64("id", F.lit(13)), "id").limit(AUDIT).toPandas(),
-    ]).drop_duplicates("id")
+    size = named.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    level = F.when(F.col("size") == 1, 0).otherwise(1 + F.floor(F.log2("size") / 3).cast("int")).alias("level")
+    count = {r["level"]: r["n"] for r in size.select(level, "size").groupBy("level").agg(F.sum("size").alias("n")).collect()}
+    step = F.lit(1)
+    for x, m in count.items():
+        step = F.when(F.col("level") == x, max(1, m // AUDIT)).otherwise(step)
+    some = named.join(size, "comp").select("id", "lab", "v", "comp", level).where(F.pmod(F.xxhash64("id", F.lit(11)), step) == 0).toPandas()
     if some.empty:
         return 1.0
     ids, labs, comp, vs = some["id"].to_numpy(), some["lab"].to_numpy(), some["comp"].to_numpy(), list(some["v"])
@@ -281,10 +301,18 @@ def _audit(reps: DataFrame, comps: DataFrame, edges: DataFrame, threshold: float
                     s = np.frombuffer(b"".join(vs[i] for i in at), np.float64).reshape(-1, dim) @ _rows(g["v"]).T
                     hit = (s >= threshold) & (labs[at][:, None] == g["lab"].to_numpy()) & (ids[at][:, None] != g["id"].to_numpy())
                     same = hit & (comp[at][:, None] == g["comp"].to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array([int(hit.sum())], pa.int64()), pa.array([int(same.sum())], pa.int64())], ["links", "found"])
-
-    links, found = named.mapInArrow(against, "links long, found long").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
-    return found / links if links else 1.0
+                    any_ = hit.any(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at][any_]), pa.array(hit.sum(1)[any_]), pa.array(same.sum(1)[any_])], ["id", "links", "found"])
+
+    seen = named.mapInArrow(against, "id long, links long, found long").groupBy("id").agg((F.sum("found") / F.sum("links")).alias("share")).toPandas()
+    some = some.drop(columns=["v"]).merge(seen, on="id", how="left")
+    linked: dict[int, float] = {}
+    found: dict[int, float] = {}
+    for x, g in some.groupby("level"):
+        each = count[x] / len(g)
+        linked[max(x, 1)] = linked.get(max(x, 1), 0) + each * g["share"].notna().sum()
+        found[max(x, 1)] = found.get(max(x, 1), 0) + each * g["share"].sum()
+    return min((found[x] / n for x, n in linked.items() if n), default=1.0)
 
 
 ORACLE = """
