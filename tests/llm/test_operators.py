@@ -134,6 +134,13 @@ def test_pseudo_likelihood(spark, empty):
     assert pseudo_lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_pseudo_likelihood_trains_on_every_word(spark):
+    """Texts of period 8: with one target in eight words, one word alone would be learned."""
+    text = " ".join(["red", "green", "blue", "black", "white", "brown", "pink", "grey"] * 15)
+    d = docs(spark, [(i, text, "s") for i in range(800)])
+    assert pseudo_lm.pseudo_likelihood(d).first()["mean_log_prob"] > -0.5
+
+
 def test_substrings_by_brute_force(spark, table, empty):
     low, n = {}, 13
     for i, t, _ in ROWS:

@@ -22,9 +22,9 @@ from tidemark.llm.common import Scratch, slices
 #: Words with counts of their own; the most frequent of them are classes of their own, all others are hashed into the remaining classes.
 VOCABULARY, OWN, HASHED = 32_768, 40, 24
 CLASSES = OWN + HASHED
-HIDDEN, SIDE = 16, 2
-#: Each document trains in one round, by hash of its id; there every so many words, one is a target.
-STRIDE, ROUNDS = 8, 2
+HIDDEN, SIDE = 24, 2
+#: Each document trains in one round, by hash of its id; there every word is a target.
+ROUNDS = 2
 _CACHE = 100_000
 _SHAPES = [(2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
@@ -182,13 +182,12 @@ class Network:
             x -= rate * g / np.sqrt(a)
 
 
-def neighbours(cls: np.ndarray, lengths: list[int], at: np.ndarray | None = None) -> np.ndarray:
-    """2 * SIDE x words classes around each word, or those at ``at``; beyond a document's ends stands the class CLASSES."""
+def neighbours(cls: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """2 * SIDE x words classes around each word; beyond a document's ends stands the class CLASSES."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(cls)) + SIDE * (doc + 1)
     padded = np.full(len(cls) + SIDE * (len(lengths) + 1), CLASSES, np.int32)
     padded[place] = cls
-    place = place if at is None else place[at]
     return np.stack([padded[place + d] for d in range(-SIDE, SIDE + 1) if d])
 
 
@@ -223,11 +222,10 @@ def fit_lm(docs: DataFrame, scratch: Scratch) -> tuple[Lexicon, Network]:
             for part in slices(batches):
                 words = [t.split() if t else [] for t in part.column(0).to_pylist()]
                 cls = lexicon.only_classes(words)
-                at = np.arange(0, len(cls), STRIDE)
-                near = neighbours(cls, [len(w) for w in words], at)
-                for i in range(0, len(at), 512):
-                    own_net.step(near[:, i : i + 512], cls[at[i : i + 512]], sums, 0.1 / (r + 1))
-                seen += len(at)
+                near = neighbours(cls, [len(w) for w in words])
+                for i in range(0, len(cls), 512):
+                    own_net.step(near[:, i : i + 512], cls[i : i + 512], sums, 0.1 / (r + 1))
+                seen += len(cls)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(own_net.flat().astype(np.float64) * seen, seen).tobytes()], pa.binary())], ["v"])
 
