@@ -246,8 +246,8 @@ def _by_series(name: str, schema: str, f) -> None:
         return rows.groupBy("series_id").applyInPandas(lambda g: f(g.sort_values("seq")), schema)
 
 
-_by_series("range_auc", "series_id string, roc double, pr double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *(round(x, 6) for x in ranges.range_auc(g["label"], g["z"], 20, 50)))], columns=["series_id", "roc", "pr"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "roc", "pr"]))
-_by_series("vus", "series_id string, roc double, pr double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *(round(x, 6) for x in ranges.vus(g["label"], g["z"], 20, 50)))], columns=["series_id", "roc", "pr"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "roc", "pr"]))
+_by_series("range_auc", "series_id string, roc double, pr double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *(round(x, 6) for x in ranges.range_auc(g["label"], g["z"], 20)))], columns=["series_id", "roc", "pr"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "roc", "pr"]))
+_by_series("vus", "series_id string, roc double, pr double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *(round(x, 6) for x in ranges.vus(g["label"], g["z"], 20)))], columns=["series_id", "roc", "pr"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "roc", "pr"]))
 _by_series("affiliation", "series_id string, precision double, recall double, f1 double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *ranges.affiliation(g["label"].to_numpy(), (g["z"] >= 2.5).to_numpy()))], columns=["series_id", "precision", "recall", "f1"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "precision", "recall", "f1"]))
 
 
@@ -446,7 +446,7 @@ def best_challenger(spark, sf_dir):
 
 @query("shadow_scores")
 def shadow_scores(spark, sf_dir):
-    """Every candidate scores the same series in one pass; VUS of each against the labels."""
+    """Every candidate scores the same series in one pass; VUS and affiliation F1 (flags from 2.5) of each against the labels."""
     s, lab = series(spark, sf_dir), labels(spark, sf_dir)
     out = None
     for alpha, window in ((0.2, 200), (0.1, 200), (0.3, 100)):
@@ -457,10 +457,10 @@ def shadow_scores(spark, sf_dir):
     def score(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
         if not g["label"].any():
-            return pd.DataFrame(columns=["detector", "unit", "score"])
-        return pd.DataFrame([(g["detector"].iloc[0], g["series_id"].iloc[0], round(ranges.vus(g["label"], g["z"], 20, 50)[1], 6))], columns=["detector", "unit", "score"])
+            return pd.DataFrame(columns=["detector", "unit", "score", "aff_f1"])
+        return pd.DataFrame([(g["detector"].iloc[0], g["series_id"].iloc[0], round(ranges.vus(g["label"], g["z"])[1], 6), round(ranges.affiliation(g["label"].to_numpy(), (g["z"] >= 2.5).to_numpy())[2], 6))], columns=["detector", "unit", "score", "aff_f1"])
 
-    return rows.select("detector", "series_id", "seq", "z", "label").groupBy("detector", "series_id").applyInPandas(score, "detector string, unit string, score double")
+    return rows.select("detector", "series_id", "seq", "z", "label").groupBy("detector", "series_id").applyInPandas(score, "detector string, unit string, score double, aff_f1 double")
 
 
 @query("oracle_scores")
