@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,25 +123,70 @@ def test_chain_marginals_are_exact():
         assert np.allclose(got[a:b], one / total)
 
 
-def test_pseudo_likelihood(spark, empty):
-    cycle = ["red", "green", "blue", "black"]
-    good = docs(spark, [(i, " ".join(cycle * 30), "s") for i in range(800)] + [(900, None, "s"), (901, "", "s")])
-    lexicon, net = pseudo_lm.fit_lm(good, Scratch(spark, "t"))
+def plain_pseudo_likelihood(texts):
+    """The counts in dictionaries, each word's window and experts one by one; the network is taken from the operator's own classes and weights."""
+    words = [(t or "").encode().split() for t in texts]
+    one, two = Counter(w for d in words for w in d), Counter(p for d in words for p in zip(d, d[1:], strict=False))
+    return words, one, two
+
+
+def test_pseudo_likelihood_by_brute_force(spark, table):
+    """Every word's probability from plain counts of the other documents, with the gates and classes of the fitted network."""
+    texts = [t for _, t, _ in ROWS]
+    blocks = pseudo_lm._blocks(table, Scratch(spark, "t"))
+    totals, pairs, net = pseudo_lm.fit_lm(blocks)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in pseudo_lm.pseudo_likelihood(table).collect()}
+    words, one, two = plain_pseudo_likelihood(texts)
+    assert totals.sum() == sum(one.values())
+    e, num, bias, out, out_bias = (p.astype(float) for p in net.parts)
+    top = sorted(one, key=lambda w: (-one[w], int(pseudo_lm.word_hashes([w])[0] & pseudo_lm._KEY)))[: pseudo_lm.OWN]
+
+    def cls(w):
+        if w in top:
+            return top.index(w)
+        is_letter = lambda b: chr(b).isalpha() or b >= 128
+        shape = 3 if not is_letter(w[0]) else 2 if not is_letter(w[-1]) else int(65 <= w[0] <= 90)
+        return pseudo_lm.OWN + sum(one[w] >= x for x in pseudo_lm.BANDS) * pseudo_lm.SHAPES + shape
+
+    for (i, _, _), d in zip(ROWS, words, strict=True):
+        mine, mine2, total, unseen = Counter(d), Counter(zip(d, d[1:], strict=False)), 0.0, 0
+        n = lambda k: one[d[k]] - mine[d[k]] if 0 <= k < len(d) else None  # noqa: B023, E731
+        n2 = lambda k: two[d[k], d[k + 1]] - mine2[d[k], d[k + 1]] if 0 <= k < len(d) - 1 else 0  # noqa: B023, E731
+        log = lambda x: -2.0 if x is None else -1.0 if x == 0 else float(np.float16(np.log(x)))
+        for k, w in enumerate(d):
+            h = np.array([log(n(k - 1)), log(n(k + 1))]) / 8 @ num + bias
+            for place, at in enumerate((k - 2, k - 1, k + 1, k + 2)):
+                h = h + e[place * (pseudo_lm.CLASSES + 1) + (cls(d[at]) if 0 <= at < len(d) else pseudo_lm.CLASSES)]
+            s = np.tanh(h) @ out + out_bias
+            g = np.exp(s[:4]) * [bool(n(k - 1)), bool(n(k + 1)), 1, 1]
+            c = np.exp(s[4:])
+            g, c = g / g.sum(), c / c.sum()
+            if n(k):
+                p = g[0] * n2(k - 1) / max(n(k - 1) or 1, 1) + g[1] * n2(k) / max(n(k + 1) or 1, 1) + g[2] * c[cls(w)] * n(k) / totals[cls(w)]
+                total += np.log(p)
+            else:
+                unseen += 1
+                total += np.log(g[3]) + sum(pairs[x, y] for x, y in zip(b"\0" + w, w + b"\0", strict=True))
+        r = got[i, len(d)]
+        assert r["log_likelihood"] == pytest.approx(total, rel=5e-3, abs=1e-6)
+        assert (r["mean_log_prob"] is None) == (not d) and (not d or r["unseen_share"] == pytest.approx(unseen / len(d)))
+
+
+def test_pseudo_likelihood_hears_order_and_not_layout(spark, empty):
+    cycle = ["red", "green", "blue", "black", "white", "brown", "pink", "grey"]
     r = random.Random(1)
-    w = cycle * 30
-    r.shuffle(w)
-    got = {x["doc_id"]: x for x in pseudo_lm.score_lm(docs(spark, [(1, " ".join(cycle * 30), "s"), (2, " ".join(w), "s"), (3, None, "s")]), lexicon, net).collect()}
-    assert got[1]["mean_log_prob"] > got[2]["mean_log_prob"] + 0.5 and got[3]["n_tokens"] == 0 and got[3]["mean_log_prob"] is None
+    mixed = cycle * 15
+    r.shuffle(mixed)
+    rows = [(i, " ".join(cycle * 15), "s") for i in range(400)] + [(900, None, "s"), (901, "", "s"), (902, " ".join(mixed), "s"), (None, "red zz\0zz", "s"), (None, "red", "s"), (903, "red", "s"), (903, "red", "s")]
+    d = docs(spark, rows)
+    got = pseudo_lm.pseudo_likelihood(d.repartition(2)).collect()
+    by = {x["doc_id"]: x for x in got}
+    assert by[1]["mean_log_prob"] > -0.5 and by[1]["mean_log_prob"] > by[902]["mean_log_prob"] + 0.5 and by[1]["context_gain"] > by[902]["context_gain"]
+    assert by[900]["n_tokens"] == by[901]["n_tokens"] == 0 and by[900]["mean_log_prob"] is None and by[900]["log_likelihood"] == 0 and len(got) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, pseudo_lm.pseudo_likelihood(d.repartition(9)).collect()))
     assert pseudo_lm.pseudo_likelihood(empty).count() == 0
 
 
-def test_pseudo_likelihood_trains_on_every_word(spark):
-    """Texts of period 8: with one target in eight words, one word alone would be learned."""
-    text = " ".join(["red", "green", "blue", "black", "white", "brown", "pink", "grey"] * 15)
-    d = docs(spark, [(i, text, "s") for i in range(800)])
-    assert pseudo_lm.pseudo_likelihood(d).first()["mean_log_prob"] > -0.5
-
-
 def test_substrings_by_brute_force(spark, table, empty):
     low, n = {}, 13
     for i, t, _ in ROWS:

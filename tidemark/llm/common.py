@@ -139,6 +139,11 @@ def parts_for(spark: SparkSession, total: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / each) + 1)
 
 
+def tasks_for(groups: int) -> int:
+    """Partitions for ``groups`` groups that a task takes one after another: one each, up to what a driver can schedule."""
+    return max(1, min(groups, 50_000))
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The groups of a partition that is sorted by its first ``keys`` (integer) columns, one table each, across batch borders."""
     held: list[pa.RecordBatch] = []

@@ -1,15 +1,22 @@
-"""Masked pseudo-likelihood: a bidirectional window network scores every word from both sides.
+"""Masked pseudo-likelihood: a bidirectional window network predicts every word from the words on both sides.
 
-P(word | neighbours) = P(class of the word | classes of two words on either side) * P(word | class). The first factor is a small network that is trained in
-numpy where the texts lie, one pass a round from common weights, which are then averaged; the second comes from word counts over all documents, with a byte-pair
-spelling model for words outside the vocabulary. A document's score is the sum of its words' conditional log probabilities.
+The network sees the classes of two words on either side and how often the two nearest words occur; from one hidden layer it gives the gates of four
+predictions of the masked word and the class distribution of the third of them:
+
+* the word after its left neighbour, and the word before its right neighbour, from counts of word pairs;
+* the word by its class: P(class | window) * P(word | class), from word counts;
+* a word that no other document has, letter by letter, by byte pairs of such words.
+
+Words and pairs are counted over all documents, whatever their number, and a document is always judged by the counts of the other ones, in training too.
+A document's score is the sum of its words' conditional log probabilities.
+
+Exchange: documents keep to hashed shards, keys of words and pairs (47 bits of a hash) travel in packed blobs to ranges of keys, counts travel back in the
+order of the keys. The shards' documents are then stored as blocks of numbers. Each block trains in one round, from common weights, in the order of its
+documents; weights are averaged as integers. So nothing depends on how rows lie.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,245 +24,346 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, slices
-
-#: Words with counts of their own; the most frequent of them are classes of their own, all others are hashed into the remaining classes.
-VOCABULARY, OWN, HASHED = 32_768, 40, 24
-CLASSES = OWN + HASHED
-HIDDEN, SIDE = 24, 2
-#: Each document trains in one round, by hash of its id; there every word is a target.
-ROUNDS = 2
-_CACHE = 100_000
-_SHAPES = [(2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
-
-
-def hashed_class(word: bytes) -> int:
-    return OWN + zlib.crc32(word) % HASHED
-
-
-def summed(df: DataFrame, kind: type) -> np.ndarray | None:
-    """Sum of the vectors (binary) in the rows of ``df``, in two streaming steps of which none holds more than one vector; None without rows."""
+from tidemark.llm.common import Scratch, combine, slices, sorted_groups, tasks_for, word_hashes
+
+#: Classes: the most frequent words, and all others by a band of their count and their shape.
+OWN, BANDS, SHAPES = 24, (2, 8, 64, 1024), 4
+CLASSES = OWN + (len(BANDS) + 1) * SHAPES
+HIDDEN, SIDE, EXPERTS = 16, 2, 4
+#: Each block of about BLOCK words trains in one round, in steps of STEP words; there every word is a target.
+ROUNDS, BLOCK, STEP = 3, 100_000, 512
+#: Text of a shard, and of a range of keys, about.
+SHARD_BYTES, RANGE_BYTES = 4e6, 12e6
+_KEY = np.uint64((1 << 48) - 2)
+_SHAPES = [(2 * SIDE * (CLASSES + 1), HIDDEN), (2, HIDDEN), (HIDDEN,), (HIDDEN, EXPERTS + CLASSES), (EXPERTS + CLASSES,)]
+_SIZES = [int(np.prod(s)) for s in _SHAPES]
+#: Weights are averaged as integers in this unit.
+_UNIT = float(1 << 20)
+REPLY = "shard long, range long, counts binary, top array<struct<key:long,n:long>>"
+BLOCKS = "block long, ids array<long>, lengths array<int>, cls binary, own binary, pair binary, novel binary, idx array<int>, n array<long>"
+
+
+def summed(df: DataFrame) -> np.ndarray | None:
+    """Sum of the vectors of integers (binary) in the rows of ``df``, in two streaming steps of which none holds more than one vector; None without rows."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for part in slices(batches, 16):
             for v in part.column(0).to_pylist():
-                total = np.frombuffer(v, kind).copy() if total is None else total + np.frombuffer(v, kind)
+                total = np.frombuffer(v, np.int64).copy() if total is None else total + np.frombuffer(v, np.int64)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     few = max(1, int(df.sparkSession.sparkContext.defaultParallelism))
     out = df.repartition(few).mapInArrow(add, "v binary").repartition(1).mapInArrow(add, "v binary").collect()
-    return np.frombuffer(bytes(out[0][0]), kind) if out else None
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; counts are combined where the texts lie."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            part = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return part
-
-        for part in slices(batches):
-            for t in part.column(0).to_pylist():
-                if t:
-                    seen.update(t.split())
-            if len(seen) > 150_000:
-                yield out()
-        if seen:
-            yield out()
-
-    return docs.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class _Words:
-    """Class and log P(word | class) by number, as words come; one for each worker process."""
-
-    owner = ""
-    number: dict[bytes, int] = {}
-    cls, logp = np.zeros(4096, np.int64), np.zeros(4096)
-
-    @classmethod
-    def of(cls, name: str) -> None:
-        if cls.owner != name or len(cls.number) > _CACHE:
-            cls.owner, cls.number, cls.cls, cls.logp = name, {}, np.zeros(4096, np.int64), np.zeros(4096)
-
-
-class Lexicon:
-    """Class and log P(word | class) of each word."""
-
-    def __init__(self, top: list[tuple[bytes, int]], totals: np.ndarray, pairs: np.ndarray):
-        """top: the vocabulary by falling count; totals: words of each hashed class; pairs: byte pairs of the other words, 0 at both ends."""
-        self.known: dict[bytes, tuple[int, float]] = {}
-        rest = totals.astype(float).copy()
-        for k, (w, n) in enumerate(top):
-            if k >= OWN:
-                rest[hashed_class(w) - OWN] -= n
-        full = np.maximum(totals, 1) + 1.0
-        for k, (w, n) in enumerate(top):
-            c = k if k < OWN else hashed_class(w)
-            self.known[w] = (c, 0.0 if k < OWN else float(np.log(n / full[c - OWN])))
-        self.other: list[float] = np.log((np.maximum(rest, 0) + 1.0) / full).tolist()
-        p = pairs.reshape(256, 256) + 0.05
-        self.spelling: list[list[float]] = np.log(p / p.sum(1, keepdims=True)).tolist()
-        self.classes: dict[bytes, int] = {w: c for w, (c, _) in self.known.items()}
-        self.name = uuid.uuid4().hex
-
-    def _add(self, word: bytes) -> int:
-        k = _Words.number[word] = len(_Words.number)
-        if k >= len(_Words.cls):
-            _Words.cls, _Words.logp = np.concatenate((_Words.cls, np.zeros_like(_Words.cls))), np.concatenate((_Words.logp, np.zeros_like(_Words.logp)))
-        if (hit := self.known.get(word)) is None:
-            c = hashed_class(word)
-            sum_, row, rows = self.other[c - OWN], self.spelling[0], self.spelling
-            for b in word:
-                sum_ += row[b]
-                row = rows[b]
-            hit = c, sum_ + row[0]
-        _Words.cls[k], _Words.logp[k] = hit
-        return k
-
-    def only_classes(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Classes of all words in a row."""
-        get = self.classes.get
-        return np.array([c if (c := get(w)) is not None else hashed_class(w) for words in docs for w in words], np.int64)
-
-    def look(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(classes, log P(word | class)) of all words in a row."""
-        _Words.of(self.name)
-        get, ids = _Words.number.get, []
-        for words in docs:
-            ids += [k if (k := get(w)) is not None else self._add(w) for w in words]
-        at = np.array(ids, np.int64)
-        return _Words.cls[at], _Words.logp[at]
+    return np.frombuffer(bytes(out[0][0]), np.int64) if out else None
+
+
+class Shard:
+    """The words of some texts, and the distinct keys of its words (even) and of its pairs of neighbours (odd)."""
+
+    def __init__(self, texts: list[bytes | None]):
+        words = [t.split() if t else [] for t in texts]
+        self.lengths = np.array([len(d) for d in words], np.int64)
+        self.words = [w for d in words for w in d]
+        self.doc = np.repeat(np.arange(len(words)), self.lengths)
+        h = word_hashes(self.words)
+        self.linked = self.doc[1:] == self.doc[:-1]  # of each word but the last: whether the next one is in its document
+        keys = np.concatenate((h & _KEY, combine(h[:-1], h[1:], 31)[self.linked] & _KEY | np.uint64(1)))
+        self.keys, self.first, self.at, self.counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+
+    def elsewhere(self, totals: np.ndarray) -> np.ndarray:
+        """How often each word, and then each pair, occurs in other documents."""
+        n = len(self.words)
+        out = []
+        for at, doc in ((self.at[:n], self.doc), (self.at[n:], self.doc[:-1][self.linked])):
+            _, inverse, own = np.unique(doc * len(self.keys) + at, return_inverse=True, return_counts=True)
+            out.append(totals[at] - own[inverse])
+        return np.concatenate(out)
+
+    def classes(self, totals: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Class of each word. ``top``: the keys of the words with classes of their own."""
+        which = np.flatnonzero(self.keys & np.uint64(1) == 0)
+        some = [self.words[i] for i in self.first[which]]
+        head, tail = (np.fromiter((w[k] for w in some), np.uint8, len(some)) for k in (0, -1))
+        letter = lambda b: ((b | 32) >= 97) & ((b | 32) <= 122) | (b >= 128)
+        shape = np.where(~letter(head), 3, np.where(~letter(tail), 2, (head >= 65) & (head <= 90)))
+        cls = np.zeros(len(self.keys), np.uint8)
+        cls[which] = OWN + np.searchsorted(BANDS, totals[which], "right") * SHAPES + shape
+        for c, key in enumerate(top):
+            cls[self.keys == key] = c
+        return cls[self.at[: len(self.words)]]
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Number of the range that holds a key; it grows with the key."""
+    return ((keys >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def neighbours(cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """2 * SIDE x words: rows of the embedding for the classes around each word; beyond a document's ends stands the class CLASSES."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(cls)) + SIDE * (doc + 1)
+    padded = np.full(len(cls) + SIDE * (len(lengths) + 1), CLASSES, np.int32)
+    padded[place] = cls
+    return np.stack([padded[place + d] + (CLASSES + 1) * k for k, d in enumerate(d for d in range(-SIDE, SIDE + 1) if d)])
+
+
+def spelling(novel: list[bytes], pairs: np.ndarray) -> np.ndarray:
+    """Log probability of each word by its byte pairs, 0 at both ends. pairs: 256 x 256 log probabilities."""
+    if not novel:
+        return np.zeros(0)
+    flat = np.frombuffer(b"\0" + b"\0".join(novel) + b"\0", np.uint8).astype(np.int64)
+    word = np.repeat(np.arange(len(novel)), [len(w) + 1 for w in novel])
+    return np.bincount(word, pairs[flat[:-1], flat[1:]], len(novel))
+
+
+class Block:
+    """What the network needs of some documents: their windows and the experts' probabilities."""
+
+    def __init__(self, lengths: np.ndarray, cls: bytes, own: bytes, pair: bytes, novel: bytes, totals: np.ndarray, pairs: np.ndarray):
+        self.lengths = np.asarray(lengths, np.int64)
+        self.cls = np.frombuffer(cls, np.uint8).astype(np.int64)
+        log_n = np.frombuffer(own, np.float16).astype(np.float64)  # -1: in no other document
+        log_pair = np.frombuffer(pair, np.float16).astype(np.float64)  # of the word and the next one; -1: nowhere else
+        n = len(self.cls)
+        ends = np.cumsum(self.lengths)
+        begins = (ends - self.lengths)[self.lengths > 0]
+        left, right = np.append(-2.0, log_n[:-1])[:n], np.append(log_n[1:], -2.0)[:n]
+        left[begins], right[ends[self.lengths > 0] - 1] = -2.0, -2.0
+        before = np.append(-1.0, log_pair[:-1])[:n]
+        before[begins] = -1.0
+        self.near = neighbours(self.cls, self.lengths)
+        self.around = np.stack((left, right), 1).astype(np.float32) / 8
+        self.open = np.stack((left >= 0, right >= 0), 1)
+        self.novel = log_n < 0
+        by_left = np.where((before >= 0) & (left >= 0), np.exp(np.minimum(before - left, 0)), 0.0)
+        by_right = np.where((log_pair >= 0) & (right >= 0), np.exp(np.minimum(log_pair - right, 0)), 0.0)
+        self.single = np.where(self.novel, 0.0, np.exp(np.minimum(log_n - np.log(np.maximum(totals, 1.0))[self.cls], 0)))
+        self.experts = np.stack((by_left, by_right, self.single), 1)
+        self.log_spelled = np.zeros(n)
+        self.log_spelled[self.novel] = spelling(novel.split(b"\0") if self.novel.any() else [], pairs)
+        self.log_alone = np.where(self.novel, self.log_spelled, log_n - np.log(max(totals.sum(), 1.0)))
+
+    def __len__(self) -> int:
+        return len(self.cls)
 
 
 class Network:
-    """Embeddings by side and distance, a hidden layer, class scores."""
+    """Embeddings of classes by place, the neighbours' frequency, a hidden layer; out come gates and class scores."""
 
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
             rng = np.random.default_rng(3)
             self.parts = [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES]
         else:
-            cut = np.cumsum([int(np.prod(s)) for s in _SHAPES])[:-1]
-            self.parts = [p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cut), _SHAPES, strict=True)]
+            self.parts = [p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, np.cumsum(_SIZES)[:-1]), _SHAPES, strict=True)]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
-    def hidden(self, near: np.ndarray) -> np.ndarray:
-        e, b = self.parts[:2]
-        h = np.repeat(b[None], near.shape[1], 0)
+    def forward(self, b: Block, at: slice) -> tuple[np.ndarray, ...]:
+        """(hidden, gates, class distribution) of some words; experts that the window rules out get no gate."""
+        e, num, bias, out, out_bias = self.parts
+        h = b.around[at] @ num + bias
         for k in range(2 * SIDE):
-            h += e[k][near[k]]
-        return np.tanh(h, out=h)
-
-    def log_prob(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(class | neighbours). near: 2 * SIDE x words."""
-        out = np.empty(len(target))
-        for i in range(0, len(target), 16_384):
-            part = slice(i, i + 16_384)
-            s = self.hidden(near[:, part]) @ self.parts[2] + self.parts[3]
-            s -= s.max(1, keepdims=True)
-            out[part] = s[np.arange(len(s)), target[part]] - np.log(np.exp(s).sum(1))
+            h += e[b.near[k, at]]
+        np.tanh(h, out=h)
+        s = h @ out + out_bias
+        g, c = s[:, :EXPERTS], s[:, EXPERTS:]
+        g = np.exp(g - g.max(1, keepdims=True))
+        g[:, :2] *= b.open[at]
+        g /= g.sum(1, keepdims=True)
+        c = np.exp(c - c.max(1, keepdims=True))
+        c /= c.sum(1, keepdims=True)
+        return h, g, c
+
+    def shares(self, b: Block, at: slice, g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each expert adds to the probability of the word, novel words' log probability left out; log probability)."""
+        n = len(g)
+        parts = np.empty((n, EXPERTS))
+        parts[:, :3] = g[:, :3] * b.experts[at]
+        parts[:, 2] *= c[np.arange(n), b.cls[at]]
+        parts[:, 3] = np.where(b.novel[at], g[:, 3], 0.0)
+        np.maximum(parts[:, 2], np.where(b.novel[at], 0.0, 1e-30), out=parts[:, 2])
+        np.maximum(parts[:, 3], np.where(b.novel[at], 1e-30, 0.0), out=parts[:, 3])
+        return parts, np.log(parts.sum(1)) + np.where(b.novel[at], b.log_spelled[at], 0.0)
+
+    def log_prob(self, b: Block) -> np.ndarray:
+        out = np.empty(len(b))
+        for i in range(0, len(b), 8192):
+            at = slice(i, i + 8192)
+            _, g, c = self.forward(b, at)
+            out[at] = self.shares(b, at, g, c)[1]
         return out
 
-    def step(self, near: np.ndarray, target: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
-        """One AdaGrad step on the mean cross entropy."""
-        h = self.hidden(near)
-        s = h @ self.parts[2] + self.parts[3]
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
-        gh = (p @ self.parts[2].T) * (1 - h * h)
+    def step(self, b: Block, at: slice, sums: list[np.ndarray], rate: float) -> None:
+        """One AdaGrad step up the mean log probability."""
+        h, g, c = self.forward(b, at)
+        parts, _ = self.shares(b, at, g, c)
+        n = len(g)
+        r = (parts / parts.sum(1, keepdims=True)).astype(np.float32)
+        d = np.empty((n, EXPERTS + CLASSES), np.float32)
+        d[:, :EXPERTS] = r - g
+        d[:, EXPERTS:] = -c * r[:, 2:3]
+        d[np.arange(n), EXPERTS + b.cls[at]] += r[:, 2]
+        d /= n
+        gh = (d @ self.parts[3].T) * (1 - h * h)
         ge = np.zeros(_SHAPES[0], np.float32)
+        one = np.zeros((n, CLASSES + 1), np.float32)
+        rows = np.arange(n)
         for k in range(2 * SIDE):
-            one = np.zeros((len(target), CLASSES + 1), np.float32)
-            one[np.arange(len(target)), near[k]] = 1
-            ge[k] = one.T @ gh
-        for x, g, a in zip(self.parts, (ge, gh.sum(0), h.T @ p, p.sum(0)), sums, strict=True):
-            a += g * g
-            x -= rate * g / np.sqrt(a)
-
-
-def neighbours(cls: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """2 * SIDE x words classes around each word; beyond a document's ends stands the class CLASSES."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(cls)) + SIDE * (doc + 1)
-    padded = np.full(len(cls) + SIDE * (len(lengths) + 1), CLASSES, np.int32)
-    padded[place] = cls
-    return np.stack([padded[place + d] for d in range(-SIDE, SIDE + 1) if d])
-
-
-def fit_lm(docs: DataFrame, scratch: Scratch) -> tuple[Lexicon, Network]:
-    """Counts and weights from all texts. What is kept is of fixed size: the vocabulary, the class totals, the byte pairs and the weights."""
-    counts = scratch.save(word_counts(docs), "counts")
-    top = [(bytes(w), n) for w, n in counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()]
-    known, own = {w for w, _ in top}, {w for w, _ in top[:OWN]}
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, pairs = np.zeros(HASHED), np.zeros(65_536)
-        for part in slices(batches, 20_000):
-            words, n = part.column(0).to_pylist(), part.column(1).to_numpy()
-            hashed = np.array([-1 if w in own else zlib.crc32(w) % HASHED for w in words], np.int64)
-            totals += np.bincount(hashed[hashed >= 0], n[hashed >= 0], HASHED)
-            other = [(w, k) for w, k in zip(words, n, strict=True) if w not in known]
-            if other:
-                flat = np.frombuffer(b"\0" + b"\0".join(w for w, _ in other) + b"\0", np.uint8).astype(np.int64)
-                weight = np.repeat([k for _, k in other], [len(w) + 1 for w, _ in other])
-                pairs += np.bincount(flat[:-1] * 256 + flat[1:], weight, 65_536)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((totals, pairs)).tobytes()], pa.binary())], ["v"])
-
-    both = summed(counts.mapInArrow(rest, "v binary"), np.float64)
-    both = np.zeros(HASHED + 65_536) if both is None else both
-    lexicon, net = Lexicon(top, both[:HASHED], both[HASHED:]), Network()
-    scratch.drop("counts")
+            low = k * (CLASSES + 1)
+            one[rows, b.near[k, at] - low] = 1
+            ge[low : low + CLASSES + 1] = one.T @ gh
+            one[rows, b.near[k, at] - low] = 0
+        for x, grad, a in zip(self.parts, (ge, b.around[at].T @ gh, gh.sum(0), h.T @ d, d.sum(0)), sums, strict=True):
+            a += grad * grad
+            x += rate * grad / np.sqrt(a)
+
+
+def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents as blocks of numbers, after words and pairs were counted over all of them. A shard adds a row (block -1) of its class and byte pair counts."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards, ranges = int(size / SHARD_BYTES) + 1, int(size / RANGE_BYTES) + 1
+    text = F.col("text").cast("binary")
+    # Rows without an id have the hash of their text; so they do not meet in one shard.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("tie")).withColumn("shard", F.pmod("tie", F.lit(shards)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, 1):
+            s = Shard(g.column(1).to_pylist())
+            where = range_of(s.keys, ranges)
+            cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, int)
+            ends = np.append(cut[1:], len(where)) if len(where) else cut
+            cols = [pa.array(where[cut].astype(np.int64)), pa.array([g.column(0)[0].as_py()] * len(cut), pa.int64()), pa.array([pack_keys(s.keys[i:j]) for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([s.counts[i:j].astype(np.uint32).tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["range", "shard", "keys", "counts"])
+
+    asked = rows.select("shard", "text").repartition(tasks_for(shards), "shard").sortWithinPartitions("shard").mapInArrow(ask, "range long, shard long, keys binary, counts binary")
+    top_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, 1):
+            number, packed = g.column(0)[0].as_py(), g.column(2).to_pylist()
+            keys = np.concatenate([unpack_keys(p) for p in packed])
+            n = np.concatenate([np.frombuffer(c, np.uint32) for c in g.column(3).to_pylist()]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            cut = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+            total = np.add.reduceat(n[order], cut)
+            back = np.empty(len(n), np.int64)
+            back[order] = np.repeat(total, np.diff(np.append(cut, len(n))))
+            ends = np.cumsum([len(p) // 6 for p in packed])
+            told = [back[e - len(p) // 6 : e].tobytes() for p, e in zip(packed, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([g.column(1).combine_chunks(), pa.array([number] * len(told), pa.int64()), pa.array(told, pa.binary()), pa.array([None] * len(told), top_type)], ["shard", "range", "counts", "top"])
+            word = order[cut]
+            word, total = keys[word], np.where(keys[word] & np.uint64(1) == 0, total, 0)
+            best = np.lexsort((word, -total))[:OWN]
+            top = [{"key": int(word[i]), "n": int(total[i])} for i in best if total[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([number], pa.int64()), pa.array([b""], pa.binary()), pa.array([top], top_type)], ["shard", "range", "counts", "top"])
+
+    replies = scratch.save(asked.repartition(tasks_for(ranges), "range").sortWithinPartitions("range").mapInArrow(answer, REPLY), "replies")
+    top = np.array([r["key"] for r in replies.where("shard = -1").select(F.explode("top").alias("t")).select("t.*").orderBy(F.col("n").desc(), "key").limit(OWN).collect()], np.uint64)
+    none = F.lit(None).cast("binary")
+    told = replies.where("shard >= 0").select("shard", F.lit(0).cast("long").alias("kind"), F.lit(None).cast("long").alias("doc_id"), none.alias("text"), F.col("range").alias("tie"), "counts")
+    both = told.union(rows.select("shard", F.lit(1).cast("long"), "doc_id", "text", "tie", none)).repartition(tasks_for(shards), "shard").sortWithinPartitions("shard", "kind", F.when(F.col("kind") == 1, F.col("doc_id")), "tie")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("cls", pa.binary()), ("own", pa.binary()), ("pair", pa.binary()), ("novel", pa.binary()), ("idx", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+        row = lambda *v: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(v, schema, strict=True)], schema=schema)
+        reply: tuple[int, np.ndarray] = -1, np.zeros(0, np.int64)
+        for g in sorted_groups(batches, 2):
+            number = g.column(0)[0].as_py()
+            if g.column(1)[0].as_py() == 0:
+                reply = number, np.frombuffer(b"".join(g.column(5).to_pylist()), np.int64)
+                continue
+            ids, s = g.column(2).to_pylist(), Shard(g.column(3).to_pylist())
+            totals = reply[1] if reply[0] == number else np.zeros(0, np.int64)
+            m = len(s.words)
+            out = s.elsewhere(totals)
+            with np.errstate(divide="ignore"):
+                log = np.where(out > 0, np.log(out), -1.0).astype(np.float16)
+            own, pair = log[:m], np.full(m, -1, np.float16)
+            pair[:-1][s.linked] = log[m:]
+            cls = s.classes(totals, top) if m else np.zeros(0, np.uint8)
+            novel = [s.words[i].replace(b"\0", b"\1") for i in np.flatnonzero(out[:m] == 0)]
+            at_novel = np.concatenate(([0], np.cumsum(out[:m] == 0)))
+            ends = np.concatenate(([0], np.cumsum(s.lengths)))
+            i, k = 0, 0
+            while i < len(ids):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+                a, b = ends[i], ends[j]
+                yield row(number << 20 | k, ids[i:j], s.lengths[i:j].tolist(), cls[a:b].tobytes(), own[a:b].tobytes(), pair[a:b].tobytes(), b"\0".join(novel[at_novel[a] : at_novel[b]]), None, None)
+                i, k = j, k + 1
+            flat = np.frombuffer(b"\0" + b"\0".join(novel) + b"\0", np.uint8).astype(np.int64) if novel else np.zeros(1, np.int64)
+            tally = np.concatenate((np.bincount(cls, minlength=CLASSES), np.bincount(flat[:-1] * 256 + flat[1:], minlength=65_536)))
+            some = np.flatnonzero(tally)
+            yield row(-1, None, None, None, None, None, None, some.tolist(), tally[some].tolist())
+
+    out = scratch.save(both.mapInArrow(encode, BLOCKS), "blocks")
+    scratch.drop("replies")
+    return out
+
+
+def fit_lm(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, Network]:
+    """(words of each class, log probabilities of byte pairs, network) from the blocks of all documents. Only the first two and the weights reach the driver."""
+    tally = np.zeros(CLASSES + 65_536)
+    for i, n in blocks.where("block = -1").select(F.explode(F.arrays_zip("idx", "n")).alias("t")).groupBy("t.idx").agg(F.sum("t.n")).collect():
+        tally[i] = n
+    totals, pairs = tally[:CLASSES], tally[CLASSES:].reshape(256, 256) + 0.05
+    pairs, net = np.log(pairs / pairs.sum(1, keepdims=True)), Network()
     for r in range(ROUNDS):
         start = net.flat()
 
         def train(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, r: int = r) -> Iterator[pa.RecordBatch]:
-            own_net, sums, seen = Network(start), [np.full(s, 1e-4, np.float32) for s in _SHAPES], 0
-            for part in slices(batches):
-                words = [t.split() if t else [] for t in part.column(0).to_pylist()]
-                cls = lexicon.only_classes(words)
-                near = neighbours(cls, [len(w) for w in words])
-                for i in range(0, len(cls), 512):
-                    own_net.step(near[:, i : i + 512], cls[i : i + 512], sums, 0.1 / (r + 1))
-                seen += len(cls)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(own_net.flat().astype(np.float64) * seen, seen).tobytes()], pa.binary())], ["v"])
-
-        total = summed(docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)), F.lit(0)) == r).select(F.col("text").cast("binary")).mapInArrow(train, "v binary"), np.float64)
-        if total is None:
-            continue
-        net = Network(total[:-1] / total[-1])
-    return lexicon, net
-
-
-def score_lm(docs: DataFrame, lexicon: Lexicon, net: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_prob) of every row, over whole texts; map only.
-
-    Null and empty texts have no tokens, a sum of 0 and a null mean; repeated rows stay; extra columns are not read.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            words = [t.split() if t else [] for t in part.column(1).to_pylist()]
-            n = np.array([len(w) for w in words], np.int64)
-            cls, logp = lexicon.look(words)
-            if len(cls):
-                logp = logp + net.log_prob(neighbours(cls, list(n)), cls)
-            ends = np.cumsum(n)
-            total = np.array([logp[e - k : e].sum() for e, k in zip(ends, n, strict=True)]) if len(n) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total, pa.float64()), pa.array([s / k if k else None for s, k in zip(total, n, strict=True)], pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+            total = np.zeros(sum(_SIZES) + 1, np.int64)
+            for part in slices(batches, 1):
+                b = Block(*[part.column(i)[0].as_py() for i in range(5)], totals, pairs)
+                if not len(b):
+                    continue
+                own, sums = Network(start), [np.full(s, 1e-4, np.float32) for s in _SHAPES]
+                for i in range(0, len(b), STEP):
+                    own.step(b, slice(i, i + STEP), sums, 0.1 / (r + 1))
+                weight = min(64, 1 + 16 * len(b) // BLOCK)
+                total += np.append(np.rint(own.flat().astype(np.float64) * _UNIT).astype(np.int64), 1) * weight
+            if total[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+        mine = blocks.where((F.col("block") >= 0) & (F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == r))
+        total = summed(mine.select("lengths", "cls", "own", "pair", "novel").mapInArrow(train, "v binary"))
+        if total is not None:
+            net = Network(total[:-1] / total[-1] / _UNIT)
+    return totals, pairs, net
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Fits on all of ``docs`` and scores all of them. An empty table gives an empty table."""
-    lexicon, net = fit_lm(docs, Scratch(docs.sparkSession, "lm"))
-    return score_lm(docs, lexicon, net)
+    """(doc_id, n_tokens, log_likelihood, mean_log_prob, unseen_share, context_gain) of every row, over whole texts; fits on all of ``docs``.
+
+    unseen_share: words that no other row has; context_gain: by how much the window raises the mean log probability over that of the words alone. Null and
+    empty texts have no tokens, a sum of 0 and nulls for means. Rows with a null or repeated doc_id are documents of their own. Scores are the same however rows
+    lie. Extra columns are not read; an empty table gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    blocks = _blocks(docs, scratch)
+    totals, pairs, net = fit_lm(blocks)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            b = Block(*[part.column(i)[0].as_py() for i in range(1, 6)], totals, pairs)
+            doc, m = np.repeat(np.arange(len(b.lengths)), b.lengths), len(b.lengths)
+            p = net.log_prob(b)
+            total = np.bincount(doc, p, m)
+            some = pa.array(b.lengths == 0)
+            mean = lambda x: pa.array(np.bincount(doc, x, m) / np.maximum(b.lengths, 1), mask=some.to_numpy(zero_copy_only=False))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(part.column(0)[0].as_py(), pa.int64()), pa.array(b.lengths), pa.array(total), mean(p), mean(b.novel), mean(p - b.log_alone)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob", "unseen_share", "context_gain"])
+
+    kind = "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double, unseen_share double, context_gain double"
+    return blocks.where("block >= 0").select("ids", "lengths", "cls", "own", "pair", "novel").mapInArrow(score, kind)
