@@ -28,6 +28,15 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder set by ``setCheckpointDir``; on one machine, a temporary one. On a cluster without any: an error, as executors share no local folder."""
+    if (folder := spark.sparkContext.getCheckpointDir()) is not None:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps the batches that go to Python workers small: texts may be long, and every batch exists several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,7 +53,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bounded_batches(spark)
-        root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+        root = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +64,13 @@ class Scratch:
         del df
         return out
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, which a returned frame still reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            self.drop(*[s.getPath().getName() for s in files.listStatus(path) if s.getPath().getName() not in names])
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more, and lets Spark drop unreachable shuffle files."""
         jvm = self.spark._jvm
@@ -106,6 +122,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["i"][:n]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Words:
+    """The words of some texts by their places in one buffer, without an object for each: start, end, number of the text, hash."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.raw = b"\n".join(t or b"" for t in texts) + b"\n"
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        blank = _BLANK[self.bytes]
+        turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        turn = np.append(0, turn) if not blank[0] else turn
+        self.start, self.end = turn[::2], turn[1::2]
+        closes = np.cumsum([len(t or b"") + 1 for t in texts])
+        self.doc = np.searchsorted(closes, self.start, "right")
+        self.lengths = np.bincount(self.doc, minlength=len(texts))
+        power, inverse = powers(len(self.bytes) + 1)
+        prefix = np.zeros(len(self.bytes) + 1, np.uint64)
+        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
+        self.hash = mix((prefix[self.end] - prefix[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64) * _M1)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def some(self, which: np.ndarray) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
 class Fingerprints:
     """Fingerprints of any span of a sequence of hashes, each in constant time."""
 
@@ -144,6 +189,12 @@ def tasks_for(groups: int) -> int:
     return max(1, min(groups, 50_000))
 
 
+def dealt(df: DataFrame, column: str, groups: int) -> DataFrame:
+    """Groups by their number (0 to ``groups`` - 1), evenly: the number of tasks grows with the groups, none gets two of them before all have one."""
+    n = tasks_for(groups)
+    return df.repartitionById(n, F.pmod(F.col(column), F.lit(n)).cast("int"))
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The groups of a partition that is sorted by its first ``keys`` (integer) columns, one table each, across batch borders."""
     held: list[pa.RecordBatch] = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Fingerprints, Scratch, combine, mix, parts_for, slices, sorted_groups
-from tidemark.llm.substrings import _blobs, _column
+from tidemark.llm.common import Fingerprints, Scratch, combine, dealt, mix, slices, sorted_groups
+from tidemark.llm.substrings import _column
 
 #: Edits (insert, delete, replace one code point) up to which two lines are near.
 THRESHOLD = 2
 #: Lines of fewer code points are near only when they are equal.
 SHORT = 12
-#: Bytes of text for each bucket of segments.
-BUCKET_BYTES = 12e6
+#: Bytes of text, or lines, for each bucket of segments.
+BUCKET_BYTES, BUCKET_LINES = 12e6, 60_000
+#: Entries of a bucket that a task holds; products of a key that it forms in place; products formed at a time.
+HOLD, HOT, _PRODUCT = 4_000_000, 50_000_000, 1_000_000
+#: Candidates of a line and bucket in the first round.
+ROOM = 8
 
 
 def banded_distance(a: str, b: str, most: int) -> int:
@@ -166,72 +171,215 @@ def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(table.select(F.unhex(F.md5("line")).alias("lid"), "line", "first_doc", "n_docs"), "lines")
 
 
-def near_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD) -> DataFrame:
-    """(a: lid, b: lid) of the pairs of distinct lines within ``most`` edits, each pair once, with their first documents; ``lines``: lid, line, first_doc.
+def keyed_lines(lines: DataFrame, buckets: int, most: int, only_open: bool) -> DataFrame:
+    """Segments and probes of all lines in packed blobs, by bucket of their key: key, line, its first document, kind, pair marks. Kinds 2 and 3 are those of an open line."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            texts = part.column(1).to_pylist()
+            key, line, kind = segment_keys(texts, most)
+            ids, marks = np.frombuffer(b"".join(x[:8] for x in part.column(0).to_pylist()), np.int64), pair_marks(texts)
+            doc = part.column(2).fill_null(_LAST).to_numpy()
+            kind = kind + 2 * part.column(3).to_numpy(zero_copy_only=False).astype(np.int8)[line]
+            yield _entries((key % np.uint64(buckets)).astype(np.int64), key, ids[line], doc[line], kind, marks[line])
+
+    flag = F.coalesce(F.col("open"), F.lit(False)) if only_open else F.lit(True)
+    return lines.select("lid", "line", F.col("first_doc").cast("long"), flag.alias("open")).mapInArrow(keys, MET)
+
+
+def _entries(bucket: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket with its entries packed; the columns of candidates stay null."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [c[order] for c in cols]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+    ends = np.append(cut[1:], len(bucket)) if len(bucket) else cut
+    packed = [pa.array([c[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()) for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), *packed, *[pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.bool_())]], schema=_MET)
+
+
+_LAST = (1 << 63) - 1
+MET = "bucket long, key binary, who binary, doc binary, kind binary, marks binary, a long, b long, more boolean"
+_MET = pa.schema([("bucket", pa.int64()), *[(n, pa.binary()) for n in ("key", "who", "doc", "kind", "marks")], ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+
+
+def _earliest(b: np.ndarray, a: np.ndarray, doc: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``room`` + 1 candidates a of each line b with the smallest first documents (ties by a), each once; and how many are kept before each in its line."""
+    order = np.lexsort((a, doc, b))
+    b, a, doc = b[order], a[order], doc[order]
+    new = np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])) if len(b) else np.zeros(0, bool)
+    b, a, doc = b[new], a[new], doc[new]
+    place = np.arange(len(b)) - np.searchsorted(b, b)
+    keep = place <= room
+    return b[keep], a[keep], doc[keep], place[keep]
+
+
+def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray, marks: np.ndarray, most: int, skip: int, room: int) -> pa.RecordBatch | None:
+    """Candidates (a, b): a is not later than the open line b, shares a key, and their marks allow ``most`` edits; the earliest ones after ``skip``, ``room`` at most.
 
-    Keys go to buckets in packed blobs, with the first eight bytes of the ids and the lines' pair marks. A bucket compares, for a key, each probe with each
-    indexed line (some at a time), and only pairs whose marks allow it go on to be verified.
+    Products are formed some at a time, so memory is bounded by the entries and the candidates kept.
     """
-    spark = lines.sparkSession
-    size = lines.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0))).first()[0]
-    buckets = parts_for(spark, size, BUCKET_BYTES)
+    order = np.lexsort((kind & 1, key))
+    key, who, doc, kind, marks = key[order], who[order], doc[order], kind[order], marks[order]
+    index, probe = np.flatnonzero(kind & 1 == 0), np.flatnonzero(kind & 1 == 1)
+    low, high = np.searchsorted(key[index], key[probe], "left"), np.searchsorted(key[index], key[probe], "right")
+    some = high > low
+    low, high, probe = low[some], high[some], probe[some]
+    # Probes with very many partners are taken in pieces.
+    pieces = -(-(high - low) // _PRODUCT)
+    at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    low, high, probe = (np.repeat(x, pieces) for x in (low, high, probe))
+    low = low + at * _PRODUCT
+    high = np.minimum(high, low + _PRODUCT)
+    total, i, held, size = np.concatenate(([0], np.cumsum(high - low))), 0, [], 0
+
+    def settled() -> list[np.ndarray]:
+        return list(_earliest(*(np.concatenate(x) for x in zip(*held, strict=True)), skip + room))
+
+    while i < len(probe):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + _PRODUCT, "right")) - 1)
+        n = high[i:j] - low[i:j]
+        left = np.repeat(probe[i:j], n)
+        right = index[np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        may = (np.bitwise_count((marks[left] ^ marks[right]).view(np.uint64)) <= 4 * most) & (who[left] != who[right])
+        left, right = left[may], right[may]
+        # Either end can be the later one; in one first document both may be, until their texts are compared.
+        for b, a in ((left, right), (right, left)):
+            ok = (doc[a] <= doc[b]) & (kind[b] >= 2)
+            if ok.any():
+                held.append((who[b[ok]], who[a[ok]], doc[a[ok]]))
+                size += int(ok.sum())
+        if size > 2 * _PRODUCT:
+            held = [tuple(settled()[:3])]
+            size = len(held[0][0])
+        i = j
+    if not held:
+        return None
+    b, a, _, place = settled()
+    over = place == skip + room
+    more = np.isin(b, b[over])
+    keep = (place >= skip) & ~over
+    n = int(keep.sum())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 5, pa.array(a[keep]), pa.array(b[keep]), pa.array(more[keep])], schema=_MET)
+
+
+def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip: int, room: int, only_open: bool) -> DataFrame:
+    """(a, b, more) by the first eight bytes of line ids: earlier candidates of each (open) line, and whether a key has more of them.
+
+    Buckets are compared in place. Keys with very many lines, and all of a bucket beyond HOLD entries, are dealt anew by stretches of their pair marks: marks that differ in
+    4 * most bits at most agree in one of 4 * most + 1 stretches, so no candidate is lost, and a template's lines spread over many tasks.
+    """
+    size, n_lines = lines.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = int(max(size / BUCKET_BYTES, n_lines / BUCKET_LINES)) + 1
+    bands = 4 * most + 1
+    edges = [64 * k // bands for k in range(bands + 1)]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1024):
-            key, line, kind = segment_keys(part.column(1).to_pylist(), most)
-            ids = np.frombuffer(b"".join(x[:8] for x in part.column(0).to_pylist()), np.int64)
-            marks = pair_marks(part.column(1).to_pylist())
-            yield _blobs((key % np.uint64(buckets)).astype(np.int64), [key, ids[line], kind, marks[line]])
+    def anew(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            part = (marks.view(np.uint64) >> np.uint64(lo)) & np.uint64((1 << hi - lo) - 1)
+            new = combine(key, part, 40 + k)
+            yield _entries((new % np.uint64(64 * buckets)).astype(np.int64), new, who, doc, kind, marks)
+
+    def unpacked(g: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(_column(g, n, t) for n, t in (("key", np.uint64), ("who", np.int64), ("doc", np.int64), ("kind", np.int8), ("marks", np.int64)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in _in_pieces(batches):
+            whole = next(pieces)
+            following = next(pieces, None)
+            if following is not None:  # the bucket is too large to hold: all of it is dealt anew, a piece at a time
+                for g in chain((whole, following), pieces):
+                    yield from anew(*unpacked(g))
+                continue
+            cols = unpacked(whole)
+            keys, at, n = np.unique(cols[0], return_inverse=True, return_counts=True)
+            index = np.bincount(at, cols[3] & 1 == 0, len(keys))
+            hot = index * (n - index) > HOT
+            if hot.any():
+                yield from anew(*(c[hot[at]] for c in cols))
+                cols = tuple(c[~hot[at]] for c in cols)
+            out = _compare(*cols, most, skip, room)
+            if out is not None:
+                yield out
+
+    def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, 1):
-            key, who, kind = _column(g, "a", np.uint64), _column(g, "b", np.int64), _column(g, "c", np.int8)
-            order = np.lexsort((kind, key))
-            key, who, kind, marks = key[order], who[order], kind[order], _column(g, "d", np.int64)[order]
-            index, probe = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            low, high = np.searchsorted(key[index], key[probe], "left"), np.searchsorted(key[index], key[probe], "right")
-            some = high > low
-            low, high, probe = low[some], high[some], probe[some]
-            for i in range(0, len(probe), 50_000):
-                n = (high - low)[i : i + 50_000]
-                left = np.repeat(probe[i : i + 50_000], n)
-                right = index[np.repeat(low[i : i + 50_000] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                may = (np.bitwise_count((marks[left] ^ marks[right]).view(np.uint64)) <= 4 * most) & (who[left] != who[right])
-                a, b = who[left[may]], who[right[may]]
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                if len(a):
-                    pair = np.unique(np.stack((a, b)), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-
-    blobs = lines.select("lid", "line").mapInArrow(keys, "bucket long, n int, a binary, b binary, c binary, d binary")
-    pairs = scratch.save(blobs.select("bucket", "a", "b", "c", "d").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-
-    def little(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = _compare(*unpacked(g), most, skip, room)
+            if out is not None:
+                yield out
+
+    entries = keyed_lines(lines, buckets, most, only_open)
+    met = scratch.save(dealt(entries, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(meet, MET), f"{name}-met")
+    pairs, hot = met.where("a IS NOT NULL").select("a", "b", "more"), met.where("key IS NOT NULL")
+    if not hot.isEmpty():
+        again = dealt(hot, "bucket", 64 * buckets).sortWithinPartitions("bucket").mapInArrow(meet_again, MET)
+        pairs = pairs.union(scratch.save(again.select("a", "b", "more"), f"{name}-hot"))
+    return pairs.groupBy("b", "a").agg(F.max("more").alias("more"))
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.Table]]:
+    """The buckets of a partition that is sorted by bucket, each as an iterator over tables of at most HOLD entries or so."""
+    rows = ((b.column(0)[i].as_py(), b.slice(i, 1)) for batch in batches for b in (batch,) for i in range(batch.num_rows))
+
+    def pieces(group: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for _, row in group:
+            held.append(row)
+            size += len(row.column(1)[0].as_py()) // 8
+            if size > HOLD:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    for _, group in groupby(rows, lambda r: r[0]):
+        yield pieces(group)
+
+
+def _with_k(lines: DataFrame) -> DataFrame:
+    """(k: the first eight bytes of lid as a number, lid, line, first_doc)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = np.frombuffer(b"".join(x[:8] for x in batch.column(0).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k), *batch.columns], ["k", "lid", "line", "first_doc"])
 
-    keyed = lines.select("lid", "line", "first_doc").mapInArrow(little, "k long, lid binary, line string, first_doc long")
-    named = scratch.save(keyed.hint("merge").join(wanted, "k"), "named")
-    side = lambda x: named.select(F.col("k").alias(x), F.col("lid").alias(f"{x}_lid"), F.col("line").alias(f"{x}_line"), F.col("first_doc").alias(f"{x}_doc"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.length("a_line") - F.length("b_line")) <= most)
+    return lines.select("lid", "line", F.col("first_doc").cast("long")).mapInArrow(run, "k long, lid binary, line string, first_doc long")
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, most: int) -> DataFrame:
+    """(lid) of the lines b that a candidate a shadows: it is earlier and within ``most`` edits."""
+    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    named = scratch.save(_with_k(lines).hint("merge").join(wanted, "k"), f"{name}-named")
+    side = lambda x: named.select(F.col("k").alias(x), F.col("lid").alias(f"{x}_lid"), F.col("line").alias(f"{x}_line"), F.coalesce("first_doc", F.lit(_LAST)).alias(f"{x}_doc"))
+    earlier = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(earlier & (F.abs(F.length("a_line") - F.length("b_line")) <= most))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
-            a, b = part.column("a_line").to_pylist(), part.column("b_line").to_pylist()
-            near = pa.array([banded_distance(x, y, most) <= most for x, y in zip(a, b, strict=True)])
-            yield part.select(["a_lid", "b_lid", "a_doc", "b_doc", "a_line", "b_line"]).filter(near)
+            near = pa.array([banded_distance(x, y, most) <= most for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield part.select(["b_lid"]).rename_columns(["lid"]).filter(near)
 
-    return both.select("a_lid", "b_lid", "a_doc", "b_doc", "a_line", "b_line").mapInArrow(verify, "a_lid binary, b_lid binary, a_doc long, b_doc long, a_line string, b_line string")
+    return both.select("b_lid", "a_line", "b_line").mapInArrow(verify, "lid binary").distinct()
 
 
-def shadowed_lines(near: DataFrame) -> DataFrame:
-    """(lid) of the lines that an earlier line is near to: one of a smaller first document, in one document the smaller by code points. Null ids come last."""
-    first = F.coalesce(F.col("a_doc") < F.col("b_doc"), F.col("a_doc").isNotNull() & F.col("b_doc").isNull())
-    same = F.col("a_doc").eqNullSafe(F.col("b_doc"))
-    a_first = F.when(same, F.col("a_line") < F.col("b_line")).otherwise(first)
-    return near.select(F.when(a_first, F.col("b_lid")).otherwise(F.col("a_lid")).alias("lid")).distinct()
+def shadowed_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD, room: int = ROOM) -> DataFrame:
+    """(lid) of the lines that an earlier line is near to: one of a smaller first document, in one document the smaller by code points. Null documents come last.
+
+    ``lines``: lid, line, first_doc. Of each line and key the ``room`` earliest candidates are verified first. Lines for which none held and which have more then try
+    the following ones, eight times as many, until none is left: every line needs one earlier partner only, so pairs are not listed, and none is missed.
+    """
+    found, tried, rounds = None, 0, 0
+    while True:
+        pairs = scratch.save(_candidates(lines, scratch, f"r{rounds}", most, tried, room, rounds > 0), f"r{rounds}-pairs")
+        new = scratch.save(_verified(lines, pairs, scratch, f"r{rounds}", most), f"r{rounds}-shadowed")
+        found = new if found is None else found.union(new)
+        open_ = pairs.groupBy(F.col("b").alias("k")).agg(F.max("more").alias("open")).where("open")
+        if open_.isEmpty():
+            break
+        still = scratch.save(_with_k(lines).join(open_, "k", "left").join(found.withColumn("done", F.lit(True)), "lid", "left").select("lid", "line", "first_doc", (F.coalesce("open", F.lit(False)) & F.col("done").isNull()).alias("open")), f"r{rounds}-lines")
+        scratch.drop(f"r{rounds}-met", f"r{rounds}-hot", f"r{rounds}-named", f"r{rounds}-pairs")
+        if still.where("open").isEmpty():
+            break
+        lines, tried, room, rounds = still, tried + room, 8 * room, rounds + 1
+    return found.distinct()
 
 
 def dedup_lines(docs: DataFrame, most: int = THRESHOLD) -> DataFrame:
@@ -242,18 +390,19 @@ def dedup_lines(docs: DataFrame, most: int = THRESHOLD) -> DataFrame:
     points go only as exact repeats. Null texts stay null with 0 lines; rows of one doc_id are judged alike; rows with a null doc_id come last. Other columns pass through.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    # Rows without an id are known by the hash of their text, so they do not meet in one group.
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), own.alias("own"))
     lines = distinct_lines(slim, scratch)
-    shadowed = scratch.save(shadowed_lines(near_lines(lines, scratch, most)), "shadowed").withColumn("shadowed", F.lit(True))
-    scratch.drop("pairs", "named")
+    shadowed = shadowed_lines(lines, scratch, most).withColumn("shadowed", F.lit(True))
     fates = scratch.save(lines.select("lid", "first_doc", "n_docs").join(shadowed, "lid", "left").where("n_docs > 1 OR shadowed").select("lid", "first_doc", F.coalesce("shadowed", F.lit(False)).alias("shadowed")), "fates")
-    scratch.drop("lines")
-    at = slim.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(_printed()).select("doc_id", F.unhex(F.md5("line")).alias("lid"))
+    at = slim.select("doc_id", "own", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(_printed()).select("doc_id", "own", F.unhex(F.md5("line")).alias("lid"))
     later = F.coalesce(F.col("first_doc") < F.col("doc_id"), F.col("doc_id").isNull() & F.col("first_doc").isNotNull())
-    gone = scratch.save(at.join(fates, "lid").where(F.col("shadowed") | later).groupBy("doc_id").agg(F.collect_set("lid").alias("gone")), "gone")
+    gone = scratch.save(at.join(fates, "lid").where(F.col("shadowed") | later).groupBy("doc_id", "own").agg(F.collect_set("lid").alias("gone")), "gone")
+    scratch.keep("gone")
     names = docs.columns
-    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    joined = renamed.hint("merge").join(gone, renamed["id"].eqNullSafe(gone["doc_id"]), "left").select("row", "t", "gone")
+    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"), own.alias("o"))
+    joined = renamed.hint("merge").join(gone, renamed["id"].eqNullSafe(gone["doc_id"]) & renamed["o"].eqNullSafe(gone["own"]), "left").select("row", "t", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -295,8 +444,9 @@ r AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
 k AS (
   SELECT r.*, NOT regexp_matches(r.line, '[^\x20\x09-\x0D]') OR (nth = 1 AND d.first_doc = r.doc_id AND s.line IS NULL) AS keep
-  FROM r LEFT JOIN d ON r.line = d.line LEFT JOIN shadowed s ON r.line = s.line)
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT keep)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep), '')) AS kept_sha256
-FROM k GROUP BY doc_id
+  FROM r LEFT JOIN d ON r.line = d.line LEFT JOIN shadowed s ON r.line = s.line),
+t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN t USING (doc_id)
 """
