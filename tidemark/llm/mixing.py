@@ -1,8 +1,8 @@
 """Mixing sources to target weights: hash-random keys, range sums within each source, a cut at the exact budget.
 
-A source's documents are ordered by the md5 of id and text. Rows are summed by (source, leading hex digits of the key), which is
-a range partition of uniform keys; prefix sums over those ranges find the range with the cut, and only its rows are sorted. Texts are
-never shuffled and no source meets in one task.
+A source's documents are ordered by the md5 of id and text. Rows are summed by (source, two leading hex digits of the key), which is
+a range partition of uniform keys; prefix sums over those 256 ranges find the one with the cut, which is parted again by the next two digits, until it has
+few rows; only those are sorted. Texts are never shuffled, and no source meets in one task: a prefix sum has 256 rows, however large the source.
 """
 
 from __future__ import annotations
@@ -18,18 +18,23 @@ from tidemark.llm.common import Scratch, n_words
 WEIGHTS = (5, 2, 1)
 #: A target stops at this many times its source's size.
 EPOCHS = 3
-#: Rows of a range of keys, about.
-RANGE_ROWS = 20_000
+#: Hex digits by which a range of keys is parted, and the rows of a range that is not parted any more.
+DIGITS, FEW_ROWS = 2, 256
 
 
 def source_targets(sources: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(source, n_rows, source_size) -> the same with weight and target.
 
     Shares of the total by weight; where a share is above the cap, the cap is the target and the excess goes to the rest by
-    weight, until none is above. Each round is one aggregate of one row; the sources stay distributed but for their numbering.
+    weight, until none is above. Each round is one aggregate of one row. Sources are numbered within sorted partitions; only the partitions' sizes meet in a window.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    table = scratch.save(sources.withColumn("weight", w.cast("long")), "weights")
+    placed = scratch.save(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("place") - F.shiftleft("part", 33)
+    w = F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int"))
+    table = scratch.save(placed.join(before, "part").withColumn("weight", w.cast("long")).drop("place", "part", "before"), "weights")
     level, capped = None, -1
     while True:
         above = F.lit(False) if level is None else F.col("source_size").cast("decimal(38,0)") * epochs * level.denominator < F.col("weight").cast("decimal(38,0)") * level.numerator
@@ -59,30 +64,32 @@ def mixing_plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WE
     slim = scratch.save(sized.select("source", "size", "key"), "sized")
     stats = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
     targets = scratch.save(source_targets(stats, scratch, weights, epochs), "targets")
-    n_rows = targets.agg(F.sum("n_rows")).first()[0] or 0
-    digits = 0
-    while n_rows > RANGE_ROWS * 16**digits and digits < 8:
-        digits += 1
     # The null source gets a name of its own beside the others' names.
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     budget = targets.withColumns({"name": name, "budget": F.floor("target")}).withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
     budget = budget.withColumn("left", F.col("budget") - F.col("rounds") * F.col("source_size"))
-    keyed = slim.withColumns({"name": name, "range": F.substring("key", 1, digits) if digits else F.lit("")})
-    sums = keyed.groupBy("name", "range").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = sums.withColumn("before", before).join(budget.where("left > 0").select("name", "left"), "name").where("before <= left AND left < before + words").select("name", "range", "before", "left")
-    cut = scratch.save(cut, "cuts")
-    inside = keyed.join(cut, ["name", "range"]).groupBy("name", "before", "left", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("ties"))
-    at = F.col("before") + F.coalesce(F.sum("words").over(Window.partitionBy("name").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keyed = slim.withColumn("name", name)
+    upto = lambda column, *by: F.coalesce(F.sum(column).over(Window.partitionBy("name").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = budget.where("left > 0").select("name", "left", F.lit(0).cast("long").alias("before"), F.lit("").alias("range"), F.col("n_rows").alias("rows"), F.lit(True).alias("wide"))
+    digits = 0
+    while digits < 32 and not cut.where((F.col("rows") > FEW_ROWS) & F.col("wide")).isEmpty():
+        inside = keyed.withColumn("range", F.substring("key", 1, digits)).join(cut.select("name", "range", "before", "left"), ["name", "range"])
+        digits += DIGITS
+        sums = inside.groupBy("name", "before", "left", F.substring("key", 1, digits).alias("range")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), (F.min("key") < F.max("key")).alias("wide"))
+        found = sums.withColumn("before", F.col("before") + upto("words", "range")).where("before <= left AND left < before + words")
+        cut = scratch.save(found.select("name", "left", "before", "range", "rows", "wide"), f"cut{digits}")
+    inside = keyed.withColumn("range", F.substring("key", 1, digits)).join(cut.select("name", "range", "before", "left"), ["name", "range"]).groupBy("name", "before", "left", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("ties"))
+    at = F.col("before") + upto("words", "key")
     cut = inside.withColumn("at", at).where("at <= left AND left < at + words").select("name", F.col("key").alias("cut_key"), F.floor((F.col("left") - F.col("at")) / F.col("ties")).cast("long").alias("cut_words"))
     plan = budget.join(cut, "name", "left").select("name", "source_size", "target", "rounds", "cut_key", F.coalesce("cut_words", F.lit(0).cast("long")).alias("cut_words"))
-    return sized.withColumn("name", name), scratch.save(plan, "plan")
+    plan = scratch.save(plan, "plan")
+    scratch.keep("plan")
+    return sized.withColumn("name", name), plan
 
 
 def with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Joins the plan of each source; the plan is broadcast only when it is small."""
-    few = plan.limit(10_001).count() <= 10_000
-    joined = sized.join(F.broadcast(plan) if few else plan, "name")
+    """Joins the plan of each source: a written table, whose size tells Spark whether to broadcast it."""
+    joined = sized.join(plan, "name")
     extra = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(F.lit(0).cast("long"))
     return joined.withColumns({"extra": extra, "taken": F.col("rounds") * F.col("size") + extra})
 

@@ -10,7 +10,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,31 +100,27 @@ class Discriminant:
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Discriminant:
     """Fits on every labelled row whose crc32(doc_id) modulo ``folds`` is not ``held``.
 
-    Statistics are taken where the texts lie; only (doc_id, numbers) meet the labels, and two sums a class reach the driver. Null labels and ids
-    are left out; without labels of either class the score is a constant.
+    Texts meet their labels first, so statistics are taken of labelled rows alone, and two sums a class reach the driver. A row counts once for each of its
+    labels. Null labels and ids are left out; without labels of either class the score is a constant.
     """
     bounded_batches(docs.sparkSession)
-    fields = "doc_id long, x array<double>"
     keep = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
 
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    named = labels.where(keep & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
+    taken = docs.where(keep).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(named, "doc_id").select("y", "text")
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 + DIM + DIM * DIM))
         for part in slices(batches):
-            x = _matrix(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+            all_, y = _matrix(part.column(1).to_pylist()), part.column(0).to_numpy()
+            for c in (0, 1):
+                x = all_[y == c]
+                sums[c] += np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
+        for c in (0, 1):
+            if sums[c, 0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.shape[1], c, np.int32)), pa.array(np.arange(sums.shape[1], dtype=np.int32)), pa.array(sums[c])], ["y", "i", "s"])
 
-    named = labels.where(keep & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
-    taken = docs.where(keep).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(stats, fields).join(named, "doc_id")
-
-    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for f in frames:
-            for y, g in f.groupby("y"):
-                x = np.stack(g["x"].to_list())
-                sums[y] = sums.get(y, 0) + np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
-        for y, s in sums.items():
-            yield pd.DataFrame({"y": y, "i": np.arange(len(s)), "s": s})
-
-    rows = taken.mapInPandas(moments, "y int, i int, s double").groupBy("y", "i").agg(F.sum("s").alias("s")).collect()
+    rows = taken.mapInArrow(moments, "y int, i int, s double").groupBy("y", "i").agg(F.sum("s").alias("s")).collect()
     out: dict[int, np.ndarray] = {}
     for y, i, s in rows:
         out.setdefault(y, np.zeros(1 + DIM + DIM * DIM))[i] = s
@@ -133,7 +128,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int =
 
 
 def score_quality(docs: DataFrame, model: Discriminant, column: str = "quality_score") -> DataFrame:
-    """``docs`` with a DOUBLE column of scores, map only. Null and empty texts are scored as texts without words."""
+    """``docs`` with a DOUBLE column of scores, map only; a column of that name is replaced. Null and empty texts are scored as texts without words."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == column.lower()])
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     at = names.index("text")

@@ -102,7 +102,7 @@ def top_k(embeddings: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's ``k`` best rows, ties to the smaller vec_id.
 
     ``is_query`` is a SQL predicate on vec_id. Candidates are all rows of the same dimension with another vec_id than the query's own. Rows with a null id, and
-    vectors that are null, empty or hold null or non-finite components take no part; a repeated candidate row counts each time, a repeated query row once. An
+    vectors that are null, empty or hold null or non-finite components take no part; a repeated candidate row counts each time, a repeated query once, by its smallest vector (arrays in order of their components). An
     empty table gives no rows; with fewer than k candidates all are returned. Extra columns are not read.
     """
     spark = embeddings.sparkSession
@@ -110,7 +110,7 @@ def top_k(embeddings: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     n = rows.count()
     groups = parts_for(spark, n, 64 * SHARD)
     shards = _packed(rows, SHARD, "true").withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = _packed(queries, BLOCK, "true").select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
     tiles = shards.hint("shuffle_hash").join(blocks, ["g", "dim"]).select("dim", "ids", "data", "q_ids", "q_data")
 
