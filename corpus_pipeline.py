@@ -18,7 +18,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     if not model.parts:
         return docs
-    return quality.score_quality(docs, model).where(F.col("quality_score") >= quality.CUT).select(*docs.columns)
+    score = "score"
+    while score in map(str.lower, docs.columns):  # a column of that name stays what it is
+        score += "_"
+    return quality.score_quality(docs, model, score).where(F.col(score) >= quality.CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
