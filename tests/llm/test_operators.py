@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, components, jaccard, lines, mixing, neighbours, pseudo_lm, quality, substrings, topk, toxicity
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, Words
 from tidemark.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row string, name string, size long, gone string"
@@ -81,6 +81,32 @@ def test_lines_by_brute_force(spark, empty):
     assert got.columns[: len(empty.columns)] == empty.columns and lines.dedup_lines(empty).count() == 0
 
 
+def test_hot_templates_and_further_rounds(spark, monkeypatch):
+    """One template in many lines: its keys are dealt anew by marks and candidates come in rounds, with the same result."""
+    r = random.Random(9)
+    texts = [(i, f"chapter of the book with number {r.randrange(10**6):06d} and more\nsecond line {r.randrange(300):04d} of it", "s") for i in range(400)]
+    plain = {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs(spark, texts)).collect()}
+    for name, value in (("HOLD", 2000), ("HOT", 500), ("ROOM", 1), ("PRODUCT", 1000)):
+        monkeypatch.setattr(lines, name, value)
+    monkeypatch.setattr(lines.shadowed_lines, "__defaults__", (lines.THRESHOLD, 1))
+    assert {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs(spark, texts).repartition(5)).collect()} == plain
+    first = {}
+    for i, t, _ in texts:
+        for x in t.split("\n"):
+            first.setdefault(x, i)
+    order = sorted(first, key=lambda x: (first[x], x))
+    bad = {b for k, b in enumerate(order) if any(lines.banded_distance(a, b, 2) <= 2 for a in order[:k])}
+    assert plain == {i: "\n".join(x for x in t.split("\n") if x not in bad and first[x] == i) for i, t, _ in texts}
+
+
+def test_lines_of_odd_rows(spark):
+    """Null texts stay null, rows without an id come last, repeated rows are judged alike, clashing columns pass through."""
+    line = "a line that is long enough to be near another one"
+    rows = [(1, line, "a"), (1, line, "a"), (2, None, "a"), (3, "", "a"), (None, line + "x", "a"), (None, "only here, where no id is", "a"), (4, " \n" + line + "\n\n", "a")]
+    got = sorted(map(tuple, lines.dedup_lines(docs(spark, rows)).select("doc_id", "text", "gone", "n_removed").collect()), key=str)
+    assert got == sorted([(1, line, "g", 0), (1, line, "g", 0), (2, None, "g", 0), (3, "", "g", 0), (None, "", "g", 1), (None, "only here, where no id is", "g", 0), (4, " \n\n", "g", 1)], key=str)
+
+
 def test_banded_distance():
     assert [lines.banded_distance(a, b, 2) for a, b in (("", ""), ("abc", "abd"), ("abc", "xyz"), ("abcd", "bcda"), ("a", "aaaa"))] == [0, 1, 3, 2, 3]
 
@@ -139,7 +165,7 @@ def test_pseudo_likelihood_by_brute_force(spark, table):
     words, one, two = plain_pseudo_likelihood(texts)
     assert totals.sum() == sum(one.values())
     e, num, bias, out, out_bias = (p.astype(float) for p in net.parts)
-    top = sorted(one, key=lambda w: (-one[w], int(pseudo_lm.word_hashes([w])[0] & pseudo_lm._KEY)))[: pseudo_lm.OWN]
+    top = sorted(one, key=lambda w: (-one[w], int(pseudo_lm.Words([w]).hash[0] & pseudo_lm._KEY)))[: pseudo_lm.OWN]
 
     def cls(w):
         if w in top:
@@ -187,6 +213,13 @@ def test_pseudo_likelihood_hears_order_and_not_layout(spark, empty):
     assert pseudo_lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_words_without_objects():
+    texts = [b" a bb\n\nccc", None, b"", b"\t\x0b", b"d\x00e \xc3\xa9\x0cf", b"a"]
+    w = Words(texts)
+    assert w.some(np.arange(len(w))) == [x for t in texts for x in (t or b"").split()] and w.lengths.tolist() == [len((t or b"").split()) for t in texts]
+    assert w.hash[0] == w.hash[-1] and len(set(w.hash.tolist())) == len(w) - 1 and len(Words([])) == 0 == len(Words([None]))
+
+
 def test_substrings_by_brute_force(spark, table, empty):
     low, n = {}, 13
     for i, t, _ in ROWS:

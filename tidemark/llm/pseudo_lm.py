@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, combine, slices, sorted_groups, tasks_for, word_hashes
+from tidemark.llm.common import Scratch, Words, combine, dealt, slices, sorted_groups
 
 #: Classes: the most frequent words, and all others by a band of their count and their shape.
 OWN, BANDS, SHAPES = 24, (2, 8, 64, 1024), 4
 CLASSES = OWN + (len(BANDS) + 1) * SHAPES
 HIDDEN, SIDE, EXPERTS = 16, 2, 4
 #: Each block of about BLOCK words trains in one round, in steps of STEP words; there every word is a target.
-ROUNDS, BLOCK, STEP = 3, 100_000, 512
+ROUNDS, BLOCK, STEP = 3, 100_000, 1024
 #: Text of a shard, and of a range of keys, about.
 SHARD_BYTES, RANGE_BYTES = 4e6, 12e6
 _KEY = np.uint64((1 << 48) - 2)
@@ -62,36 +62,48 @@ class Shard:
     """The words of some texts, and the distinct keys of its words (even) and of its pairs of neighbours (odd)."""
 
     def __init__(self, texts: list[bytes | None]):
-        words = [t.split() if t else [] for t in texts]
-        self.lengths = np.array([len(d) for d in words], np.int64)
-        self.words = [w for d in words for w in d]
-        self.doc = np.repeat(np.arange(len(words)), self.lengths)
-        h = word_hashes(self.words)
+        self.words = Words(texts)
+        self.lengths, self.doc, h = self.words.lengths, self.words.doc, self.words.hash
         self.linked = self.doc[1:] == self.doc[:-1]  # of each word but the last: whether the next one is in its document
         keys = np.concatenate((h & _KEY, combine(h[:-1], h[1:], 31)[self.linked] & _KEY | np.uint64(1)))
-        self.keys, self.first, self.at, self.counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        # Sorting numbers beats sorting places: the keys' high bits with the place behind them. Where low bits matter, the plain way.
+        n, low = len(keys), np.uint64(max(16, len(keys).bit_length()))
+        order = (np.sort(keys >> (low - np.uint64(16)) << low | np.arange(n, dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        keys_in_order = keys[order]
+        if (keys_in_order[1:] < keys_in_order[:-1]).any():
+            order = np.argsort(keys, kind="stable")
+            keys_in_order = keys[order]
+        self.order, self.new = order, np.append(True, keys_in_order[1:] != keys_in_order[:-1])[:n]
+        cut = np.flatnonzero(self.new)
+        self.keys, self.counts = keys_in_order[cut], np.diff(np.append(cut, n))
 
     def elsewhere(self, totals: np.ndarray) -> np.ndarray:
-        """How often each word, and then each pair, occurs in other documents."""
-        n = len(self.words)
-        out = []
-        for at, doc in ((self.at[:n], self.doc), (self.at[n:], self.doc[:-1][self.linked])):
-            _, inverse, own = np.unique(doc * len(self.keys) + at, return_inverse=True, return_counts=True)
-            out.append(totals[at] - own[inverse])
-        return np.concatenate(out)
+        """How often each word, and then each pair, occurs in other documents. Places of a key are in order, and so are documents."""
+        n = len(self.order)
+        doc = np.concatenate((self.doc, self.doc[:-1][self.linked]))[self.order]
+        cut = np.flatnonzero(self.new | np.append(True, doc[1:] != doc[:-1])[:n])
+        own = np.diff(np.append(cut, n))
+        out = np.empty(n, np.int64)
+        out[self.order] = np.repeat(totals[np.cumsum(self.new)[cut] - 1] - own, own)
+        return out
 
     def classes(self, totals: np.ndarray, top: np.ndarray) -> np.ndarray:
         """Class of each word. ``top``: the keys of the words with classes of their own."""
-        which = np.flatnonzero(self.keys & np.uint64(1) == 0)
-        some = [self.words[i] for i in self.first[which]]
-        head, tail = (np.fromiter((w[k] for w in some), np.uint8, len(some)) for k in (0, -1))
-        letter = lambda b: ((b | 32) >= 97) & ((b | 32) <= 122) | (b >= 128)
-        shape = np.where(~letter(head), 3, np.where(~letter(tail), 2, (head >= 65) & (head <= 90)))
-        cls = np.zeros(len(self.keys), np.uint8)
-        cls[which] = OWN + np.searchsorted(BANDS, totals[which], "right") * SHAPES + shape
+        m = len(self.words)
+        kind = np.searchsorted(BANDS, totals, "right").astype(np.uint8) * np.uint8(SHAPES) + np.uint8(OWN)
         for c, key in enumerate(top):
-            cls[self.keys == key] = c
-        return cls[self.at[: len(self.words)]]
+            kind[self.keys == key] = c
+        each = np.empty(len(self.order), np.uint8)
+        each[self.order] = np.repeat(kind, self.counts)
+        each = each[:m]
+        shape = _HEAD[self.words.bytes[self.words.start]]
+        shape = np.where((shape < 2) & ~_LETTER[self.words.bytes[self.words.end - 1]], 2, shape)
+        return np.where(each < OWN, each, each + shape).astype(np.uint8)
+
+
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+#: Shape of a word by its first byte: capital 1, other letter 0, no letter 3; a letter's word that ends with none is 2.
+_HEAD = np.array([3 if not _LETTER[b] else int(65 <= b <= 90) for b in range(256)], np.uint8)
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -99,13 +111,14 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, all first bytes before all second ones: sorted keys and small counts pack well so."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unpack_keys(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+def from_planes(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
     return out.view(np.uint64).ravel()
 
 
@@ -172,7 +185,7 @@ class Network:
         return np.concatenate([p.ravel() for p in self.parts])
 
     def forward(self, b: Block, at: slice) -> tuple[np.ndarray, ...]:
-        """(hidden, gates, class distribution) of some words; experts that the window rules out get no gate."""
+        """(hidden, gates, class distribution before its division, its sums) of some words; experts that the window rules out get no gate."""
         e, num, bias, out, out_bias = self.parts
         h = b.around[at] @ num + bias
         for k in range(2 * SIDE):
@@ -184,15 +197,14 @@ class Network:
         g[:, :2] *= b.open[at]
         g /= g.sum(1, keepdims=True)
         c = np.exp(c - c.max(1, keepdims=True))
-        c /= c.sum(1, keepdims=True)
-        return h, g, c
+        return h, g, c, c.sum(1)
 
-    def shares(self, b: Block, at: slice, g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, b: Block, at: slice, g: np.ndarray, c: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what each expert adds to the probability of the word, novel words' log probability left out; log probability)."""
         n = len(g)
         parts = np.empty((n, EXPERTS))
         parts[:, :3] = g[:, :3] * b.experts[at]
-        parts[:, 2] *= c[np.arange(n), b.cls[at]]
+        parts[:, 2] *= c[np.arange(n), b.cls[at]] / sums
         parts[:, 3] = np.where(b.novel[at], g[:, 3], 0.0)
         np.maximum(parts[:, 2], np.where(b.novel[at], 0.0, 1e-30), out=parts[:, 2])
         np.maximum(parts[:, 3], np.where(b.novel[at], 1e-30, 0.0), out=parts[:, 3])
@@ -202,19 +214,19 @@ class Network:
         out = np.empty(len(b))
         for i in range(0, len(b), 8192):
             at = slice(i, i + 8192)
-            _, g, c = self.forward(b, at)
-            out[at] = self.shares(b, at, g, c)[1]
+            _, g, c, z = self.forward(b, at)
+            out[at] = self.shares(b, at, g, c, z)[1]
         return out
 
     def step(self, b: Block, at: slice, sums: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step up the mean log probability."""
-        h, g, c = self.forward(b, at)
-        parts, _ = self.shares(b, at, g, c)
+        h, g, c, z = self.forward(b, at)
+        parts, _ = self.shares(b, at, g, c, z)
         n = len(g)
         r = (parts / parts.sum(1, keepdims=True)).astype(np.float32)
         d = np.empty((n, EXPERTS + CLASSES), np.float32)
         d[:, :EXPERTS] = r - g
-        d[:, EXPERTS:] = -c * r[:, 2:3]
+        np.multiply(c, -(r[:, 2] / z)[:, None], out=d[:, EXPERTS:])
         d[np.arange(n), EXPERTS + b.cls[at]] += r[:, 2]
         d /= n
         gh = (d @ self.parts[3].T) * (1 - h * h)
@@ -245,24 +257,24 @@ def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             where = range_of(s.keys, ranges)
             cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, int)
             ends = np.append(cut[1:], len(where)) if len(where) else cut
-            cols = [pa.array(where[cut].astype(np.int64)), pa.array([g.column(0)[0].as_py()] * len(cut), pa.int64()), pa.array([pack_keys(s.keys[i:j]) for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([s.counts[i:j].astype(np.uint32).tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())]
+            cols = [pa.array(where[cut].astype(np.int64)), pa.array([g.column(0)[0].as_py()] * len(cut), pa.int64()), pa.array([planes(s.keys[i:j], 6) for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([planes(s.counts[i:j], 4) for i, j in zip(cut, ends, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["range", "shard", "keys", "counts"])
 
-    asked = rows.select("shard", "text").repartition(tasks_for(shards), "shard").sortWithinPartitions("shard").mapInArrow(ask, "range long, shard long, keys binary, counts binary")
+    asked = dealt(rows.select("shard", "text"), "shard", shards).sortWithinPartitions("shard").mapInArrow(ask, "range long, shard long, keys binary, counts binary")
     top_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, 1):
             number, packed = g.column(0)[0].as_py(), g.column(2).to_pylist()
-            keys = np.concatenate([unpack_keys(p) for p in packed])
-            n = np.concatenate([np.frombuffer(c, np.uint32) for c in g.column(3).to_pylist()]).astype(np.int64)
+            keys = np.concatenate([from_planes(p, 6) for p in packed])
+            n = np.concatenate([from_planes(c, 4) for c in g.column(3).to_pylist()]).astype(np.int64)
             order = np.argsort(keys, kind="stable")
             cut = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
             total = np.add.reduceat(n[order], cut)
             back = np.empty(len(n), np.int64)
             back[order] = np.repeat(total, np.diff(np.append(cut, len(n))))
             ends = np.cumsum([len(p) // 6 for p in packed])
-            told = [back[e - len(p) // 6 : e].tobytes() for p, e in zip(packed, ends, strict=True)]
+            told = [planes(back[e - len(p) // 6 : e], 7) for p, e in zip(packed, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([g.column(1).combine_chunks(), pa.array([number] * len(told), pa.int64()), pa.array(told, pa.binary()), pa.array([None] * len(told), top_type)], ["shard", "range", "counts", "top"])
             word = order[cut]
             word, total = keys[word], np.where(keys[word] & np.uint64(1) == 0, total, 0)
@@ -270,11 +282,13 @@ def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             top = [{"key": int(word[i]), "n": int(total[i])} for i in best if total[i]]
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([number], pa.int64()), pa.array([b""], pa.binary()), pa.array([top], top_type)], ["shard", "range", "counts", "top"])
 
-    replies = scratch.save(asked.repartition(tasks_for(ranges), "range").sortWithinPartitions("range").mapInArrow(answer, REPLY), "replies")
+    replies = scratch.save(dealt(asked, "range", ranges).sortWithinPartitions("range").mapInArrow(answer, REPLY), "replies")
+    del asked
+    scratch.drop()
     top = np.array([r["key"] for r in replies.where("shard = -1").select(F.explode("top").alias("t")).select("t.*").orderBy(F.col("n").desc(), "key").limit(OWN).collect()], np.uint64)
     none = F.lit(None).cast("binary")
     told = replies.where("shard >= 0").select("shard", F.lit(0).cast("long").alias("kind"), F.lit(None).cast("long").alias("doc_id"), none.alias("text"), F.col("range").alias("tie"), "counts")
-    both = told.union(rows.select("shard", F.lit(1).cast("long"), "doc_id", "text", "tie", none)).repartition(tasks_for(shards), "shard").sortWithinPartitions("shard", "kind", F.when(F.col("kind") == 1, F.col("doc_id")), "tie")
+    both = dealt(told.union(rows.select("shard", F.lit(1).cast("long"), "doc_id", "text", "tie", none)), "shard", shards).sortWithinPartitions("shard", "kind", F.when(F.col("kind") == 1, F.col("doc_id")), "tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("cls", pa.binary()), ("own", pa.binary()), ("pair", pa.binary()), ("novel", pa.binary()), ("idx", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
@@ -283,7 +297,7 @@ def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for g in sorted_groups(batches, 2):
             number = g.column(0)[0].as_py()
             if g.column(1)[0].as_py() == 0:
-                reply = number, np.frombuffer(b"".join(g.column(5).to_pylist()), np.int64)
+                reply = number, np.concatenate([from_planes(c, 7) for c in g.column(5).to_pylist()]).astype(np.int64)
                 continue
             ids, s = g.column(2).to_pylist(), Shard(g.column(3).to_pylist())
             totals = reply[1] if reply[0] == number else np.zeros(0, np.int64)
@@ -294,7 +308,7 @@ def _blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             own, pair = log[:m], np.full(m, -1, np.float16)
             pair[:-1][s.linked] = log[m:]
             cls = s.classes(totals, top) if m else np.zeros(0, np.uint8)
-            novel = [s.words[i].replace(b"\0", b"\1") for i in np.flatnonzero(out[:m] == 0)]
+            novel = [w.replace(b"\0", b"\1") for w in s.words.some(np.flatnonzero(out[:m] == 0))]
             at_novel = np.concatenate(([0], np.cumsum(out[:m] == 0)))
             ends = np.concatenate(([0], np.cumsum(s.lengths)))
             i, k = 0, 0
