@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -78,8 +79,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        # Python lets go of frames, the JVM hears of it a moment later; what both have forgotten goes with the second collection.
+        for _ in range(2):
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(0.2)
 
 
 def n_words(text: Column) -> Column:

@@ -27,9 +27,9 @@ SHORT = 12
 #: Bytes of text, or lines, for each bucket of segments.
 BUCKET_BYTES, BUCKET_LINES = 12e6, 60_000
 #: Entries of a bucket that a task holds; products of a key that it forms in place; products formed at a time.
-HOLD, HOT, _PRODUCT = 4_000_000, 50_000_000, 1_000_000
-#: Candidates of a line and bucket in the first round.
-ROOM = 8
+HOLD, HOT, PRODUCT = 4_000_000, 50_000_000, 1_000_000
+#: Candidates of a line and bucket in the first round; bits of hashed keys by which further rounds leave out what open lines cannot meet.
+ROOM, BITS = 64, 1 << 23
 
 
 def banded_distance(a: str, b: str, most: int) -> int:
@@ -171,21 +171,49 @@ def distinct_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(table.select(F.unhex(F.md5("line")).alias("lid"), "line", "first_doc", "n_docs"), "lines")
 
 
-def keyed_lines(lines: DataFrame, buckets: int, most: int, only_open: bool) -> DataFrame:
-    """Segments and probes of all lines in packed blobs, by bucket of their key: key, line, its first document, kind, pair marks. Kinds 2 and 3 are those of an open line."""
+def keyed_lines(lines: DataFrame, buckets: int, most: int, wanted: np.ndarray | None) -> DataFrame:
+    """Segments and probes in packed blobs, by bucket of their key: key, line, its first document, kind, pair marks. Kinds 2 and 3 are those of an open line.
+
+    ``wanted``: bits of hashed keys (none: all keys) that open lines have; what has no such key cannot be their partner.
+    """
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             texts = part.column(1).to_pylist()
             key, line, kind = segment_keys(texts, most)
+            if wanted is not None:
+                met = np.flatnonzero(wanted[key % np.uint64(BITS)])
+                key, line, kind = key[met], line[met], kind[met]
             ids, marks = np.frombuffer(b"".join(x[:8] for x in part.column(0).to_pylist()), np.int64), pair_marks(texts)
             doc = part.column(2).fill_null(_LAST).to_numpy()
             kind = kind + 2 * part.column(3).to_numpy(zero_copy_only=False).astype(np.int8)[line]
-            yield _entries((key % np.uint64(buckets)).astype(np.int64), key, ids[line], doc[line], kind, marks[line])
+            if len(key):
+                yield _entries((key % np.uint64(buckets)).astype(np.int64), key, ids[line], doc[line], kind, marks[line])
 
-    flag = F.coalesce(F.col("open"), F.lit(False)) if only_open else F.lit(True)
+    flag = F.lit(True) if wanted is None else F.col("open")
     return lines.select("lid", "line", F.col("first_doc").cast("long"), flag.alias("open")).mapInArrow(keys, MET)
 
 
+def open_keys(lines: DataFrame, most: int) -> np.ndarray:
+    """BITS bits of hashed keys that open lines have: of one size, whatever their number."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.zeros(BITS, bool), False
+        for part in slices(batches, 1024):
+            bits[segment_keys(part.column(0).to_pylist(), most)[0] % np.uint64(BITS)] = seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["v"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS // 8, np.uint8)
+        for part in slices(batches, 4):
+            for v in part.column(0).to_pylist():
+                bits |= np.frombuffer(v, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["v"])
+
+    few = max(1, int(lines.sparkSession.sparkContext.defaultParallelism))
+    out = lines.where("open").select("line").mapInArrow(hashed, "v binary").repartition(few).mapInArrow(either, "v binary").repartition(1).mapInArrow(either, "v binary").first()
+    return np.unpackbits(np.frombuffer(bytes(out[0]), np.uint8)).astype(bool)
+
+
 def _entries(bucket: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket with its entries packed; the columns of candidates stay null."""
     order = np.argsort(bucket, kind="stable")
@@ -212,7 +240,7 @@ def _earliest(b: np.ndarray, a: np.ndarray, doc: np.ndarray, room: int) -> tuple
     return b[keep], a[keep], doc[keep], place[keep]
 
 
-def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray, marks: np.ndarray, most: int, skip: int, room: int) -> pa.RecordBatch | None:
+def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray, marks: np.ndarray, most: int, skip: int, room: int, product: int) -> pa.RecordBatch | None:
     """Candidates (a, b): a is not later than the open line b, shares a key, and their marks allow ``most`` edits; the earliest ones after ``skip``, ``room`` at most.
 
     Products are formed some at a time, so memory is bounded by the entries and the candidates kept.
@@ -224,18 +252,18 @@ def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray
     some = high > low
     low, high, probe = low[some], high[some], probe[some]
     # Probes with very many partners are taken in pieces.
-    pieces = -(-(high - low) // _PRODUCT)
+    pieces = -(-(high - low) // product)
     at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     low, high, probe = (np.repeat(x, pieces) for x in (low, high, probe))
-    low = low + at * _PRODUCT
-    high = np.minimum(high, low + _PRODUCT)
+    low = low + at * product
+    high = np.minimum(high, low + product)
     total, i, held, size = np.concatenate(([0], np.cumsum(high - low))), 0, [], 0
 
     def settled() -> list[np.ndarray]:
         return list(_earliest(*(np.concatenate(x) for x in zip(*held, strict=True)), skip + room))
 
     while i < len(probe):
-        j = max(i + 1, int(np.searchsorted(total, total[i] + _PRODUCT, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(total, total[i] + product, "right")) - 1)
         n = high[i:j] - low[i:j]
         left = np.repeat(probe[i:j], n)
         right = index[np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -247,7 +275,7 @@ def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray
             if ok.any():
                 held.append((who[b[ok]], who[a[ok]], doc[a[ok]]))
                 size += int(ok.sum())
-        if size > 2 * _PRODUCT:
+        if size > 2 * product:
             held = [tuple(settled()[:3])]
             size = len(held[0][0])
         i = j
@@ -261,14 +289,12 @@ def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 5, pa.array(a[keep]), pa.array(b[keep]), pa.array(more[keep])], schema=_MET)
 
 
-def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip: int, room: int, only_open: bool) -> DataFrame:
+def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip: int, room: int, buckets: int, wanted: np.ndarray | None) -> DataFrame:
     """(a, b, more) by the first eight bytes of line ids: earlier candidates of each (open) line, and whether a key has more of them.
 
     Buckets are compared in place. Keys with very many lines, and all of a bucket beyond HOLD entries, are dealt anew by stretches of their pair marks: marks that differ in
     4 * most bits at most agree in one of 4 * most + 1 stretches, so no candidate is lost, and a template's lines spread over many tasks.
     """
-    size, n_lines = lines.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = int(max(size / BUCKET_BYTES, n_lines / BUCKET_LINES)) + 1
     bands = 4 * most + 1
     edges = [64 * k // bands for k in range(bands + 1)]
 
@@ -282,7 +308,7 @@ def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip:
         return tuple(_column(g, n, t) for n, t in (("key", np.uint64), ("who", np.int64), ("doc", np.int64), ("kind", np.int8), ("marks", np.int64)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pieces in _in_pieces(batches):
+        for pieces in _in_pieces(batches, HOLD):
             whole = next(pieces)
             following = next(pieces, None)
             if following is not None:  # the bucket is too large to hold: all of it is dealt anew, a piece at a time
@@ -296,17 +322,17 @@ def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip:
             if hot.any():
                 yield from anew(*(c[hot[at]] for c in cols))
                 cols = tuple(c[~hot[at]] for c in cols)
-            out = _compare(*cols, most, skip, room)
+            out = _compare(*cols, most, skip, room, PRODUCT)
             if out is not None:
                 yield out
 
     def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, 1):
-            out = _compare(*unpacked(g), most, skip, room)
+            out = _compare(*unpacked(g), most, skip, room, PRODUCT)
             if out is not None:
                 yield out
 
-    entries = keyed_lines(lines, buckets, most, only_open)
+    entries = keyed_lines(lines, buckets, most, wanted)
     met = scratch.save(dealt(entries, "bucket", buckets).sortWithinPartitions("bucket").mapInArrow(meet, MET), f"{name}-met")
     pairs, hot = met.where("a IS NOT NULL").select("a", "b", "more"), met.where("key IS NOT NULL")
     if not hot.isEmpty():
@@ -315,8 +341,8 @@ def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip:
     return pairs.groupBy("b", "a").agg(F.max("more").alias("more"))
 
 
-def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.Table]]:
-    """The buckets of a partition that is sorted by bucket, each as an iterator over tables of at most HOLD entries or so."""
+def _in_pieces(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[Iterator[pa.Table]]:
+    """The buckets of a partition that is sorted by bucket, each as an iterator over tables of ``hold`` entries or so."""
     rows = ((b.column(0)[i].as_py(), b.slice(i, 1)) for batch in batches for b in (batch,) for i in range(batch.num_rows))
 
     def pieces(group: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[pa.Table]:
@@ -324,7 +350,7 @@ def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.Table]
         for _, row in group:
             held.append(row)
             size += len(row.column(1)[0].as_py()) // 8
-            if size > HOLD:
+            if size > hold:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
         if held:
@@ -366,9 +392,11 @@ def shadowed_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD, ro
     ``lines``: lid, line, first_doc. Of each line and key the ``room`` earliest candidates are verified first. Lines for which none held and which have more then try
     the following ones, eight times as many, until none is left: every line needs one earlier partner only, so pairs are not listed, and none is missed.
     """
-    found, tried, rounds = None, 0, 0
+    size, n_lines = lines.agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = int(max(size / BUCKET_BYTES, n_lines / BUCKET_LINES)) + 1
+    found, tried, rounds, wanted = None, 0, 0, None
     while True:
-        pairs = scratch.save(_candidates(lines, scratch, f"r{rounds}", most, tried, room, rounds > 0), f"r{rounds}-pairs")
+        pairs = scratch.save(_candidates(lines, scratch, f"r{rounds}", most, tried, room, buckets, wanted), f"r{rounds}-pairs")
         new = scratch.save(_verified(lines, pairs, scratch, f"r{rounds}", most), f"r{rounds}-shadowed")
         found = new if found is None else found.union(new)
         open_ = pairs.groupBy(F.col("b").alias("k")).agg(F.max("more").alias("open")).where("open")
@@ -378,7 +406,7 @@ def shadowed_lines(lines: DataFrame, scratch: Scratch, most: int = THRESHOLD, ro
         scratch.drop(f"r{rounds}-met", f"r{rounds}-hot", f"r{rounds}-named", f"r{rounds}-pairs")
         if still.where("open").isEmpty():
             break
-        lines, tried, room, rounds = still, tried + room, 8 * room, rounds + 1
+        lines, tried, room, rounds, wanted = still, tried + room, 8 * room, rounds + 1, open_keys(still, most)
     return found.distinct()
 
 
