@@ -1,19 +1,20 @@
 """N-gram Jaccard join by prefix trees.
 
 Each document is the set of its distinct word n-grams. Equal sets are compared once. N-grams of rare words come first in one global order (from a fixed-size
-sketch of word counts over all documents), and two sets that are similar enough share an n-gram of their prefixes in that order. All sets that share a prefix n-gram, without a gap in their sizes that the
-bound excludes, meet in the star of the smallest of them (the hub): there they are stored in a compressed trie, common n-grams first, and each open set walks the trie, adding up
+sketch of word counts over all documents), and two sets that are similar enough share an n-gram of their prefixes in that order. Sizes are parted into bands that the bound
+spans at most two of; all sets of a prefix n-gram in a band and the next one meet in the star of the smallest of them (the hub): there they are stored in a compressed trie, common n-grams first, and each open set walks the trie, adding up
 overlaps node by node, leaving subtrees whose remaining lengths cannot reach the bound or that are linked with it already. Stars beyond a
 size are cut into chunks that each hold the hub; what is not linked with the hub then meets every chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Fingerprints, Scratch, combine, mix, slices, sorted_groups, word_hashes
@@ -195,6 +196,17 @@ def link_sets(sets: list[np.ndarray], percent: int, open_first: list[int], queri
     return label[place]
 
 
+def _bands(rows: DataFrame) -> DataFrame:
+    """(gram, band, first, low): the smallest set of each n-gram and band of sizes, and that of the band below, where another set is in the band or beside it.
+
+    Minima and counts are combined before the shuffle, so an n-gram that very many sets share is no row of its own anywhere.
+    """
+    own = rows.groupBy("gram", "band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("n_shingles", "class_id")).alias("first"))
+    none = F.lit(None).cast("struct<n_shingles:bigint,class_id:bigint>")
+    told = F.explode(F.array(F.struct("band", "n", "first", none.alias("low")), F.struct((F.col("band") + 1).alias("band"), F.lit(1).cast("long").alias("n"), none.alias("first"), F.col("first").alias("low")), F.struct((F.col("band") - 1).alias("band"), F.lit(1).cast("long").alias("n"), none.alias("first"), none.alias("low")))).alias("t")
+    return own.select("gram", told).select("gram", "t.*").groupBy("gram", "band").agg(F.sum("n").alias("n"), F.max("first").alias("first"), F.max("low").alias("low")).where("first IS NOT NULL AND n > 1").drop("n")
+
+
 def _edges(ids: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     order = np.lexsort((ids, label))
     lab, who = label[order], ids[order]
@@ -232,18 +244,18 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
     real = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch.save(real.groupBy("name").agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = real.join(classes, "name").where("doc_id = class_id").select("class_id", "n_shingles", F.explode("prefix").alias("gram"))
-    # Along the sizes of a gram's documents, a step beyond the bound parts the star: no pair across it is similar enough.
-    along = Window.partitionBy("gram").orderBy("n_shingles", "class_id")
-    before, after = F.lag("n_shingles").over(along), F.lead("n_shingles").over(along)
-    opens = before.isNull() | (100 * before < percent * F.col("n_shingles"))
-    lone = opens & (after.isNull() | (percent * after > 100 * F.col("n_shingles")))
-    met = scratch.save(firsts.withColumn("lone", lone).where("NOT lone").drop("lone"), "met")
+    # Similar sets lie in one band of sizes or in two that follow each other; a little wider than the bound, against rounding.
+    width = 1.0001 * max(math.log(100 / percent), 1e-6)
+    shared = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("gram")
+    met = scratch.save(firsts.join(shared, "gram").withColumn("band", F.floor(F.log("n_shingles") / width)), "met")
+    near = met.join(_bands(met).select("gram", "band"), ["gram", "band"])
     # A set with a partner meets it in as many n-grams as its smallest partner's prefix promises; sets that meet fewer have none.
     least = F.ceil(F.col("n_shingles") * percent / 100)
-    some = met.groupBy("class_id", "n_shingles").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= 1 + F.floor(least * 3 / 100)).select("class_id")
-    runs = met.join(some, "class_id", "left_semi").withColumn("opens", opens).withColumn("hub", F.last(F.when(F.col("opens"), F.col("class_id")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    star = scratch.save(runs.where("NOT opens AND hub <> class_id").select("hub", "class_id", "n_shingles").distinct(), "star")
-    scratch.drop("met")
+    some = near.groupBy("class_id", "n_shingles").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= 1 + F.floor(least * 3 / 100)).select("class_id")
+    runs = scratch.save(near.join(some, "class_id", "left_semi"), "runs")
+    hubs = F.explode(F.array_compact(F.array("first.class_id", "low.class_id"))).alias("hub")
+    star = scratch.save(runs.join(_bands(runs), ["gram", "band"]).select(hubs, "class_id", "n_shingles").where("hub <> class_id").distinct(), "star")
+    scratch.drop("met", "runs")
     sizes = star.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("chunks"))
     own = sizes.select("hub", F.col("hub").alias("class_id"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     dealt = star.join(sizes, "hub").select("hub", "class_id", "chunks", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int").alias("chunk"))

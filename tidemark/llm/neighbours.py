@@ -1,8 +1,8 @@
 """Embedding near-dedup: NN-descent over the distinct vectors of each label.
 
 A first neighbour graph comes from blocks of random hyperplanes; joins of neighbours of neighbours refine it until few lists change. Edges at the
-threshold are kept. Where a list is full of such edges it is saturated and may hide links: its vector is then compared exactly with all rows of its label in other components,
-and the members of each component among themselves, tile by tile, so that every link of a saturated vector counts.
+threshold are kept. Where a list is full of such edges it is saturated and may hide links: it is enlarged and refined again, and a vector that fills the larger
+list too is compared exactly with all rows of its label in other components, and the members of each component among themselves, tile by tile, so that every link of a saturated vector counts.
 An audit compares vectors drawn by hash from components of every size with all rows; while its recall is low anywhere, more blocks and rounds follow, and after the
 last of them every vector is compared exactly.
 """
@@ -14,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Scratch, slices, sorted_groups
 from tidemark.llm.components import connected_components
 from tidemark.llm.topk import usable
 
-K = 8
+#: Partners in a list, and in the enlarged lists of saturated vectors.
+K, ENLARGED = 8, (32,)
 #: The first graph has TREES trees at least; in large labels so many that a pair at the threshold shares a block of one of them but for a chance of APART.
 TREES, APART = 4, 0.03
 #: Vectors of a block of the first graph, and of a tile.
@@ -47,10 +49,14 @@ def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(a2)) - first < k]
 
 
-def _keep_best(edges: DataFrame, k: int) -> DataFrame:
-    """(a, b, sim): each a's k best partners. The group of an a holds few rows: k for each task that found some."""
-    top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("s"), F.col("b").alias("b")))), 1, k)
-    return edges.groupBy("a").agg(top.alias("t")).select("a", F.explode("t").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.s")).alias("sim"))
+def _keep_best(edges: DataFrame, k: int, wide: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim): each a's k best partners, ``room`` of them for those that ``wide`` (id, room) names. The group of an a holds few rows: its list for each task that found some."""
+    if wide is None:
+        edges, room = edges.withColumn("room", F.lit(k)), F.lit(k)
+    else:
+        edges, room = edges.join(wide.withColumnRenamed("id", "a"), "a", "left").withColumn("room", F.coalesce("room", F.lit(k))), F.col("room")
+    top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("s"), F.col("b").alias("b")))), F.lit(1), room)
+    return edges.groupBy("a", "room").agg(top.alias("t")).select("a", F.explode("t").alias("e")).select("a", F.col("e.b").alias("b"), (-F.col("e.s")).alias("sim"))
 
 
 EDGE = "a long, b long, sim double"
@@ -98,9 +104,14 @@ def _block_edges(reps: DataFrame, sizes: DataFrame, dim_seed: int, times: int, k
     return dealt.groupBy("lab", "tree", "dim", "sig", "piece").applyInPandas(block, EDGE)
 
 
-def _descend(edges: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """One round: the neighbours of each vector, either way, meet as candidates of one another."""
-    worst = edges.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
+def _descend(edges: DataFrame, reps: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """One round: the neighbours of each vector, either way, meet as candidates of one another. ``wide``: (id, room) of enlarged lists, of ``most`` at most."""
+    full = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+    room = F.lit(k)
+    if wide is not None:
+        full, room = full.join(wide.withColumnRenamed("id", "a"), "a", "left"), F.coalesce("room", F.lit(k))
+    worst = full.select("a", F.when(F.col("n") >= room, F.col("low")).otherwise(-2.0).alias("floor"))
+    k = max(k, most)
     either = edges.select(F.col("a").alias("at"), F.col("b").alias("id")).union(edges.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
     # A vector that very many lists name meets them in pieces of hashed partners, not all at once.
     deg = either.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
@@ -150,12 +161,17 @@ def _links_within(reps: DataFrame, comps: DataFrame, threshold: float) -> DataFr
             out.append(pd.DataFrame({"id": right["id"], "links": hit.T @ left["copies"].to_numpy()}))
         return pd.concat(out)
 
-    return pairs.groupBy("comp", "i", "j").applyInPandas(tile, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    # Dealt by tile: the joins before left all tiles of a component in one partition.
+    tiles = min(50_000, int(n.agg(F.coalesce(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2), F.lit(0))).first()[0]) + 1)
+    return pairs.repartition(tiles, "comp", "i", "j").groupBy("comp", "i", "j").applyInPandas(tile, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _saturated(edges: DataFrame, threshold: float, k: int) -> DataFrame:
+def _saturated(edges: DataFrame, threshold: float, k: int, wide: DataFrame | None = None) -> DataFrame:
     """(id) of the vectors whose lists are full of edges at the threshold: further links may have been cut off."""
-    return edges.where(F.col("sim") >= threshold).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("a").alias("id"))
+    n = edges.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if wide is not None:
+        return n.join(wide, "id", "left").where(F.col("n") >= F.coalesce("room", F.lit(k))).select("id")
+    return n.where(F.col("n") >= k).select("id")
 
 
 def _links_across(reps: DataFrame, comps: DataFrame, picked: DataFrame, threshold: float, scratch: Scratch, name: str) -> DataFrame:
@@ -208,16 +224,25 @@ def _links_across(reps: DataFrame, comps: DataFrame, picked: DataFrame, threshol
     return scratch.save(left.union(right).groupBy("comp", "t", "piece").applyInPandas(linked, "a long, b long").distinct(), f"{name}-across")
 
 
+def _label(embeddings: DataFrame) -> Column:
+    """Whole numbers as they are, other labels by a 64-bit hash of their value."""
+    kind = embeddings.schema["label"].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col("label").cast("long")
+    value = F.col("label") + F.lit(0).cast(kind) if isinstance(kind, T.FractionalType) else F.col("label")  # -0.0 is 0.0
+    return F.when(F.col("label").isNotNull(), F.xxhash64(value))
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, audit: bool = True) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Vectors are compared by cosine in double precision where their labels are equal and not null and their dimensions agree. Null, empty and zero
+    Vectors are compared by cosine in double precision where their labels, of whatever type, are equal and not null and their dimensions agree. Null, empty and zero
     vectors and those with null or non-finite components link with nothing. Equal vectors of a label are compared once and count as links of one another. Rows
     with a null vec_id come back with no links and their null as component. Repeated vec_ids are rows of their own with the same component. Extra columns are not read.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "nn")
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("long").alias("lab"))
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"), _label(embeddings).alias("lab"))
     good = F.coalesce(usable("e"), F.lit(False)) & F.col("lab").isNotNull() & F.col("vec_id").isNotNull()
     # Scaled by the largest component first, so that squares neither overflow nor vanish; -0.0 counts as 0.0.
     big = F.array_max(F.transform("e", lambda x: F.abs(x)))
@@ -234,23 +259,33 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
     sizes = scratch.save(_label_sizes(reps, threshold), "sizes")
     edges = scratch.save(_keep_best(_block_edges(reps, sizes, 5, 1, k), k), "g0")
     n = reps.count()
-    step = 0
+    step, wide, most = 0, None, ENLARGED[-1]
     for go in range(TRIES):
         for _ in range(4):
-            found = edges.union(_descend(edges, reps, k))
-            new = scratch.save(_keep_best(found, k), f"g{step + 1}")
+            found = edges.union(_descend(edges, reps, k, wide, most if wide is not None else k))
+            new = scratch.save(_keep_best(found, k, wide), f"g{step + 1}")
             # The rounds stop when hardly any edge at the threshold is new outside saturated lists, which are compared exactly and of which a hot group has most.
             strong = new.where(F.col("sim") >= threshold)
-            open_ = strong.join(_saturated(new, threshold, k).withColumnRenamed("id", "a"), "a", "left_anti")
+            open_ = strong.join(_saturated(new, threshold, k, wide).withColumnRenamed("id", "a"), "a", "left_anti")
             fresh = open_.join(edges.select("a", "b"), ["a", "b"], "left_anti").count()
             few = fresh <= 0.01 * open_.count()
             scratch.drop(f"g{step}")
             edges, step = new, step + 1
             if few:
                 break
+        # Saturated lists are enlarged and refined again; what fills the larger list too is compared exactly.
+        for room in ENLARGED:
+            full = scratch.save(_saturated(edges, threshold, k, wide).withColumn("room", F.lit(room)), f"full{step}")
+            if full.isEmpty():
+                break
+            old = full if wide is None else wide.join(full, "id", "left_anti").union(full)
+            wide = scratch.save(old, f"wide{step}")
+            new = scratch.save(_keep_best(edges.union(_descend(edges, reps, k, wide, room)), k, wide), f"g{step + 1}")
+            scratch.drop(f"g{step}", f"full{step}")
+            edges, step = new, step + 1
         strong = edges.where(F.col("sim") >= threshold).select("a", "b")
         comps = connected_components(strong, scratch, f"cc{go}")
-        across = _links_across(reps, comps, _saturated(edges, threshold, k), threshold, scratch, f"sat{go}")
+        across = _links_across(reps, comps, _saturated(edges, threshold, k, wide), threshold, scratch, f"sat{go}")
         if not across.isEmpty():
             comps = connected_components(strong.union(across), scratch, f"cs{go}")
         if not audit or n == 0:
@@ -263,7 +298,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
             comps = connected_components(strong.union(across), scratch, "ca")
             break
         more = _block_edges(reps, sizes, 5, 2, k, first=2 * go + 1)
-        new = scratch.save(_keep_best(edges.union(more), k), f"g{step + 1}")
+        new = scratch.save(_keep_best(edges.union(more), k, wide), f"g{step + 1}")
         scratch.drop(f"g{step}")
         edges, step = new, step + 1
     links = _links_within(reps, comps, threshold)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Fingerprints, Scratch, combine, mix, parts_for, slices, sorted_groups, word_hashes
+from tidemark.llm.common import Fingerprints, Scratch, combine, dealt, mix, slices, sorted_groups, word_hashes
 
 #: Consecutive words of a window.
 WINDOW = 13
@@ -28,7 +28,7 @@ ROUNDS = 3
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FAR = np.int64(1) << np.int64(40)
 #: Text bytes of a bucket's keys and of a shard, about.
-BUCKET_BYTES, SHARD_BYTES = 16e6, 13e6
+BUCKET_BYTES, SHARD_BYTES = 8e6, 8e6
 BLOB = "bucket long, n int, a binary, b binary, c binary, d binary"
 
 
@@ -142,15 +142,14 @@ def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _groups(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket").sortWithinPartitions("bucket")
+def _groups(df: DataFrame, buckets: int) -> DataFrame:
+    return dealt(df, "bucket", buckets).sortWithinPartitions("bucket")
 
 
 def find_repeats(docs: DataFrame, window: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, int, int]:
     """(answers: a row (bucket = shard, fingerprints a, smallest doc_id b) for windows that a smaller doc_id has too, number of shards, of buckets)."""
-    spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards, buckets = parts_for(spark, size, SHARD_BYTES), parts_for(spark, size, BUCKET_BYTES)
+    shards, buckets = int(size / SHARD_BYTES) + 1, int(size / BUCKET_BYTES) + 1
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), shard).where("doc_id IS NOT NULL")
 
@@ -204,7 +203,7 @@ def find_repeats(docs: DataFrame, window: int, rounds: int, scratch: Scratch) ->
             if tell.any():
                 yield _blobs(sh[tell].astype(np.int64), [key[tell]])
 
-    answers = _groups(asked.where("bucket >= 0")).mapInArrow(shared, BLOB).union(asked.where("bucket < 0").withColumn("bucket", -1 - F.col("bucket")))
+    answers = _groups(asked.where("bucket >= 0"), buckets).mapInArrow(shared, BLOB).union(asked.where("bucket < 0").withColumn("bucket", -1 - F.col("bucket")))
     answers = scratch.save(answers.select("bucket", "a", "b"), "shared")
     scratch.drop("keys")
 
@@ -231,7 +230,7 @@ def find_repeats(docs: DataFrame, window: int, rounds: int, scratch: Scratch) ->
                 f, low, high = f[cut][back], low[back], high[back]
                 yield _blobs((f % np.uint64(buckets)).astype(np.int64), [f, low, high, np.full(len(f), number, np.int32)])
 
-    asked = scratch.save(_with_docs(rows, answers).mapInArrow(candidates, BLOB), "windows")
+    asked = scratch.save(_with_docs(rows, answers, shards).mapInArrow(candidates, BLOB), "windows")
     scratch.drop("shared")
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,16 +245,16 @@ def find_repeats(docs: DataFrame, window: int, rounds: int, scratch: Scratch) ->
                 back = np.argsort(least[tell], kind="stable")
                 yield _blobs(sh[tell][back].astype(np.int64), [f[tell][back], least[tell][back]])
 
-    answers = scratch.save(_groups(asked).mapInArrow(smallest, BLOB).select("bucket", "a", "b"), "repeats")
+    answers = scratch.save(_groups(asked, buckets).mapInArrow(smallest, BLOB).select("bucket", "a", "b"), "repeats")
     scratch.drop("windows")
     return answers, shards, buckets
 
 
-def _with_docs(rows: DataFrame, answers: DataFrame) -> DataFrame:
+def _with_docs(rows: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
     """(shard, 0, -, -, a, b) for answers, then (shard, 1, doc_id, text, -, -): shards together, answers first."""
     none = F.lit(None).cast("binary")
     told = answers.select(F.col("bucket").alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("doc_id"), none.alias("text"), "a", "b")
-    return told.union(rows.select("shard", F.lit(1), "doc_id", "text", none, none)).repartition("shard").sortWithinPartitions("shard", "kind")
+    return dealt(told.union(rows.select("shard", F.lit(1), "doc_id", "text", none, none)), "shard", shards).sortWithinPartitions("shard", "kind")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
@@ -317,7 +316,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
             yield finish(part.column(0).to_pylist(), words, [len(w) for w in words])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    judged = _with_docs(rows.where("doc_id IS NOT NULL"), answers).mapInArrow(remove, schema)
+    judged = _with_docs(rows.where("doc_id IS NOT NULL"), answers, shards).mapInArrow(remove, schema)
     return judged.union(rows.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(as_is, schema))
 
 
