@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import drift, ranges
+from tidemark.functions import drift
 from tidemark.operators.drift import drift_status
 from tidemark.plans import evolving as E
 from tidemark.plans import lifecycle as L
@@ -33,17 +33,56 @@ def test_drift_is_seen_in_batch_and_stream(spark, tmp_path):
     assert drift_status(s.limit(0)).count() == 0
 
 
-def test_retrainer_climbs_and_starts_anew(tmp_path):
+def test_retrainer_climbs_and_starts_anew(spark, tmp_path):
     assert [drift.spawn_count(drift.severity(p)) for p in (0.3, 0.375, 0.5)] == [4, 7, 12]
-    r = L.Retrainer(L.Registry(str(tmp_path / "r.json")))
+    assert [drift.severity_of_score(x) for x in (0.0, 0.15, 0.3, 0.9)] == [1.0, 0.5, 0.0, 0.0]
+    r = L.Retrainer(L.Registry(spark, str(tmp_path / "r")))
     assert [len(r.see(p)) for p in (0.1, 0.3, 0.3, 0.375, 0.5, 0.5, 0.1, 0.3)] == [0, 4, 0, 3, 5, 0, 0, 4]
+    assert r.registry.get(1).name == "retrain_a0.15_w200"
 
 
-def test_sequential_promotion_compares_all_units():
+def test_decision_and_its_reasons(spark):
+    scores = lambda **d: spark.createDataFrame([(k, i, float(x)) for k, v in d.items() for i, x in enumerate(v)], "detector string, unit int, score double")
+    base = [0.1] * 10
+    assert L.decide(scores(c=base), "c")["reason"] == "no challengers"
+    won = L.decide(scores(c=base, x=[0.2] * 10, y=[0.15] * 10), "c")
+    assert won["promote"] and won["challenger"] == "x" and won["wins"] == 10 and won["p"] == 1 / 1024
+    assert "not below" in L.decide(scores(c=base, x=[0.9] + [0.05] * 9), "c")["reason"]
+    assert "below 0.5" in L.decide(scores(c=base, x=[0.2] * 10), "c", min_delta=0.5)["reason"]
+    with pytest.raises(ValueError):
+        L.decide(scores(c=base, x=[0.2] * 9), "c")
+
+
+def test_sequential_promotion_compares_all_units(spark):
     units = [{"a": 0.0, "b": 0.1, "c": 0.0} for _ in range(10)] + [{"a": 0.0, "b": 0.1, "c": 5.0} for _ in range(30)]
-    assert L.sequential_promotion(units, "a", min_units=8)[0] == (7, "b")
-    assert [n for _, n in L.sequential_promotion(units, "a", min_units=8)] == ["b", "c"]
-    assert L.sequential_promotion(units[:5], "a", min_units=8) == []
+    table = lambda u: spark.createDataFrame([(i, k, v) for i, x in enumerate(u) for k, v in x.items()], "unit int, detector string, score double")
+    got = L.sequential_promotion(table(units), "a", min_units=8).orderBy("turn").collect()
+    changes = [(r["turn"], r["promoted"]) for r in got if r["promoted"]]
+    assert changes[0] == (7, "b") and [n for _, n in changes] == ["b", "c"] and [r["live"] for r in got[:9]] == ["a"] * 8 + ["b"]
+    assert got[-1]["static"] == 0.0 and got[-1]["adaptive"] == 5.0
+    assert L.sequential_promotion(table(units[:5]), "a", min_units=8).where("promoted IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        L.sequential_promotion(table(units), "z")
+
+
+def test_run_promotion_moves_the_champion(spark, tmp_path):
+    """A challenger with a short memory wins on every series and becomes champion; without ``apply`` nothing moves."""
+    rng, rows, wins = np.random.default_rng(1), [], []
+    for k in range(6):
+        x = np.cumsum(rng.normal(0, 1, 300))
+        x[200 + k : 204 + k] += 12
+        rows += [(f"s{k}", i, float(v)) for i, v in enumerate(x)]
+        wins.append((f"s{k}", 0, 200 + k, 203 + k))
+    ts = lambda c: F.timestamp_seconds(F.col(c)).cast("timestamp_ntz")
+    series = spark.createDataFrame(rows, "series_id string, seq long, value double").withColumn("ts", ts("seq"))
+    windows = spark.createDataFrame(wins, "series_id string, window_id long, a long, b long").select("series_id", "window_id", ts("a").alias("w_start"), ts("b").alias("w_end"))
+    r = L.Registry(spark, str(tmp_path / "r"))
+    r.register(("slow", {"ewma_alpha": 0.05, "resid_window": 100}, {}), ("fast", {"ewma_alpha": 0.6, "resid_window": 100}, {}))
+    r.promote(1)
+    out = L.run_promotion(r, series, windows, window=10, alpha=0.2, apply=False)
+    assert out["challenger"] == "#2 fast" and out["units"] == 6 and r.champion().id == 1
+    if L.run_promotion(r, series, windows, window=10, alpha=0.2)["promote"]:
+        assert r.champion().id == 2
 
 
 def test_search_nears_the_optimum():
@@ -54,13 +93,6 @@ def test_search_nears_the_optimum():
     assert -5 <= best["x"] <= 5 and top <= 0
 
 
-def test_point_profile():
-    x = np.random.default_rng(3).normal(size=50)
-    p = ranges.matrix_profile(x, 6)
-    assert list(ranges.point_profile(x, 6)) == [max(p[j] for j in range(max(0, i - 5), min(len(p), i + 1))) for i in range(50)]
-    assert list(ranges.point_profile(x[:7], 6)) == [0.0] * 7
-
-
 def test_splits():
     names = [f"f{i}" for i in range(10)]
     a, b = M.split_series(names)

@@ -6,11 +6,17 @@ A signal is null until its window is full. ``value`` is the input column; window
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ALONG = ("series_id", "seq")
+#: Rows of a piece of a series.
+PIECE = 8192
 
 
 def along():
@@ -54,39 +60,6 @@ def sharpness(w: int) -> Column:
     return full(_checked(w), F.when(span == 0, 0.0).otherwise((F.col("value") - F.avg("value").over(last(w))) / span))
 
 
-def _window(w: int) -> Column:
-    return F.collect_list("value").over(last(w))
-
-
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
-def _dot(a: Column, weights: list[float]) -> Column:
-    return _sum(F.zip_with(a, F.array(*[F.lit(float(x)) for x in weights]), lambda x, k: x * k))
-
-
-def entropy(w: int, bins: int = 8) -> Column:
-    """Shannon entropy in bits over even bins between the window's ends."""
-    _checked(bins)
-    a, low = _window(_checked(w)), F.min("value").over(last(w))
-    span = F.max("value").over(last(w)) - low
-    place = F.transform(a, lambda x: F.least(((x - low) / span * bins).cast("int"), F.lit(bins - 1)))
-    share = lambda b: F.size(F.filter(place, lambda p: p == b)) / F.lit(float(w))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.when(share(b) > 0, -share(b) * F.log2(share(b))).otherwise(0.0))
-    return full(w, F.when(span == 0, 0.0).otherwise(_sum(parts)))
-
-
-def autocorrelation(w: int, lag: int = 1) -> Column:
-    if not 1 <= lag < w:
-        raise ValueError("the lag lies between 1 and the window")
-    a, mean = _window(w), F.avg("value").over(last(w))
-    d = F.transform(a, lambda x: x - mean)
-    below = _sum(F.transform(d, lambda x: x * x))
-    above = _sum(F.zip_with(F.slice(d, 1, w - lag), F.slice(d, 1 + lag, w - lag), lambda x, y: x * y))
-    return full(w, F.when(below == 0, 0.0).otherwise(above / below))
-
-
 def envelope_weights(n: int) -> list[float]:
     """Weights that give the imaginary part of the analytic signal at the last of n points."""
     out = []
@@ -101,32 +74,79 @@ def envelope_weights(n: int) -> list[float]:
     return out
 
 
-def envelope(w: int) -> Column:
+# Signals of the whole window: rows of x are full windows.
+def entropy_of(x: np.ndarray, bins: int) -> np.ndarray:
+    """Shannon entropy in bits over even bins between the window's ends."""
+    low = x.min(1, keepdims=True)
+    span = x.max(1, keepdims=True) - low
+    place = np.minimum(((x - low) / np.where(span == 0, 1, span) * bins).astype(np.int64), bins - 1)
+    count = np.bincount((np.arange(len(x))[:, None] * bins + place).ravel(), minlength=len(x) * bins).reshape(len(x), bins)
+    share = count / x.shape[1]
+    return -(share * np.log2(np.where(count > 0, share, 1))).sum(1) + 0.0
+
+
+def autocorrelation_of(x: np.ndarray, lag: int = 1) -> np.ndarray:
+    d = x - x.mean(1, keepdims=True)
+    below = (d * d).sum(1)
+    still = x.max(1) == x.min(1)
+    return np.where(still, 0.0, (d[:, :-lag] * d[:, lag:]).sum(1) / np.where(below == 0, 1, below))
+
+
+def envelope_of(x: np.ndarray) -> np.ndarray:
     """Modulus of the analytic signal of the centred window at its last point, in closed form."""
-    real = F.col("value") - F.avg("value").over(last(w))
-    return full(_checked(w), F.sqrt(real * real + F.pow(_dot(_window(w), envelope_weights(w)), 2)))
+    return np.hypot(x[:, -1] - x.mean(1), x @ np.array(envelope_weights(x.shape[1])))
 
 
-def flatness(w: int) -> Column:
+def flatness_of(x: np.ndarray) -> np.ndarray:
     """Geometric over arithmetic mean of the power spectrum without its constant term."""
-    mean = F.avg("value").over(last(w))
-    centred = F.transform(_window(_checked(w)), lambda x: x - mean)
-    waves = range(1, w // 2 + 1)
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  bound once, however often f reads it
+    w = x.shape[1]
+    angle = 2 * np.pi * np.outer(np.arange(w), np.arange(1, w // 2 + 1)) / w
+    d = x - x.mean(1, keepdims=True)
+    power = (d @ np.cos(angle)) ** 2 + (d @ np.sin(angle)) ** 2
+    total = power.sum(1, keepdims=True)
+    still = (x.max(1) == x.min(1)) | (total[:, 0] <= 0)
+    held = np.maximum(power, np.where(total > 0, total, 1) * 1e-12)
+    return np.where(still, 0.0, np.exp(np.log(held).mean(1)) / held.mean(1))
+
+
+OF_WINDOW = {"entropy": lambda x: entropy_of(x, 8), "entropy_fine": lambda x: entropy_of(x, 16), "entropy_coarse": lambda x: entropy_of(x, 4), "autocorrelation": autocorrelation_of, "hilbert": envelope_of, "spectral_flatness": flatness_of}
+
+
+def of_windows(w: int, names: dict[str, Callable[[np.ndarray], np.ndarray]]) -> Column:
+    """A struct of the named signals of the last w values, null until there are w: the windows go to Arrow once and are rows of a matrix there."""
+    def run(windows: pa.Array) -> pa.Array:
+        flat, size = windows.flatten().to_numpy(zero_copy_only=False), np.diff(windows.offsets.to_numpy())
+        full = size == w
+        start = (windows.offsets.to_numpy()[:-1] - windows.offsets[0].as_py())[full]
+        x = flat[start[:, None] + np.arange(w)].astype(float) if full.any() else np.zeros((0, w))
+        out = []
+        for f in names.values():
+            col = np.zeros(len(size))
+            col[full] = f(x) if len(x) else 0
+            out.append(pa.array(col, mask=~full))
+        return pa.StructArray.from_arrays(out, names=list(names))
+
+    call = F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    return call(F.collect_list("value").over(last(_checked(w))))
 
-    def spectrum(d: Column) -> Column:
-        rows = [[f(2 * math.pi * j * i / w) for i in range(w)] for j in waves for f in (math.cos, math.sin)]
-        parts = [F.pow(_dot(d, r), 2) for r in rows]
-        return F.array(*[parts[2 * k] + parts[2 * k + 1] for k in range(len(waves))])
 
-    def ratio(held: Column) -> Column:
-        return F.exp(_sum(F.transform(held, lambda p: F.ln(p))) / len(waves)) / (_sum(held) / len(waves))
+def entropy(w: int, bins: int = 8) -> Column:
+    _checked(bins)
+    return of_windows(w, {"s": lambda x: entropy_of(x, bins)}).getField("s")
+
+
+def autocorrelation(w: int, lag: int = 1) -> Column:
+    if not 1 <= lag < w:
+        raise ValueError("the lag lies between 1 and the window")
+    return of_windows(w, {"s": lambda x: autocorrelation_of(x, lag)}).getField("s")
 
-    def flat_of(power: Column) -> Column:
-        return once(_sum(power), lambda total: F.when(total <= 0, 0.0).otherwise(once(F.transform(power, lambda p: F.greatest(p, total * 1e-12)), ratio)))
 
-    flat = F.max("value").over(last(w)) == F.min("value").over(last(w))
-    return full(w, F.when(flat, 0.0).otherwise(once(once(centred, spectrum), flat_of)))
+def envelope(w: int) -> Column:
+    return of_windows(w, {"s": envelope_of}).getField("s")
+
+
+def flatness(w: int) -> Column:
+    return of_windows(w, {"s": flatness_of}).getField("s")
 
 
 #: In registration order.
@@ -136,5 +156,60 @@ SIGNALS = {
 }
 
 
+def state_vector(names: list[str], fill: float = float("nan")) -> Column:
+    """The named signals as an array, ``fill`` for missing ones."""
+    if not names:
+        raise ValueError("names are needed")
+    return F.array(*[F.coalesce(n, F.lit(fill)) for n in names])
+
+
+def is_ready(names: list[str]) -> Column:
+    """Whether every named signal is there."""
+    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+
+
+def standardize(v: Column, centers: Column, scales: Column) -> Column:
+    """(v - center) / scale by component; 0 where the scale is 0."""
+    pairs = F.zip_with(centers, scales, lambda c, s: F.struct(c.alias("c"), s.alias("s")))
+    return F.zip_with(v, pairs, lambda x, p: F.when(p.s == 0, 0.0).otherwise((x - p.c) / p.s))
+
+
+def euclidean_distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+
+
+def next_values(w: int) -> Column:
+    """The w values before a row as an array, null until there are w: what a forecaster learns the row's value from."""
+    before = F.collect_list("value").over(along().rowsBetween(-_checked(w, 1), -1))
+    return F.when(F.size(before) == w, before)
+
+
+def unit_window(w: int) -> Column:
+    """The last w values, of mean 0 and population deviation 1 (zeros without spread); null until there are w."""
+    over = last(_checked(w))
+    a, mean, sd = F.collect_list("value").over(over), F.avg("value").over(over), F.stddev_pop("value").over(over)
+    return full(w, F.transform(a, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(0.0)))
+
+
+def in_pieces(rows: DataFrame, f: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = PIECE) -> DataFrame:
+    """``f`` over pieces of each series: ``size`` rows and what stands up to ``before`` rows before and ``after`` behind them.
+
+    So a long series is many tasks. ``f`` sees pieces as series, must keep ``series_id`` and ``seq`` and may look that far around a row; its rows outside the piece go again.
+    """
+    piece = F.explode(F.sequence(F.greatest(F.floor((F.col("seq") - after) / size), F.lit(0).cast("long")), F.floor((F.col("seq") + before) / size)))
+    cut = rows.withColumn("piece", piece).withColumn("series_id", F.struct("series_id", "piece")).drop("piece")
+    out = f(cut).where(F.floor(F.col("seq") / size) == F.col("series_id.piece"))
+    return out.withColumn("series_id", F.col("series_id.series_id"))
+
+
 def with_signals(series: DataFrame, w: int = 30, names: tuple[str, ...] = tuple(SIGNALS)) -> DataFrame:
-    return series.withColumns({n: SIGNALS[n](w) for n in names})
+    """``series`` with a column for each named signal. All signals of whole windows share one pass through Arrow."""
+    whole = {n: OF_WINDOW[n] for n in names if n in OF_WINDOW}
+
+    def add(rows: DataFrame) -> DataFrame:
+        out = rows.withColumns({n: SIGNALS[n](w) for n in names if n not in whole})
+        if whole:
+            out = out.withColumn("of_window", of_windows(w, whole))
+        return out.select(*rows.columns, *[F.col(f"of_window.{n}").alias(n) if n in whole else n for n in names])
+
+    return in_pieces(series, add, w)

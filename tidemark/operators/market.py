@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.signals import along, last
+from tidemark.functions.signals import along, in_pieces, last, momentum
+from tidemark.operators.detection import weighted_detector
 
 
 def _scale(value: Column, window: int) -> tuple[Column, Column, Column]:
@@ -57,25 +58,57 @@ def momentum_position(score: Column, threshold: float, k: int = 5, follow: bool
 
 
 def with_profit(rows: DataFrame, fee: float = 0.0001, slip: float = 0.0002) -> DataFrame:
-    """``pnl`` of holding ``position`` over the next step, less costs on its change; a series' last row goes."""
+    """``pnl`` of holding ``position`` over the next step, less costs on its change; null at a series' last row, which changes ``turn`` all the same."""
     w = along()
     turn = F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0)))
-    out = rows.withColumns({"turn": turn, "next": F.lead("value").over(w)}).where("next IS NOT NULL")
+    out = rows.withColumns({"turn": turn, "next": F.lead("value").over(w)})
     return out.withColumn("pnl", F.col("position") * (F.col("next") / F.col("value") - 1) - (fee + slip) * F.col("turn")).drop("next")
 
 
 def scorecard(rows: DataFrame, periods: int = 252) -> DataFrame:
-    """(series_id, sharpe, total_return, max_drawdown, exposure, turnover, trades) of rows with pnl, position and turn."""
+    """(series_id, sharpe, total_return, max_drawdown, exposure, time_in_market, turnover, trades) of rows with pnl, position and turn.
+
+    Profit is that of all rows but the last; exposure (mean size), time in the market (share of positions that are not 0), turnover and trades are of all rows.
+    """
     w = along().rowsBetween(Window.unboundedPreceding, 0)
     eq = rows.withColumn("equity", F.product(1 + F.col("pnl")).over(w))
-    eq = eq.withColumn("fall", F.col("equity") / F.max("equity").over(w) - 1)
+    eq = eq.withColumn("fall", F.when(F.col("pnl").isNotNull(), F.col("equity") / F.max("equity").over(w) - 1))
     sd = F.stddev_pop("pnl")
     return eq.groupBy("series_id").agg(
-        F.when(sd > 0, F.avg("pnl") / sd * math.sqrt(periods)).otherwise(0.0).alias("sharpe"), (F.product(1 + F.col("pnl")) - 1).alias("total_return"), F.min("fall").alias("max_drawdown"),
-        F.avg(F.abs("position")).alias("exposure"), F.avg("turn").alias("turnover"), F.count(F.when(F.col("turn") != 0, 1)).alias("trades"),
+        F.when(sd > 0, F.avg("pnl") / sd * math.sqrt(periods)).otherwise(0.0).alias("sharpe"), F.coalesce(F.product(1 + F.col("pnl")) - 1, F.lit(0.0)).alias("total_return"), F.coalesce(F.min("fall"), F.lit(0.0)).alias("max_drawdown"),
+        F.avg(F.abs("position")).alias("exposure"), F.avg((F.col("position") != 0).cast("int")).alias("time_in_market"), F.avg("turn").alias("turnover"), F.count(F.when(F.col("turn") != 0, 1)).alias("trades"),
     )
 
 
+def fitness(card: DataFrame, penalty: float = 3.0) -> DataFrame:
+    """``fitness``: the Sharpe ratio less a penalty on the largest fall."""
+    return card.withColumn("fitness", F.col("sharpe") + penalty * F.col("max_drawdown"))
+
+
+def active_fitness(card: DataFrame, least: int = 20) -> DataFrame:
+    """``fitness``: the Sharpe ratio, 5 less where there are fewer trades than ``least``."""
+    return card.withColumn("fitness", F.when(F.col("trades") < least, F.col("sharpe") - 5.0).otherwise(F.col("sharpe")))
+
+
+def trend_overlay(prices: DataFrame, w: int = 30, band: float = 0.25, short: bool = False, size: float = 1.0, z: int = 60) -> DataFrame:
+    """``prices`` with ``z`` of the momentum (0 in its warm-up) and the ``position`` that follows it."""
+    rows = in_pieces(prices.select("series_id", "seq", "ts", "value"), lambda x: x.withColumn("signal", F.coalesce(momentum(w), F.lit(0.0))).withColumn("z", rolling_z(F.col("signal"), z)), w + z)
+    return rows.withColumn("position", trend_position(F.col("z"), band, size, short))
+
+
+def trading_agent(prices: DataFrame, weights: dict[str, float], threshold: float, size: float = 1.0, follow: bool = True, k: int = 5, w: int = 30) -> DataFrame:
+    """``prices`` with the weighted detector's ``z`` and the ``position`` that follows or fades the last ``k`` steps' move where z reaches the threshold."""
+    scored = weighted_detector(prices.select("series_id", "seq", "ts", "value"), weights, w)
+    return scored.withColumn("position", momentum_position(F.col("z"), threshold, k, follow, size))
+
+
+def policy_positions(states: DataFrame, weights: list[float], bias: float = 0.0, leverage: float = 1.0, most: float = 1.0, scaled: bool = True) -> DataFrame:
+    """``position`` of a linear policy over ``state`` arrays: tanh of the weighted sum, times ``scale`` if ``scaled``, held within ``most``."""
+    raw = F.aggregate(F.zip_with("state", F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b), F.lit(float(bias)), lambda a, x: a + x)
+    target = leverage * F.tanh(raw)
+    return states.withColumn("position", sized(target, F.col("scale") if scaled else F.lit(1.0), most))
+
+
 def walk_forward(n: int, folds: int = 3, first: float = 0.5) -> list[tuple[int, int, int, int]]:
     """(train from, train to, test from, test to) of expanding folds; the last takes the remainder; none when too short."""
     start = int(n * first)
@@ -86,10 +119,14 @@ def walk_forward(n: int, folds: int = 3, first: float = 0.5) -> list[tuple[int,
 
 
 def noncausal_residual(series: DataFrame, w: int = 20) -> DataFrame:
-    """``robust``: distance from a centred moving average (zero-padded) in scaled median absolute deviations; at most the middle of the series sees both sides."""
+    """``robust``: the absolute distance from a centred moving average (missing neighbours count 0), less the series' median distance, in scaled median deviations.
+
+    Signed: most rows are near 0. Without spread the scale is that of a deviation of 1; a series of one row scores 0.
+    """
     base = F.sum("value").over(along().rowsBetween(-(w // 2), (w - 1) // 2)) / w
-    rows = series.withColumn("r", F.col("value") - base)
-    mid = rows.groupBy("series_id").agg(F.median("r").alias("m"))
-    rows = rows.join(mid, "series_id").withColumn("d", F.abs(F.col("r") - F.col("m")))
-    mad = rows.groupBy("series_id").agg((F.median("d") * 1.4826).alias("mad"))
-    return rows.join(mad, "series_id").withColumn("robust", F.col("d") / F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0)).drop("r", "m", "d", "mad")
+    rows = in_pieces(series, lambda x: x.withColumn("r", F.abs(F.col("value") - base)), w, w)
+    mid = rows.groupBy("series_id").agg(F.median("r").alias("m"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(mid, "series_id")
+    mad = rows.groupBy("series_id").agg(F.median(F.abs(F.col("r") - F.col("m"))).alias("mad"))
+    scale = 1.4826 * F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad"))
+    return rows.join(mad, "series_id").withColumn("robust", F.when(F.col("n") < 2, 0.0).otherwise((F.col("r") - F.col("m")) / scale)).drop("r", "m", "n", "mad")

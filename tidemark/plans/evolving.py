@@ -1,4 +1,4 @@
-"""A trader that evolves its linear policy as a series goes on. Blocks follow each other, so a task serves a series; many series run side by side."""
+"""A trader that evolves its linear policy as a series goes on: the rivals of all blocks evolve side by side, then a walk over their scores tells who trades when."""
 
 from __future__ import annotations
 
@@ -19,9 +19,14 @@ SIGNED = ("momentum", "acceleration", "zscore")
 
 def states(prices: DataFrame, names: list[str], w: int = 30, z: int = 60, target: float = 0.1, vol_window: int = 20) -> DataFrame:
     """(series_id, seq, value, state array, scale): signals on comparable scales (0 in the warm-up) and the volatility target's multiplier."""
-    rows = M.with_returns(prices.withColumns({f"raw_{n}": F.coalesce(S.SIGNALS[n](w), F.lit(0.0)) for n in names}))
-    state = F.array(*[(M.rolling_scale if n in SIGNED else M.rolling_z)(F.col(f"raw_{n}"), z) for n in names])
-    return rows.withColumns({"state": state, "vol": M.realised_volatility(vol_window)}).select("series_id", "seq", "value", "state", M.volatility_target(F.col("vol"), target).alias("scale"))
+    known = S.with_signals(prices.select("series_id", "seq", "value"), w, tuple(names))
+
+    def add(rows: DataFrame) -> DataFrame:
+        rows = M.with_returns(rows.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names}))
+        state = F.array(*[(M.rolling_scale if n in SIGNED else M.rolling_z)(F.col(n), z) for n in names])
+        return rows.withColumns({"state": state, "vol": M.realised_volatility(vol_window)})
+
+    return S.in_pieces(known, add, z + vol_window).select("series_id", "seq", "value", "state", M.volatility_target(F.col("vol"), target).alias("scale"))
 
 
 @dataclass(frozen=True)
@@ -53,45 +58,72 @@ def cards(pnl: np.ndarray, periods: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return sharpe, eq[:, -1] - 1, (eq / np.maximum.accumulate(eq, 1) - 1).min(1)
 
 
-def run_series(price: np.ndarray, state: np.ndarray, scale: np.ndarray, names: list[str], plan: Plan, seed: int = 0) -> dict[str, float]:
-    """Walks one series: the champion trades a block, then a challenger evolved on the older part of the lookback may replace it by its gain on the rest."""
-    n, genes, draw = len(price), policy_genes(names), iter(range(seed * 100_003, 1 << 60))
+def block_table(sizes: DataFrame, plan: Plan) -> DataFrame:
+    """(series_id, block, t, b, a, mid) from (series_id, n): block k is traded from t to b; its rival evolves on a to mid and is held against the champion on mid to b.
+
+    Block -1 has the first champion's rows, 0 to ``lookback``. All rivals depend on rows alone, not on who is champion, so all blocks evolve at once.
+    """
+    long = sizes.where(F.col("n") > plan.lookback + 2).select("series_id", "n", F.explode(F.sequence(F.lit(-1).cast("long"), F.floor((F.col("n") - plan.lookback - 1) / plan.every))).alias("block"))
+    t = long.withColumn("t", F.lit(plan.lookback) + F.col("block") * plan.every).withColumn("b", F.least(F.col("t") + plan.every, "n"))
+    t = t.withColumn("a", F.greatest(F.col("b") - plan.lookback, F.lit(0)))
+    mid = F.col("a") + F.greatest(F.lit(1), ((F.col("b") - F.col("a")) * (1 - plan.held)).cast("long"))
+    first = F.col("block") < 0
+    return t.select("series_id", "block", "t", "b", F.when(first, 0).otherwise(F.col("a")).alias("a"), F.when(first, plan.lookback).otherwise(mid).alias("mid"))
+
+
+def held_by(pop: np.ndarray, state: np.ndarray, scale: np.ndarray, most: float) -> np.ndarray:
+    """Positions of each policy (row) over the rows of ``state``."""
+    return np.clip(np.tanh(pop[:, :-1] @ state.T + pop[:, -1:]) * scale, -most, most)
+
 
-    def held_by(pop: np.ndarray, a: int, b: int) -> np.ndarray:
-        return np.clip(np.tanh(pop[:, :-1] @ state[a:b].T + pop[:, -1:]) * scale[a:b], -plan.most, plan.most)
+def fitness(pop: np.ndarray, price: np.ndarray, state: np.ndarray, scale: np.ndarray, plan: Plan) -> np.ndarray:
+    sharpe, _, fall = cards(profits(price, held_by(pop, state, scale, plan.most), plan.cost), plan.periods)
+    return sharpe + 3.0 * fall
 
-    def fitness(pop: np.ndarray, a: int, b: int) -> np.ndarray:
-        sharpe, _, fall = cards(profits(price[a:b], held_by(pop, a, b), plan.cost), plan.periods)
-        return sharpe + 3.0 * fall
 
-    def evolved(a: int, b: int) -> np.ndarray:
-        best, _, _ = search(genes, lambda pop: fitness(pop, a, b), plan.size, plan.generations, next(draw))
-        return np.array([[best[g.name] for g in genes]])
+def _arrays(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    g = g.sort_values("seq")
+    return g["value"].to_numpy(), np.stack(g["state"].to_list()), g["scale"].to_numpy()
 
-    champion = first = evolved(0, plan.lookback)
-    live, swaps, last, t = [], 0, plan.lookback - plan.cooldown, plan.lookback
-    while t < n:
-        b = min(t + plan.every, n)
-        live.append(held_by(champion, t, b))
-        a = max(0, b - plan.lookback)
-        mid = a + max(1, int((b - a) * (1 - plan.held)))
-        rival = evolved(a, mid)
-        if fitness(rival, mid, b)[0] - fitness(champion, mid, b)[0] >= plan.margin and b - last >= plan.cooldown:
-            champion, last, swaps = rival, b, swaps + 1
-        t = b
-    both = np.concatenate((np.concatenate(live, 1), held_by(first, plan.lookback, n)))
-    sharpe, total, fall = cards(profits(price[plan.lookback :], both, plan.cost), plan.periods)
-    return {"swaps": swaps, "sharpe": sharpe[0], "total_return": total[0], "max_drawdown": fall[0], "static_sharpe": sharpe[1], "static_return": total[1], "static_drawdown": fall[1]}
+
+def evolve_rivals(rows: DataFrame, blocks: DataFrame, names: list[str], plan: Plan, seed: int = 0) -> DataFrame:
+    """(series_id, block, genome): a search for each block of each series, side by side."""
+    genes = policy_genes(names)
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        price, state, scale = _arrays(g)
+        best, _, _ = search(genes, lambda pop: fitness(pop, price, state, scale, plan), plan.size, plan.generations, seed * 100_003 + int(key[1]) + 1)
+        return pd.DataFrame({"series_id": [key[0]], "block": [key[1]], "genome": [[best[x.name] for x in genes]]})
+
+    train = rows.join(blocks.select("series_id", "block", "a", "mid"), "series_id").where("seq >= a AND seq < mid")
+    return train.groupBy("series_id", "block").applyInPandas(one, "series_id string, block long, genome array<double>")
 
 
 def evolve_traders(rows: DataFrame, names: list[str], plan: Plan = Plan(), seed: int = 0) -> DataFrame:
-    """A scorecard for each series of ``states``, adaptive and static. Series of at most lookback + 2 rows give none."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) <= plan.lookback + 2:
-            return pd.DataFrame(columns=columns)
-        g = g.sort_values("seq")
-        got = run_series(g["value"].to_numpy(), np.stack(g["state"]), g["scale"].to_numpy(), names, plan, seed)
-        return pd.DataFrame([{"series_id": g["series_id"].iloc[0], **got}])[columns]
+    """A scorecard for each series of ``states``, adaptive and static. Series of at most lookback + 2 rows give none.
 
+    A rival replaces the champion where it gains ``margin`` on the block's held rows and the last change is ``cooldown`` rows ago.
+    """
+    blocks = block_table(rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), plan)
+    rivals = evolve_rivals(rows, blocks, names, plan, seed).join(blocks, ["series_id", "block"])
     columns = ["series_id", "swaps", "sharpe", "total_return", "max_drawdown", "static_sharpe", "static_return", "static_drawdown"]
-    return rows.groupBy("series_id").applyInPandas(run, "series_id string, swaps long, " + ", ".join(f"{c} double" for c in columns[2:]))
+
+    def walk(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(r):
+            return pd.DataFrame(columns=columns)
+        price, state, scale = _arrays(g)
+        r = r.sort_values("block")
+        pop, at = np.stack(r["genome"].to_list()), r[["t", "b", "mid"]].to_numpy()
+        # How every genome (row) does on the held rows of every block (column): who is champion is then a walk over this table.
+        held = np.stack([fitness(pop, price[m:b], state[m:b], scale[m:b], plan) for _, b, m in at[1:]], 1)
+        who, best, since, swaps = np.zeros(len(price), int), 0, plan.lookback - plan.cooldown, 0
+        for k, (t, b, _) in enumerate(at[1:]):
+            who[t:b] = best
+            if held[k + 1, k] - held[best, k] >= plan.margin and b - since >= plan.cooldown:
+                best, since, swaps = k + 1, b, swaps + 1
+        positions = held_by(pop, state, scale, plan.most)
+        both = np.stack((positions[who, np.arange(len(price))], positions[0]))[:, plan.lookback :]
+        sharpe, total, fall = cards(profits(price[plan.lookback :], both, plan.cost), plan.periods)
+        return pd.DataFrame([(g["series_id"].iloc[0], swaps, sharpe[0], total[0], fall[0], sharpe[1], total[1], fall[1])], columns=columns)
+
+    return rows.groupBy("series_id").cogroup(rivals.groupBy("series_id")).applyInPandas(walk, "series_id string, swaps long, " + ", ".join(f"{c} double" for c in columns[2:]))

@@ -21,6 +21,17 @@ def examples(series: DataFrame, windows: DataFrame, names: list[str], w: int = 3
     return D.label_points(S.with_signals(series, w, tuple(names)), windows).dropna(subset=names)
 
 
+def window_examples(series: DataFrame, windows: DataFrame, w: int = 30) -> DataFrame:
+    """(series_id, seq, ts, value, x, label) of rows with w values: x holds them with mean 0 and deviation 1."""
+    rows = S.in_pieces(series, lambda r: r.withColumn("x", S.unit_window(w)), w).where("x IS NOT NULL")
+    return D.label_points(rows, windows)
+
+
+def nab_of_flags(scored: DataFrame, windows: DataFrame, threshold: float, profile: str = "standard") -> DataFrame:
+    """(score): NAB score of the rows with a probability ``p`` of ``threshold`` or more, without probation."""
+    return D.nab_normalized(D.nab_raw(scored, scored.where(F.col("p") >= threshold).select("series_id", "seq"), windows, profile))
+
+
 def split_series(names: list[str], test: float = 0.3, seed: int = 0) -> tuple[list[str], list[str]]:
     """Training and test series; at least one of each."""
     order = sorted(set(names))

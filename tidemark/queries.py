@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import ranges
 from tidemark.functions import signals as S
 from tidemark.operators import detection as D
 from tidemark.operators import market as M
 from tidemark.operators.drift import drift_status
 from tidemark.plans import evolving as E
 from tidemark.plans import lifecycle as L
+from tidemark.sources import tables as T
 from tidemark.sources.tables import series, table, with_seq
 
 W, CALIB = 30, 600
@@ -80,6 +79,15 @@ _POWER = f"list_transform(range(1, {W // 2 + 1}), lambda j: list_sum(list_transf
 SIGNAL_SQL["spectral_flatness"] = f"CASE WHEN span = 0 THEN 0 ELSE (SELECT exp(list_avg(list_transform(h, lambda p: ln(p)))) / list_avg(h) FROM (SELECT list_transform(pw, lambda p: greatest(p, list_sum(pw) * 1e-12)) AS h FROM (SELECT {_POWER} AS pw))) END"
 
 
+SIGNAL_NAMES = list(S.SIGNALS)
+
+
+def signals_sql(frame: str = "s", names: list[str] | None = None, out: str = "sig") -> str:
+    """CTEs that end in ``out``: (series_id, seq, ts, value, a column for each signal)."""
+    cols = ", ".join(f"CASE WHEN seq >= {W - 1} THEN {SIGNAL_SQL[n]} END AS {n}" for n in names or SIGNAL_NAMES)
+    return f"{out}_a AS (SELECT *, list(value) OVER {W30} AS v FROM {frame}), {out}_b AS (SELECT *, list_min(v) AS lo, list_max(v) - list_min(v) AS span, list_avg(v) AS m FROM {out}_a), {out} AS (SELECT series_id, seq, ts, value, {cols} FROM {out}_b)"
+
+
 def _signal_query(name: str) -> None:
     make = S.SIGNALS.get(name, S.sharpness)
     listed = any(x in SIGNAL_SQL[name] for x in ("v[", "(v,"))
@@ -88,7 +96,7 @@ def _signal_query(name: str) -> None:
 
     @query(f"sig_{name}", f"{head}SELECT series_id, seq, CASE WHEN {full} THEN round({SIGNAL_SQL[name]}, 6) + 0.0 END AS signal FROM {frm}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return series(spark, sf_dir).select("series_id", "seq", r6(make(W)).alias("signal"))
+        return S.in_pieces(series(spark, sf_dir), lambda x: x.withColumn("signal", make(W)), W).select("series_id", "seq", r6(F.col("signal")).alias("signal"))
 
 
 for _name in SIGNAL_SQL:
@@ -103,16 +111,29 @@ def fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_signals(series(spark, sf_dir), W, tuple(FAST))
 
 
-@query("signal_long", f"WITH {SIG} SELECT series_id, signal_name, count(*)::BIGINT AS n_rows, count(v)::BIGINT AS n_values, round(avg(v), 6) + 0.0 AS mean FROM (" + " UNION ALL ".join(f"SELECT series_id, '{n}' AS signal_name, {n} AS v FROM sig" for n in FAST) + ") GROUP BY ALL")
+@query("signal_long", f"WITH {SIG} " + " UNION ALL ".join(f"SELECT series_id, seq, '{n}' AS signal_name, round({n}, 6) + 0.0 AS value FROM sig" for n in FAST))
 def signal_long(spark, sf_dir):
-    return fast(spark, sf_dir).unpivot(["series_id"], FAST, "signal_name", "v").groupBy("series_id", "signal_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count("v").alias("n_values"), r6(F.avg("v")).alias("mean"))
+    return fast(spark, sf_dir).unpivot(["series_id", "seq"], FAST, "signal_name", "value").withColumn("value", r6(F.col("value")))
+
+
+@query("state_vector", f"WITH {SIG} SELECT series_id, seq, " + ", ".join(f"CASE WHEN {n} IS NULL THEN 'NaN'::DOUBLE ELSE round({n}, 6) + 0.0 END AS {n}" for n in FAST) + ", " + " AND ".join(f"{n} IS NOT NULL" for n in FAST) + " AS ready FROM sig")
+def state_vector(spark, sf_dir):
+    rows = fast(spark, sf_dir).select("series_id", "seq", S.state_vector(FAST).alias("v"), S.is_ready(FAST).alias("ready"))
+    return rows.select("series_id", "seq", *[F.when(F.isnan(F.col("v")[i]), F.lit(float("nan"))).otherwise(r6(F.col("v")[i])).alias(n) for i, n in enumerate(FAST)], "ready")
+
 
+_CAL_STATS = ", ".join(f"avg({n}) AS c_{n}, stddev_pop({n}) AS s_{n}" for n in FAST)
+_STD = ", ".join(f"CASE WHEN s_{n} = 0 THEN 0 ELSE ({n} - c_{n}) / s_{n} END AS {n}" for n in FAST)
+_NEXT = " + ".join(f"power({n} - lag({n}) OVER {ALONG}, 2)" for n in FAST)
 
-@query("state_distance", f"WITH {SIG} SELECT series_id, count(*)::BIGINT AS n, round(sum(sqrt(momentum ** 2 + volatility ** 2 + acceleration ** 2 + zscore ** 2)), 4) + 0.0 AS norms FROM sig WHERE momentum IS NOT NULL GROUP BY series_id")
+
+@query("state_distance", f"WITH {SIG}, cal AS (SELECT series_id, {_CAL_STATS} FROM sig WHERE seq < 100 GROUP BY series_id), st AS (SELECT series_id, seq, {_STD} FROM sig JOIN cal USING (series_id) WHERE momentum IS NOT NULL) SELECT series_id, seq, round(sqrt({_NEXT}), 6) + 0.0 AS step FROM st")
 def state_distance(spark, sf_dir):
-    v = F.array(*FAST)
-    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-    return fast(spark, sf_dir).where("momentum IS NOT NULL").groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(norm), 4) + 0.0).alias("norms"))
+    """Distance of each standardised state from the one before it; centres and scales are those of the first rows."""
+    rows = fast(spark, sf_dir)
+    cal = rows.where("seq < 100").groupBy("series_id").agg(F.array(*[F.avg(n) for n in FAST]).alias("c"), F.array(*[F.stddev_pop(n) for n in FAST]).alias("s"))
+    st = rows.where(S.is_ready(FAST)).join(cal, "series_id").withColumn("v", S.standardize(S.state_vector(FAST), F.col("c"), F.col("s"))).select("series_id", "seq", "v")
+    return S.in_pieces(st, lambda x: x.withColumn("step", S.euclidean_distance(F.col("v"), F.lag("v").over(S.along()))), 1).select("series_id", "seq", r6(F.col("step")).alias("step"))
 
 
 # Calibration
@@ -121,8 +142,13 @@ _LONG_CAL = " UNION ALL ".join(f"SELECT series_id, '{n}' AS signal_name, {n} AS
 
 @query("calib_meanstd", f"WITH {SIG} SELECT series_id, signal_name, count(*)::BIGINT AS n, round(avg(v) + 4 * stddev_pop(v), 6) + 0.0 AS threshold FROM ({_LONG_CAL}) GROUP BY ALL")
 def calib_meanstd(spark, sf_dir):
-    long = fast(spark, sf_dir).where("seq < 300").unpivot(["series_id"], FAST, "signal_name", "v").where("v IS NOT NULL")
-    return long.groupBy("series_id", "signal_name").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v") + 4 * F.stddev_pop("v")).alias("threshold"))
+    return D.mean_band(fast(spark, sf_dir), FAST, 300).withColumn("threshold", r6(F.col("threshold")))
+
+
+@query("one_tailed", f"WITH {SIG}, band AS (SELECT series_id, signal_name, avg(v) + 2 * stddev_pop(v) AS t FROM ({_LONG_CAL}) GROUP BY ALL), long AS (" + " UNION ALL ".join(f"SELECT series_id, seq, '{n}' AS signal_name, {n} AS v FROM sig" for n in FAST) + ") SELECT series_id, seq, signal_name FROM long JOIN band USING (series_id, signal_name) WHERE v > t")
+def one_tailed(spark, sf_dir):
+    rows = fast(spark, sf_dir)
+    return D.above(rows, D.mean_band(rows, FAST, 300, 2.0), FAST).select("series_id", "seq", "signal_name")
 
 
 @query("calib_robust", f"WITH {SIG}, g AS (SELECT series_id, signal_name, list_sort(list(v)) AS v, count(*) AS n FROM ({_LONG_CAL}) GROUP BY ALL) SELECT series_id, signal_name, n::BIGINT AS n, round((v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2, 6) + 0.0 AS center, round((v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 - 6 * (v[3 * n // 4 + 1] - v[n // 4 + 1]), 6) + 0.0 AS lower, round((v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 + 6 * (v[3 * n // 4 + 1] - v[n // 4 + 1]), 6) + 0.0 AS upper FROM g")
@@ -138,25 +164,48 @@ def thin_calibration(spark, sf_dir):
 _AD = "(PARTITION BY series_id ORDER BY seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)"
 
 
-@query("calib_adaptive", f"WITH {BASE}, a AS (SELECT *, list_sort(list(value) OVER {_AD}) AS v, count(*) OVER {_AD} AS n FROM s), b AS (SELECT *, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 AS c, 3 * (v[3 * n // 4 + 1] - v[n // 4 + 1]) AS d FROM a WHERE seq >= 100) SELECT series_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE value > c + d OR value < c - d)::BIGINT AS outside FROM b GROUP BY series_id")
+@query("calib_adaptive", f"WITH {BASE}, a AS (SELECT *, list_sort(list(value) OVER {_AD}) AS v, count(*) OVER {_AD} AS n FROM s), b AS (SELECT *, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 AS c, 3 * (v[3 * n // 4 + 1] - v[n // 4 + 1]) AS d FROM a WHERE seq >= 100) SELECT series_id, seq, round(c - d, 6) + 0.0 AS lower, round(c + d, 6) + 0.0 AS upper, value > c + d OR value < c - d AS outside FROM b")
 def calib_adaptive(spark, sf_dir):
-    v = F.sort_array(F.collect_list("value").over(S.along().rowsBetween(-100, -1)))
-    rows = series(spark, sf_dir).withColumn("v", v).where("seq >= 100").withColumn("n", F.size("v"))
-    at = lambda i: F.element_at("v", (i + 1).cast("int"))
-    c = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
-    d = 3 * (at(F.floor(3 * F.col("n") / 4)) - at(F.floor(F.col("n") / 4)))
-    return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("value") > c + d) | (F.col("value") < c - d), 1)).alias("outside"))
+    rows = D.adaptive_band(series(spark, sf_dir), window=100).where("seq >= 100")
+    return rows.select("series_id", "seq", r6(F.col("lower")).alias("lower"), r6(F.col("upper")).alias("upper"), ((F.col("value") > F.col("upper")) | (F.col("value") < F.col("lower"))).alias("outside"))
+
 
+def detect_sql(calib: int, k: float, frame: str = "s", half: bool = True) -> str:
+    """CTEs that end in ``pts``: (series_id, seq, ts, score, signal_name, signal_value) of the weighted detector."""
+    long = lambda where: " UNION ALL ".join(f"SELECT series_id, seq, ts, calib, {i} AS ord, '{n}' AS signal_name, {n} AS v FROM sized WHERE {n} IS NOT NULL AND {where}" for i, n in enumerate(SIGNAL_NAMES))
+    score = " + ".join("CASE WHEN " + " AND ".join(f"list_contains(fl, '{p}')" for p in key.split("+")) + f" THEN {w} ELSE 0 END" for key, w in D.WEIGHTS.items())
+    return f"""{signals_sql(frame)}, sized AS (SELECT *, {f"least({calib}, count(*) OVER (PARTITION BY series_id) // 2)" if half else calib} AS calib FROM sig),
+g AS (SELECT series_id, signal_name, list_sort(list(v)) AS v, count(*) AS n FROM ({long("seq < calib")}) GROUP BY ALL),
+band AS (SELECT series_id, signal_name, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 AS c, {k} * (v[3 * n // 4 + 1] - v[n // 4 + 1]) AS d FROM g),
+hits AS (SELECT l.* FROM ({long("seq >= calib")}) l JOIN band USING (series_id, signal_name) WHERE l.v > c + d OR l.v < c - d),
+pt AS (SELECT series_id, seq, ts, first(signal_name ORDER BY abs(v) DESC, ord) AS signal_name, max(abs(v)) AS signal_value, list(signal_name) AS fl FROM hits GROUP BY series_id, seq, ts),
+pts AS (SELECT * FROM (SELECT *, ({score})::DOUBLE AS score FROM pt) WHERE score >= 0.1)"""
 
-ALL = [n for n in S.SIGNALS if n not in ("hilbert", "spectral_flatness", "autocorrelation")]
 
+def grouped_sql(points: str, value: str, gap: int = 20) -> str:
+    """CTEs that end in ``ev``, the events of flagged rows."""
+    return f"""gf AS (SELECT series_id, seq, ts, {value} AS pv, sum(CASE WHEN coalesce(seq - lag_seq <= {gap}, false) THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY seq) - 1 AS event_id
+  FROM (SELECT *, lag(seq) OVER (PARTITION BY series_id ORDER BY seq) AS lag_seq FROM {points})),
+ev AS (SELECT series_id, event_id::BIGINT AS event_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS size, first(ts ORDER BY pv DESC, seq) AS peak_ts, max(pv) AS peak_value FROM gf GROUP BY series_id, event_id)"""
 
-@query("detect_events")
+
+@query("detect_events", f"WITH {BASE}, {detect_sql(600, 6.0)}, {grouped_sql('pts', 'signal_value')} SELECT series_id, event_id, start_ts, end_ts, size, peak_ts, round(peak_value, 6) + 0.0 AS peak_value FROM ev")
 def detect_events(spark, sf_dir):
-    """The weighted detector from end to end: signals, robust bands, flags, scores, events."""
-    sig = S.with_signals(series(spark, sf_dir), W, tuple(ALL))
-    out = D.events(D.anomalies(D.flagged(sig, ALL, 100, 1.5), ALL))
-    return out.withColumn("peak_value", r6(F.col("peak_value")))
+    """The weighted detector from end to end, with the reference settings: ten signals, 600 rows of calibration, bands of 6 spreads."""
+    return D.detect(series(spark, sf_dir)).withColumn("peak_value", r6(F.col("peak_value")))
+
+
+@query("detect_sensitive", f"WITH {BASE}, {detect_sql(100, 1.5)}, {grouped_sql('pts', 'signal_value')} SELECT series_id, event_id, start_ts, end_ts, size, peak_ts, round(peak_value, 6) + 0.0 AS peak_value FROM ev")
+def detect_sensitive(spark, sf_dir):
+    return D.detect(series(spark, sf_dir), 100, 1.5).withColumn("peak_value", r6(F.col("peak_value")))
+
+
+@query("anomaly_points", f"WITH {BASE}, {detect_sql(100, 1.5, half=False)} SELECT series_id, seq, round(score, 6) + 0.0 AS score, signal_name, round(signal_value, 6) + 0.0 AS signal_value FROM pts")
+def anomaly_points(spark, sf_dir):
+    """Scores and the strongest signal of every flagged row."""
+    names = list(S.SIGNALS)
+    rows = D.anomalies(D.flagged(S.with_signals(series(spark, sf_dir), W), names, 100, 1.5), names)
+    return rows.select("series_id", "seq", r6(F.col("score")).alias("score"), "signal_name", r6(F.col("signal_value")).alias("signal_value"))
 
 
 @query("flagged_points", f"WITH {SIG}, g AS (SELECT series_id, signal_name, list_sort(list(v)) AS v, count(*) AS n FROM ({_LONG_CAL}) GROUP BY ALL), band AS (SELECT series_id, signal_name, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 AS c, 1.5 * (v[3 * n // 4 + 1] - v[n // 4 + 1]) AS d FROM g), fl AS (SELECT series_id, seq, signal_name FROM (" + " UNION ALL ".join(f"SELECT series_id, seq, '{n}' AS signal_name, {n} AS v FROM sig WHERE seq >= 300" for n in FAST) + ") JOIN band USING (series_id, signal_name) WHERE v > c + d OR v < c - d) SELECT series_id, signal_name, count(*)::BIGINT AS n, min(seq) AS first_seq FROM fl GROUP BY ALL")
@@ -196,7 +245,7 @@ for _mode, _on, _pick in (("peak", "ev.peak_ts BETWEEN lab.w_start AND lab.w_end
 
 # Forecast residuals
 def residuals(spark, sf_dir):
-    return D.residual_z(D.ewma_residuals(series(spark, sf_dir)))
+    return D.forecast_scores(series(spark, sf_dir), [(0.2, 200)])
 
 
 @query("ewma_residuals", f"WITH {EWMA} SELECT series_id, seq, round(residual, 6) + 0.0 AS residual FROM e")
@@ -228,40 +277,6 @@ def nab_score(spark, sf_dir):
     return D.nab_raw(s, s.where("value > 180").select("series_id", "seq"), labels(spark, sf_dir)).select("series_id", r6(F.col("raw")).alias("raw"))
 
 
-@query("nab_profiles")
-def nab_profiles(spark, sf_dir):
-    s = series(spark, sf_dir)
-    out = None
-    for p in D.PROFILES:
-        one = D.nab_raw(s, s.where("value > 180").select("series_id", "seq"), labels(spark, sf_dir), p).agg(F.sum("raw").alias("r"), F.sum("null_score").alias("n"), F.sum("perfect").alias("p")).select(F.lit(p).alias("profile"), r6(100 * (F.col("r") - F.col("n")) / (F.col("p") - F.col("n"))).alias("score"))
-        out = one if out is None else out.union(one)
-    return out
-
-
-def _by_series(name: str, schema: str, f) -> None:
-    @query(name)
-    def run(spark, sf_dir):
-        """Each series in one task: its points are one vector of the metric."""
-        rows = D.label_points(residuals(spark, sf_dir), labels(spark, sf_dir)).select("series_id", "seq", "z", "label")
-        return rows.groupBy("series_id").applyInPandas(lambda g: f(g.sort_values("seq")), schema)
-
-
-_by_series("range_auc", "series_id string, roc double, pr double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *(round(x, 6) for x in ranges.range_auc(g["label"], g["z"], 20)))], columns=["series_id", "roc", "pr"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "roc", "pr"]))
-_by_series("vus", "series_id string, roc double, pr double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *(round(x, 6) for x in ranges.vus(g["label"], g["z"], 20)))], columns=["series_id", "roc", "pr"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "roc", "pr"]))
-_by_series("affiliation", "series_id string, precision double, recall double, f1 double", lambda g: pd.DataFrame([(g["series_id"].iloc[0], *ranges.affiliation(g["label"].to_numpy(), (g["z"] >= 2.5).to_numpy()))], columns=["series_id", "precision", "recall", "f1"]) if g["label"].any() else pd.DataFrame(columns=["series_id", "precision", "recall", "f1"]))
-
-
-@query("matrix_profile", "WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, value FROM events), w AS (SELECT user_id, seq, list(value) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM s), z AS (SELECT user_id, seq, list_transform(v, lambda x: (x - list_avg(v)) / list_stddev_pop(v)) AS v FROM w WHERE len(v) = 8), d AS (SELECT a.user_id, a.seq, sqrt(greatest(0, 16 * (1 - max(list_dot_product(a.v, b.v)) / 8))) AS d FROM z a JOIN z b ON a.user_id = b.user_id AND abs(a.seq - b.seq) > 4 GROUP BY a.user_id, a.seq) SELECT user_id, count(*)::BIGINT AS n, round(max(d), 4) + 0.0 AS top FROM d GROUP BY user_id")
-def matrix_profile(spark, sf_dir):
-    s = with_seq(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = ranges.matrix_profile(g.sort_values("seq")["value"].to_numpy(), 8)
-        return pd.DataFrame({"user_id": [g["series_id"].iloc[0]], "n": [len(p)], "top": [round(float(p.max()), 4)]})
-
-    return s.groupBy("series_id").applyInPandas(run, "user_id long, n long, top double")
-
-
 @query("segments", f"WITH {BASE}, f AS (SELECT series_id, seq, seq - row_number() OVER (PARTITION BY series_id ORDER BY seq) AS g FROM s WHERE value > 60) SELECT series_id, min(seq) AS start_seq, max(seq) AS end_seq FROM f GROUP BY series_id, g")
 def segments(spark, sf_dir):
     f = series(spark, sf_dir).where("value > 60").withColumn("g", F.col("seq") - F.row_number().over(S.along()))
@@ -324,13 +339,29 @@ def vol_target(spark, sf_dir):
     return v.select("series_id", "seq", r6(M.volatility_target(F.col("vol"))).alias("scale"))
 
 
-_POS = f"{BASE}, {PX}, zz AS (SELECT *, {Z60} AS z FROM px), ps AS (SELECT *, coalesce(last_value(CASE WHEN z > 0.5 THEN 1.0 WHEN z < -0.5 THEN -1.0 END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS position FROM zz)"
-_PNL = f"{_POS}, tn AS (SELECT *, abs(position - coalesce(lag(position) OVER {ALONG}, 0)) AS turn, lead(value) OVER {ALONG} AS nxt FROM ps), pl AS (SELECT *, position * (nxt / value - 1) - 0.0003 * turn AS pnl FROM tn WHERE nxt IS NOT NULL)"
+_ZM = Z60.replace("value", "signal")
+
+
+def trend_sql(band: float, short: float) -> str:
+    """CTEs that end in ``ps``: the regime that momentum's rolling z gives, held inside the band."""
+    return f"{BASE}, {PX}, mo AS (SELECT *, CASE WHEN seq >= {W - 1} THEN (value - lag(value, {W - 1}) OVER {ALONG}) / {W - 1} ELSE 0 END AS signal FROM px), zz AS (SELECT *, {_ZM} AS z FROM mo), ps AS (SELECT *, coalesce(last_value(CASE WHEN z > {band} THEN 1.0 WHEN z < -{band} THEN {short} END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS position FROM zz)"
+
+
+def profit_sql(positions: str) -> str:
+    """CTEs from ``ps`` that end in ``pl``: turnover of all rows, profit of all but a series' last."""
+    return f"{positions}, tn AS (SELECT *, abs(position - coalesce(lag(position) OVER {ALONG}, 0)) AS turn, lead(value) OVER {ALONG} AS nxt FROM ps), pl AS (SELECT *, position * (nxt / value - 1) - 0.0003 * turn AS pnl FROM tn)"
+
+
+CARD = f", eq AS (SELECT *, product(1 + pnl) OVER (PARTITION BY series_id ORDER BY seq) AS equity FROM pl), fl AS (SELECT *, CASE WHEN pnl IS NOT NULL THEN equity / max(equity) OVER (PARTITION BY series_id ORDER BY seq) - 1 END AS fall FROM eq), card AS (SELECT series_id, round(CASE WHEN stddev_pop(pnl) > 0 THEN avg(pnl) / stddev_pop(pnl) * sqrt(252) ELSE 0 END, 6) + 0.0 AS sharpe, round(product(1 + pnl) - 1, 6) + 0.0 AS total_return, round(min(fall), 6) + 0.0 AS max_drawdown, round(avg(abs(position)), 6) + 0.0 AS exposure, round(avg((position <> 0)::INT), 6) + 0.0 AS time_in_market, round(avg(turn), 6) + 0.0 AS turnover, count(*) FILTER (WHERE turn <> 0)::BIGINT AS trades FROM fl GROUP BY series_id)"
+_POS, _PNL = trend_sql(0.5, -1.0), profit_sql(trend_sql(0.5, -1.0))
 
 
-def trend(spark, sf_dir):
-    z = prices(spark, sf_dir).withColumn("z", M.rolling_z(F.col("value")))
-    return z.withColumn("position", M.trend_position(F.col("z")))
+def trend(spark, sf_dir, band=0.5, short=True):
+    return M.trend_overlay(prices(spark, sf_dir), W, band, short)
+
+
+def card(rows: DataFrame) -> DataFrame:
+    return M.scorecard(M.with_profit(rows)).withColumns({c: r6(F.col(c)) for c in ("sharpe", "total_return", "max_drawdown", "exposure", "time_in_market", "turnover")})
 
 
 @query("trend_positions", f"WITH {_POS} SELECT series_id, seq, position::DOUBLE AS position FROM ps")
@@ -344,15 +375,26 @@ def positions(spark, sf_dir):
     return p.select("series_id", "seq", M.momentum_position(F.abs("ret"), 0.1).alias("position"))
 
 
-@query("pnl", f"WITH {_PNL} SELECT series_id, seq, round(pnl, 8) + 0.0 AS pnl FROM pl")
+@query("pnl", f"WITH {_PNL} SELECT series_id, seq, round(pnl, 8) + 0.0 AS pnl FROM pl WHERE pnl IS NOT NULL")
 def pnl(spark, sf_dir):
-    return M.with_profit(trend(spark, sf_dir)).select("series_id", "seq", (F.round("pnl", 8) + 0.0).alias("pnl"))
+    return M.with_profit(trend(spark, sf_dir)).where("pnl IS NOT NULL").select("series_id", "seq", (F.round("pnl", 8) + 0.0).alias("pnl"))
 
 
-@query("scorecard", f"WITH {_PNL}, eq AS (SELECT *, product(1 + pnl) OVER (PARTITION BY series_id ORDER BY seq) AS equity FROM pl), fl AS (SELECT *, equity / max(equity) OVER (PARTITION BY series_id ORDER BY seq) - 1 AS fall FROM eq) SELECT series_id, round(avg(pnl) / stddev_pop(pnl) * sqrt(252), 6) + 0.0 AS sharpe, round(product(1 + pnl) - 1, 6) + 0.0 AS total_return, round(min(fall), 6) + 0.0 AS max_drawdown, round(avg(abs(position)), 6) + 0.0 AS exposure, round(avg(turn), 6) + 0.0 AS turnover, count(*) FILTER (WHERE turn <> 0)::BIGINT AS trades FROM fl GROUP BY series_id")
+@query("scorecard", f"WITH {_PNL}{CARD} SELECT * FROM card")
 def scorecard(spark, sf_dir):
-    out = M.scorecard(M.with_profit(trend(spark, sf_dir)))
-    return out.withColumns({c: r6(F.col(c)) for c in ("sharpe", "total_return", "max_drawdown", "exposure", "turnover")})
+    return card(trend(spark, sf_dir))
+
+
+@query("evaluate_trend", f"WITH {profit_sql(trend_sql(0.25, 0.0))}{CARD} SELECT series_id, sharpe, total_return, max_drawdown, trades, time_in_market AS exposure FROM card")
+def evaluate_trend(spark, sf_dir):
+    """The overlay with its own settings: a band of 0.25, out of the market in a downtrend; exposure is the share of rows in the market."""
+    return card(trend(spark, sf_dir, 0.25, False)).select("series_id", "sharpe", "total_return", "max_drawdown", "trades", F.col("time_in_market").alias("exposure"))
+
+
+@query("fitness", f"WITH {_PNL}{CARD} SELECT series_id, round(sharpe + 3 * max_drawdown, 4) + 0.0 AS fitness, round(CASE WHEN trades < 20 THEN sharpe - 5 ELSE sharpe END, 4) + 0.0 AS active FROM card")
+def fitness(spark, sf_dir):
+    both = M.fitness(card(trend(spark, sf_dir)))
+    return M.active_fitness(both.withColumnRenamed("fitness", "f")).select("series_id", (F.round("f", 4) + 0.0).alias("fitness"), (F.round("fitness", 4) + 0.0).alias("active"))
 
 
 @query("buy_hold", f"WITH {BASE}, {PX} SELECT series_id, round(last(value ORDER BY seq) / first(value ORDER BY seq) - 1, 6) + 0.0 AS total_return FROM px GROUP BY series_id")
@@ -369,7 +411,10 @@ def walk_forward(spark, sf_dir):
     return s.withColumns({"a": a, "fold": fold}).where("seq >= a").groupBy("series_id", F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
 
 
-@query("noncausal_residual", f"WITH {BASE}, a AS (SELECT *, value - sum(value) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20 AS r FROM s), m AS (SELECT series_id, median(r) AS m FROM a GROUP BY series_id), d AS (SELECT a.series_id, seq, abs(r - m) AS d FROM a JOIN m USING (series_id)), q AS (SELECT series_id, median(d) * 1.4826 AS mad FROM d GROUP BY series_id) SELECT series_id, seq, round(d / mad, 6) + 0.0 AS robust FROM d JOIN q USING (series_id)")
+NONCAUSAL = f"nc_a AS (SELECT *, abs(value - sum(value) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20) AS r FROM s), nc_m AS (SELECT series_id, median(r) AS m FROM nc_a GROUP BY series_id), nc_q AS (SELECT series_id, any_value(m) AS m, CASE WHEN median(abs(r - m)) = 0 THEN 1 ELSE median(abs(r - m)) END AS mad FROM nc_a JOIN nc_m USING (series_id) GROUP BY series_id), nc AS (SELECT series_id, seq, round((r - m) / (1.4826 * mad), 6) + 0.0 AS robust FROM nc_a JOIN nc_q USING (series_id))"
+
+
+@query("noncausal_residual", f"WITH {BASE}, {NONCAUSAL} SELECT * FROM nc")
 def noncausal_residual(spark, sf_dir):
     return M.noncausal_residual(series(spark, sf_dir)).select("series_id", "seq", r6(F.col("robust")).alias("robust"))
 
@@ -387,9 +432,9 @@ def detector_scores(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("detector"), F.col("user_id").alias("unit")).agg(F.avg("value").alias("score"))
 
 
-@query("promote_decision", f"WITH {_SCORES} SELECT a.detector AS challenger, round(avg(a.score - b.score), 6) + 0.0 AS mean_delta, count(*) FILTER (WHERE a.score > b.score)::BIGINT AS wins, count(*) FILTER (WHERE a.score < b.score)::BIGINT AS losses FROM sc a JOIN sc b ON a.unit = b.unit AND b.detector = 'd0' WHERE a.detector <> 'd0' GROUP BY a.detector")
+@query("promote_decision", f"WITH {_SCORES} SELECT a.detector AS challenger, count(b.score)::BIGINT AS n, count(*)::BIGINT AS units, round(avg(a.score), 6) + 0.0 AS mean, round(avg(a.score - b.score), 6) + 0.0 AS mean_delta, count(*) FILTER (WHERE a.score > b.score)::BIGINT AS wins, count(*) FILTER (WHERE a.score < b.score)::BIGINT AS losses FROM sc a LEFT JOIN sc b ON a.unit = b.unit AND b.detector = 'd0' WHERE a.detector <> 'd0' GROUP BY a.detector")
 def promote_decision(spark, sf_dir):
-    return L.paired(detector_scores(spark, sf_dir), "d0").withColumn("mean_delta", r6(F.col("mean_delta")))
+    return L.paired(detector_scores(spark, sf_dir), "d0").withColumns({c: r6(F.col(c)) for c in ("mean", "mean_delta")})
 
 
 @query("rollup_macro", f"WITH {_SCORES} SELECT detector AS dataset, round(avg(score), 6) + 0.0 AS score, count(*)::BIGINT AS n FROM sc GROUP BY ROLLUP (detector)")
@@ -415,13 +460,13 @@ def point_scores(spark, sf_dir):
     return p.agg(n(F.col("hit") & (F.col("label") == 1)).alias("tp"), n(F.col("hit") & (F.col("label") == 0)).alias("fp"), n(~F.col("hit") & (F.col("label") == 1)).alias("fn"), r6(F.avg(F.col("hit").cast("int"))).alias("alert_rate"))
 
 
-@query("tab_pivot", "SELECT user_id::VARCHAR AS file, count(*)::BIGINT AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY user_id")
+@query("tab_pivot", f"SELECT user_id::VARCHAR AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 = 0, CASE WHEN event_id % 3 <> 0 THEN -event_id END, 'd' || event_id) - 1 AS seq, value, (event_id % 2)::DOUBLE AS label FROM events")
 def tab_pivot(spark, sf_dir):
-    from tidemark.sources.tables import pivot_channels
-
+    """Long rows (file, date, data, cols) to channels in the order of their dates: numbers by value, then texts."""
     e = table(spark, sf_dir, "events")
-    long = e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("string").alias("date"), F.explode(F.array(F.struct(F.col("value").alias("data"), F.lit("value").alias("cols")), F.struct(F.lit(0.0).alias("data"), F.lit("label").alias("cols")))).alias("c")).select("file", "date", "c.data", "c.cols")
-    return pivot_channels(long).groupBy("file").agg(F.count("label").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+    date = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("d"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit(" "), (-F.col("event_id")).cast("string")))
+    channels = F.explode(F.array(F.struct(F.col("value").alias("data"), F.lit("value").alias("cols")), F.struct((F.col("event_id") % 2).cast("double").alias("data"), F.lit("label").alias("cols"))))
+    return T.pivot_channels(e.select(F.col("user_id").cast("string").alias("file"), date.alias("date"), channels.alias("c")).select("file", "date", "c.data", "c.cols")).select("file", "seq", "value", "label")
 
 
 # Drift over time, shadows, the non-causal teacher, traders
@@ -444,42 +489,11 @@ def best_challenger(spark, sf_dir):
     return L.best_challenger(detector_scores(spark, sf_dir), "d0").withColumns({c: r6(F.col(c)) for c in ("score", "delta")})
 
 
-@query("shadow_scores")
-def shadow_scores(spark, sf_dir):
-    """Every candidate scores the same series in one pass; VUS and affiliation F1 (flags from 2.5) of each against the labels."""
-    s, lab = series(spark, sf_dir), labels(spark, sf_dir)
-    out = None
-    for alpha, window in ((0.2, 200), (0.1, 200), (0.3, 100)):
-        one = D.residual_z(D.ewma_residuals(s, alpha), window=window).withColumn("detector", F.lit(f"a{alpha}_w{window}"))
-        out = one if out is None else out.union(one)
-    rows = D.label_points(out, lab)
-
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq")
-        if not g["label"].any():
-            return pd.DataFrame(columns=["detector", "unit", "score", "aff_f1"])
-        return pd.DataFrame([(g["detector"].iloc[0], g["series_id"].iloc[0], round(ranges.vus(g["label"], g["z"])[1], 6), round(ranges.affiliation(g["label"].to_numpy(), (g["z"] >= 2.5).to_numpy())[2], 6))], columns=["detector", "unit", "score", "aff_f1"])
-
-    return rows.select("detector", "series_id", "seq", "z", "label").groupBy("detector", "series_id").applyInPandas(score, "detector string, unit string, score double, aff_f1 double")
-
-
-@query("oracle_scores")
-def oracle_scores(spark, sf_dir):
-    """The larger of two ranks: a point's worst covering window by the matrix profile, and its distance from a centred average."""
-    s = with_seq(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("u"), "ts", "event_id", "value"), "u", ["ts", "event_id"], "value")
-
-    def profile(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq")
-        mp = ranges.point_profile(g["value"].to_numpy(), 8)
-        return pd.DataFrame({"series_id": g["series_id"], "seq": g["seq"], "mp": mp})
-
-    mp = s.groupBy("series_id").applyInPandas(profile, "series_id string, seq long, mp double")
-    both = M.noncausal_residual(s).join(mp, ["series_id", "seq"])
-    return both.select("series_id", "seq", r6(F.greatest(L.rank01("mp"), L.rank01("robust"))).alias("score"))
-
-
 @query("evolving_trader")
 def evolving_trader(spark, sf_dir):
     names = list(S.SIGNALS)
     out = E.evolve_traders(E.states(prices(spark, sf_dir), names), names)
     return out.select("series_id", "swaps", *[r6(F.col(c)).alias(c) for c in out.columns[2:]])
+
+
+from tidemark import reports  # noqa: E402, F401  registers the composed queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,19 @@ def with_seq(df: DataFrame, series: str, order: list[str], value: str) -> DataFr
     return df.withColumn("series_id", F.col(series)).withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select("series_id", "seq", "ts", F.col(value).cast("double").alias("value"))
 
 
+def with_long_seq(df: DataFrame, series: str, order: list[str], value: str, time: str = "ts") -> DataFrame:
+    """As :func:`with_seq` where ``order`` begins with ``time``, for series that are too long for one task: rows are numbered within a day, after the count of the days before."""
+    day = F.coalesce(F.unix_date(F.col(time).cast("date")), F.lit(-(1 << 30)))
+    rows = df.withColumns({"series_id": F.col(series), "day": day})
+    along = Window.partitionBy("series_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("series_id", "day").agg(F.count(F.lit(1)).alias("n")).select("series_id", "day", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    seq = F.col("before") + F.row_number().over(Window.partitionBy("series_id", "day").orderBy(*order)) - 1
+    return rows.join(before, ["series_id", "day"]).withColumn("seq", seq.cast("long")).select("series_id", "seq", F.col(time).alias("ts"), F.col(value).cast("double").alias("value"))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event types as series."""
-    return with_seq(table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value"), "event_type", ["ts", "event_id"], "value")
+    return with_long_seq(table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value"), "event_type", ["ts", "event_id"], "value")
 
 
 def parsed_time(text: str = "timestamp"):
@@ -27,13 +39,55 @@ def parsed_time(text: str = "timestamp"):
 
 
 def read_stream_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(series_id = file, seq, ts_raw, ts, value) of CSV files with a header and columns timestamp, value; rows whose value does not parse are left out. Files are read in one piece each, in file order."""
-    raw = spark.read.csv(path, header=True, schema="timestamp string, value string", enforceSchema=False).select("*", F.col("_metadata.file_path").alias("series_id"), F.monotonically_increasing_id().alias("at"))
+    """(series_id = file, seq, ts_raw, ts, value) of CSV files with a header and columns timestamp, value; rows whose value does not parse are left out. Order is that of the file: by the place of the block that Spark read, then by row."""
+    raw = spark.read.csv(path, header=True, schema="timestamp string, value string", enforceSchema=False).select("*", F.col("_metadata.file_path").alias("series_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     good = raw.withColumn("value", F.expr("try_cast(value AS double)")).where("timestamp IS NOT NULL AND value IS NOT NULL")
-    w = Window.partitionBy("series_id").orderBy("at")
+    w = Window.partitionBy("series_id").orderBy("block", "at")
     return good.select("series_id", (F.row_number().over(w) - 1).alias("seq"), F.col("timestamp").alias("ts_raw"), parsed_time().alias("ts"), "value")
 
 
+def replay_csv(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """The CSV files of a folder as a stream of (series_id = file, timestamp, value), ``files`` of them in a micro-batch; rows that do not parse are left out."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files).csv(folder, header=True, schema="timestamp string, value string")
+    return raw.select(F.col("_metadata.file_path").alias("series_id"), "timestamp", F.expr("try_cast(value AS double)").alias("value")).where("timestamp IS NOT NULL AND value IS NOT NULL")
+
+
+def read_config(path: str) -> dict:
+    """Settings of a JSON file on the driver: ``window_size``, ``calibration_steps``, ``scorer_weights`` and what else it holds."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def univariate(wide: DataFrame, label: str = "label") -> DataFrame:
+    """(file, seq, ts, value, label) of ``pivot_channels``, ts being the place from 1 as text. A file with another number of data channels than one, or with values and labels of unlike number, ends in an error."""
+    if label not in wide.columns:
+        raise ValueError(f"no channel '{label}'")
+    data = [c for c in wide.columns if c not in ("file", "seq", label)]
+    here = F.array_compact(F.array(*[F.when(F.count(F.col(f"`{c}`")).over(Window.partitionBy("file")) > 0, F.lit(c)) for c in data]))
+    rows = wide.withColumn("channels", here)
+    one = F.when(F.size("channels") != 1, F.raise_error(F.concat(F.col("file"), F.lit(": one data channel expected, found "), F.array_join("channels", ", "))).cast("double"))
+    value = F.coalesce(one, *[F.when(F.array_contains("channels", c), F.col(f"`{c}`")) for c in data])
+    rows = rows.select("file", "seq", (F.col("seq") + 1).cast("string").alias("ts"), value.alias("value"), F.col(label).alias("raw"))
+    uneven = F.when(F.col("raw").isNull() != F.col("value").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(": values and labels differ in number"))).cast("int"))
+    return rows.select("file", "seq", "ts", "value", F.coalesce(uneven, F.bround("raw").cast("int")).alias("label"))
+
+
+def select_channels(meta: DataFrame, dataset: str | None = None, max_steps: int = 0, limit: int = 0) -> DataFrame:
+    """Univariate files of ``read_channel_meta``, of one dataset (in any case) and of at most ``max_steps`` steps if given, by name; the first ``limit`` if given."""
+    out = meta.where("if_univariate")
+    if dataset:
+        out = out.where(F.upper("dataset_name") == dataset.upper())
+    if max_steps:
+        out = out.where(F.col("time_steps") <= max_steps)
+    out = out.orderBy("file_name")
+    return out.limit(limit) if limit else out
+
+
+def labelled(series: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rows of series that have a window."""
+    return series.join(windows.select("series_id").distinct(), "series_id", "left_semi")
+
+
 def pivot_channels(long: DataFrame) -> DataFrame:
     """(file, seq, channel columns) of long rows (file, date, data, cols): integer dates before texts, integers by value; each channel is ranked by its own dates."""
     n = F.expr("try_cast(trim(date) AS bigint)")
@@ -42,14 +96,15 @@ def pivot_channels(long: DataFrame) -> DataFrame:
 
 
 def read_prices_csv(spark: SparkSession, path: str, column: str = "Close") -> DataFrame:
-    """(ts_raw, value) of price files; header names in any case, with blanks or a byte order mark."""
+    """(series_id = file, seq, ts_raw, value) of price files in file order; header names in any case, with blanks or a byte order mark; rows without a number are left out."""
     raw = spark.read.csv(path, header=True)
     names = {c.strip().lstrip("﻿").lower(): c for c in raw.columns}
     date = next((names[n] for n in ("date", "datetime", "timestamp") if n in names), None)
     if date is None or column.lower() not in names:
         raise ValueError("no date or value column")
     value = F.expr(f"try_cast(`{names[column.lower()]}` AS double)")
-    return raw.select(F.col(f"`{date}`").alias("ts_raw"), value.alias("value")).where("ts_raw IS NOT NULL AND value IS NOT NULL")
+    rows = raw.select(F.col("_metadata.file_path").alias("series_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col(f"`{date}`").alias("ts_raw"), value.alias("value")).where("ts_raw IS NOT NULL AND value IS NOT NULL")
+    return rows.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("block", "at")) - 1).alias("seq"), "ts_raw", "value")
 
 
 def read_windows_json(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +134,13 @@ def synthetic_prices(spark: SparkSession, series: int, n: int, seed: int = 0, dr
     return rows.withColumn("r", (normal + drift) * vol * times + jump).select("series_id", "seq", (start * F.exp(F.sum("r").over(w))).alias("value"))
 
 
+def open_store(spark: SparkSession, root: str) -> RunStore:
+    """The run store of a folder. Files of embedded databases are not read: there is no driver for them on the class path."""
+    if root.lower().endswith((".db", ".sqlite", ".sqlite3")):
+        raise ValueError("a run store is a folder of Parquet tables")
+    return RunStore(spark, root)
+
+
 class RunStore:
     """Runs, stream values and signal scores as Parquet partitioned by run."""
 
@@ -125,4 +187,6 @@ class RunStore:
         if self.runs().where(F.col("run_id") == run).isEmpty():
             raise KeyError(run)
         df = self._read("stream", "seq long, ts timestamp_ntz, value double, channel string, run_id long").where(F.col("run_id") == run)
-        return df.groupBy("run_id").agg(F.count(F.lit(1)).alias("stream_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sort_array(F.collect_set("channel")).alias("channels"))
+        points = df.groupBy("run_id").agg(F.count(F.lit(1)).alias("stream_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sort_array(F.collect_set("channel")).alias("channels"))
+        names = self._read("signals", "signal_name string, run_id long").where(F.col("run_id") == run).groupBy("run_id").agg(F.sort_array(F.collect_set("signal_name")).alias("signals"))
+        return points.join(names, "run_id", "left")
