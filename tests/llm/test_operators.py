@@ -134,6 +134,39 @@ def test_toxicity(spark, table, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores and spans of short texts from all labellings of their words, with the fitted weights."""
+    r = random.Random(4)
+    rows = [(i, " ".join([*(x := sentence(i, 25).split())[:9], r.choice(["scum", "vile"]) if i % 2 else x[9], *x[10:]]), "s") for i in range(120)]
+    model = toxicity.fit_toxicity(docs(spark, rows), spark.createDataFrame([(i, 0, i % 2) for i in range(120)], "doc_id long, quality int, toxic int"))
+    texts = ["scum", "you vile scum of it", "a quiet day", "Scum! and then, vile words", "", None, sentence(3, 7)]
+    for got, text in zip(toxicity.score_toxicity(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).orderBy("doc_id").coalesce(1), model).orderBy("doc_id").collect(), texts, strict=True):
+        w = (text or "").encode().split()
+        f = [toxicity.features(x) for x in w]
+        e = [model.w[0][f[i]].sum() + (model.w[1][f[i - 1]].sum() if i else 0) + (model.w[2][f[i + 1]].sum() if i + 1 < len(w) else 0) for i in range(len(w))]
+        total, one = 0.0, np.zeros(len(w))
+        for k in range(2 ** len(w) if w else 0):
+            y = np.array([(k >> i) & 1 for i in range(len(w))])
+            p = np.exp(model.start[y[0]] + sum(float(np.clip(e[i], -30, 30)) * y[i] for i in range(len(w))) + sum(model.trans[y[i], y[i + 1]] for i in range(len(w) - 1)))
+            total, one = total + p, one + p * y
+        m = one / total if w else one
+        score = 0.0 if not w else m.max() if m.max() < 0.5 else 1 - np.prod(1 - m[m >= 0.5])
+        assert got["score"] == pytest.approx(score, abs=1e-5) and got["predicted"] == int(score >= 0.7)
+        hit = [i for i in range(len(w)) if m[i] >= 0.5]
+        assert sum(x["end"] - x["start"] for x in got["spans"]) >= sum(len(w[i]) for i in hit) and len(got["spans"]) == sum(i - 1 not in hit for i in hit)
+
+
+def test_toxicity_takes_a_bounded_sample_and_whole_texts(spark):
+    long = sentence(1, 400)
+    rows = [(i, long + f" w{i}" if i else "x " * 50_000, "s") for i in range(20)]
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit_toxicity(docs(spark, rows), labels, sample_bytes=10_000.0) is not None
+    f, y, on = toxicity.segments([long.encode().split(), b"a b".split(), []], [[], [1], []])
+    assert on.sum() == 402 and y.sum() == 1 and on[:-1].all(1).sum() == 400 // 17
+    odd = toxicity.score_toxicity(docs(spark, [(1, long, "s"), (1, long, "s"), (None, "a" * 100_000, "s")]), toxicity.Tagger(toxicity.train_field([], []))).collect()
+    assert sorted(str(r["doc_id"]) for r in odd) == ["1", "1", "None"] and {r["predicted"] for r in odd} == {0}
+
+
 def test_chain_marginals_are_exact():
     r = np.random.default_rng(0)
     e, first, trans, start = r.normal(size=9) * 3, np.zeros(9, bool), r.normal(size=(2, 2)), r.normal(size=2)
@@ -251,6 +284,15 @@ def test_jaccard(spark, table, empty):
     assert jaccard.similar_sets(empty).count() == 0
 
 
+def test_jaccard_of_odd_rows(spark):
+    """A very long text beside its copy, texts of one n-gram, sets of many equal words, a link on the bound, rows of one id."""
+    long, ten = sentence(60, 40_000), [f"w{i}" for i in range(12)]
+    rows = [(1, long, "s"), (2, long + " end", "s"), (3, "a b", "s"), (4, "A  B", "s"), (5, "a b c", "s"), (6, "x " * 500, "s"), (7, "x " * 9, "s"), (8, " ".join(ten), "s"), (9, " ".join(ten[:11]), "s"), (9, " ".join(ten[:11]), "s")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_sets(docs(spark, rows)).collect())
+    assert [x for x in got if x[0] > 2] == [(3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 6), (7, 1, 6), (8, 10, 8), (9, 9, 8), (9, 9, 8)]
+    assert [x[2] for x in got[:2]] == [1, 1]
+
+
 def test_cut_stars_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 300)
     r, base, rows = random.Random(8), sentence(50, 60).split(), []
@@ -304,6 +346,19 @@ def test_neighbours_by_brute_force(spark):
     assert neighbours.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_neighbours_of_odd_rows(spark):
+    """Labels of any type, null and repeated ids, a cosine that is just reached."""
+    c = 0.93
+    rows = [(1, [1.0, 0.0], "a"), (2, [c, float(np.sqrt(1 - c * c)) * (1 - 1e-9)], "a"), (2, [0.0, -1.0], "a"), (3, [1.0, 0.0], "b"), (None, [1.0, 0.0], "a"), (5, [2.0, 0.0], "b"), (6, [-0.0, 1.0], "c"), (7, [0.0, 1.0], "c")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in neighbours.near_vectors(d).collect())
+    assert got == sorted([("1", 1, "1"), ("2", 1, "1"), ("2", 1, "1"), ("3", 1, "3"), ("None", 0, "None"), ("5", 1, "3"), ("6", 1, "6"), ("7", 1, "6")])
+    for kind in ("double", "boolean", "date"):
+        value = {"double": F.col("n").cast("double"), "boolean": F.col("n") > 0, "date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n").cast("int"))}[kind]
+        e = spark.createDataFrame([(i, [1.0, 0.0], i % 2) for i in range(4)], "vec_id long, embedding array<double>, n int").withColumn("label", value)
+        assert {r["vec_id"]: r["component_id"] for r in neighbours.near_vectors(e).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
 def test_dense_groups_that_link_only_across(spark):
     """20 vectors each, 0.99 inside and 0.935 across: every list of K is full of its own group."""
     e, cos = np.eye(64), 0.935 / 0.99
@@ -334,13 +389,27 @@ def test_bpe_equals_the_library(spark, table, empty):
     from tokenizers import Tokenizer
 
     lib, own = Tokenizer.from_file(tokenizer_path()), bpe.WordBpe(tokenizer_path())
-    for t in ["", "Hello WORLD's don't <|endoftext|>x", "ΑΣ ΟΔΟΣ é é 123!!", BASE, "a" * 500]:
+    r = random.Random(12)
+    pools = ["abcXYZ '’.,!?0189-_", "éèüßñçÀÖ ", "ΑΣςσοδ ", "日本語テキスト한국어 ", "абвгдЖЗ ", "🙂👍🏽‍👩 ", "\u0301\u200d\u00a0\u2028\t\n\r ", "ﬁ²½①Ⅷ٣ "]
+    texts = ["", "Hello WORLD's don't <|endoftext|>x", "ΑΣ ΟΔΟΣ é é 123!!", BASE, "a" * 500, "\x00 \x1f \x85", "we'll they've I'm it'S"]
+    texts += ["".join(r.choice(r.choice(pools)) for _ in range(r.randint(1, 60))) for _ in range(400)]
+    for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False) and own.digest(t)[0] == len(ids)
+        n, joined, decoded = own.digest(t)
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+        assert (n, joined, decoded) == (len(ids), " ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False))
     got = bpe.bpe_encode(table, tokenizer_path())
     assert got.count() == len(ROWS) and all(r["n_tokens"] == len(r["ids"]) for r in got.collect()) and bpe.bpe_encode(empty, tokenizer_path()).count() == 0
 
 
+def test_bpe_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 10)
+    own = bpe.WordBpe(tokenizer_path())
+    for k in range(100):
+        own.digest(f"word{k} " + "y" * (bpe.KEPT + 1 + k))
+    assert len(own.young) <= 10 and len(own.old) <= 10 and max(map(len, own.young)) <= bpe.KEPT
+
+
 def test_quality(spark, table, empty):
     rows = [(i, sentence(i, 50) if i % 2 else "!!! BUY | " * 30, "s") for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, None, None)], "doc_id long, quality int, toxic int")
@@ -350,6 +419,37 @@ def test_quality(spark, table, empty):
     assert quality.score_quality(table, model).columns == [*table.columns, "quality_score"] and quality.score_quality(empty, quality.fit_quality(empty, labels)).count() == 0
 
 
+def test_quality_by_brute_force(spark):
+    """Moments of each class, shrinkage and densities in plain numpy; a clashing column is replaced, labels may come twice or be of one class."""
+    rows = [(i, (sentence(i, 20 + i % 40) if i % 3 else "!!! BUY | 55 " * (5 + i % 7)) + ("." if i % 5 else ""), "s") for i in range(150)] + [(200, None, "s"), (201, "", "s"), (3, "again", "s")]
+    lab = [(i, int(bool(i % 3)), 0) for i in range(150)] + [(None, 1, 0), (4, None, 0), (7, 1, 0)]
+    labels = spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    d = docs(spark, rows).withColumn("Quality_Score", F.lit("mine"))
+    got = {(r["doc_id"], r["text"]): r["quality_score"] for r in quality.score_quality(d, quality.fit_quality(d, labels)).collect()}
+    x = {y: np.array([quality.document_stats((t or "").encode()) for i, t, _ in rows for j, q, _ in lab if i == j and q == y and not quality.held_out_id(i, 4, 2)]) for y in (0, 1)}
+    cov = {y: np.cov(v.T, bias=True) for y, v in x.items()}
+    n = {y: len(v) for y, v in x.items()}
+    pooled = sum(n[y] * cov[y] for y in x) / sum(n.values())
+    for i, t, _ in rows:
+        odds = np.log(n[1] / n[0])
+        for y, sign in ((0, -1), (1, 1)):
+            near = 0.05 + 0.95 * quality.DIM / (n[y] + quality.DIM)
+            c = (1 - near) * cov[y] + near * pooled
+            c = 0.98 * c + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(quality.DIM)
+            z = np.array(quality.document_stats((t or "").encode())) - x[y].mean(0)
+            odds += sign * (-0.5 * z @ np.linalg.solve(c, z) - 0.5 * np.linalg.slogdet(c)[1])
+        assert got[i, t] == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -500, 500))), abs=1e-6)
+    one = quality.fit_quality(d, labels.where("quality = 1"))
+    assert {round(r["quality_score"], 9) for r in quality.score_quality(d, one).collect()} == {round(1 / (1 + np.exp(-one.prior)), 9)} and one.prior > 0
+
+
+def test_top_k_of_odd_rows(spark):
+    """Null ids take no part, a repeated candidate counts each time, a repeated query once, by its smallest vector."""
+    rows = [(None, [9.0, 9.0], 0, 0, ""), (50, [1.0, 0.0], 0, 0, ""), (50, [0.0, 1.0], 0, 0, ""), (1, [2.0, 0.0], 0, 0, ""), (2, [0.0, 3.0], 0, 0, ""), (2, [0.0, 3.0], 0, 0, ""), (3, [1.0], 0, 0, ""), (4, [], 0, 0, "")]
+    got = [tuple(r) for r in topk.top_k(vectors(spark, rows).repartition(3), "vec_id % 50 = 0", 5).orderBy("rank").collect()]
+    assert got == [(50, 1, 2, 3 * 65536), (50, 2, 2, 3 * 65536), (50, 3, 1, 0)]
+
+
 def test_top_k(spark):
     r = np.random.default_rng(6)
     rows = [(i, [float(x) for x in np.round(r.normal(size=4), 1)], 0, 0, "") for i in range(120)]

@@ -1,6 +1,6 @@
 """BPE encoding and decoding: a priority queue of merge ranks over a doubly linked list of symbols.
 
-Every distinct stretch between white space is merged once and then looked up in a bounded two-generation cache.
+Distinct stretches between white space are merged once and then looked up in a bounded two-generation cache; very long ones are merged each time.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bounded_batches, slices
 
-#: Stretches of each cache generation.
-CACHE = 120_000
+#: Stretches of each cache generation, and the length up to which a stretch is kept: so its memory is bounded.
+CACHE, KEPT = 120_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -97,6 +97,8 @@ class WordBpe:
         if found is None:
             ids = self.stretch_ids(stretch)
             found = (len(ids), " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids))
+        if len(stretch) > KEPT:
+            return found
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
         self.young[stretch] = found

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -188,6 +188,28 @@ def parts_for(spark: SparkSession, total: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / each) + 1)
 
 
+def hashed_bits(keys: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """``bits`` bits (a multiple of 8), set where a row of ``keys`` hashes to: of one size, whatever the number of rows. What is not set, no row has."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in slices(batches, 1024):
+            held = np.zeros(bits, bool) if held is None else held
+            held[hashes(part) % np.uint64(bits)] = True
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["v"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, np.uint8)
+        for part in slices(batches, 4):
+            for v in part.column(0).to_pylist():
+                held |= np.frombuffer(v, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["v"])
+
+    few = max(1, int(keys.sparkSession.sparkContext.defaultParallelism))
+    out = keys.mapInArrow(mark, "v binary").repartition(few).mapInArrow(either, "v binary").repartition(1).mapInArrow(either, "v binary").first()
+    return np.unpackbits(np.frombuffer(bytes(out[0]), np.uint8)).astype(bool) if out else np.zeros(bits, bool)
+
+
 def tasks_for(groups: int) -> int:
     """Partitions for ``groups`` groups that a task takes one after another: one each, up to what a driver can schedule."""
     return max(1, min(groups, 50_000))

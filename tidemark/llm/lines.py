@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Fingerprints, Scratch, combine, dealt, mix, slices, sorted_groups
+from tidemark.llm.common import Fingerprints, Scratch, combine, dealt, hashed_bits, mix, slices, sorted_groups
 from tidemark.llm.substrings import _column
 
 #: Edits (insert, delete, replace one code point) up to which two lines are near.
@@ -194,24 +194,8 @@ def keyed_lines(lines: DataFrame, buckets: int, most: int, wanted: np.ndarray |
 
 
 def open_keys(lines: DataFrame, most: int) -> np.ndarray:
-    """BITS bits of hashed keys that open lines have: of one size, whatever their number."""
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.zeros(BITS, bool), False
-        for part in slices(batches, 1024):
-            bits[segment_keys(part.column(0).to_pylist(), most)[0] % np.uint64(BITS)] = seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["v"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS // 8, np.uint8)
-        for part in slices(batches, 4):
-            for v in part.column(0).to_pylist():
-                bits |= np.frombuffer(v, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["v"])
-
-    few = max(1, int(lines.sparkSession.sparkContext.defaultParallelism))
-    out = lines.where("open").select("line").mapInArrow(hashed, "v binary").repartition(few).mapInArrow(either, "v binary").repartition(1).mapInArrow(either, "v binary").first()
-    return np.unpackbits(np.frombuffer(bytes(out[0]), np.uint8)).astype(bool)
+    """BITS bits of hashed keys that open lines have."""
+    return hashed_bits(lines.where("open").select("line"), BITS, lambda part: segment_keys(part.column(0).to_pylist(), most)[0])
 
 
 def _entries(bucket: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:

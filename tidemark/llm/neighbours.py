@@ -147,7 +147,9 @@ def _descend(edges: DataFrame, reps: DataFrame, k: int, wide: DataFrame | None =
 def _links_within(reps: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     """(id, links): links of each vector of a component to all others of it, counting copies, by tiles."""
     members = reps.join(comps, reps["id"] == comps["node"]).select("id", "v", "copies", F.col("component").alias("comp"))
-    n = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    # Eight tiles at least, of 128 to TILE vectors: a component of any size is many tasks, a large one is not copied more often than it must.
+    size = F.count(F.lit(1))
+    n = members.groupBy("comp").agg(F.ceil(size / F.greatest(F.lit(TILE / 4), F.least(F.lit(TILE), size / 8))).cast("int").alias("tiles"))
     placed = members.join(n, "comp").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("id", "v", "copies", "comp", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
 
@@ -238,7 +240,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
 
     Vectors are compared by cosine in double precision where their labels, of whatever type, are equal and not null and their dimensions agree. Null, empty and zero
     vectors and those with null or non-finite components link with nothing. Equal vectors of a label are compared once and count as links of one another. Rows
-    with a null vec_id come back with no links and their null as component. Repeated vec_ids are rows of their own with the same component. Extra columns are not read.
+    with a null vec_id come back with no links and their null as component. Rows of one vec_id are one entry with several vectors: they share links and component. Extra columns are not read.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "nn")

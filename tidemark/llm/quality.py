@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, slices
+from tidemark.llm.common import bounded_batches, hashed_bits, mix, slices
 
 #: Rows with a score of at least this are predicted to be good.
 CUT = 0.7
 DIM = 15
+#: Bits of hashed ids that have a label.
+BITS = 1 << 23
 _LOWER = bytes(range(0x61, 0x7B))
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGIT = bytes(range(0x30, 0x3A))
@@ -100,19 +102,28 @@ class Discriminant:
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Discriminant:
     """Fits on every labelled row whose crc32(doc_id) modulo ``folds`` is not ``held``.
 
-    Texts meet their labels first, so statistics are taken of labelled rows alone, and two sums a class reach the driver. A row counts once for each of its
-    labels. Null labels and ids are left out; without labels of either class the score is a constant.
+    Statistics are taken where the texts lie, of rows whose id may have a label (by BITS hashed bits, which leave out none that has); only (doc_id, numbers) meet
+    the labels, and two sums a class reach the driver. A row counts once for each of its labels. Null labels and ids are left out; without labels of either class
+    the score is a constant.
     """
     bounded_batches(docs.sparkSession)
     keep = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
-
     named = labels.where(keep & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
-    taken = docs.where(keep).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(named, "doc_id").select("y", "text")
+    hashed = lambda part: mix(part.column(0).to_numpy().astype(np.uint64))
+    marked = hashed_bits(named.select("doc_id"), BITS, hashed)
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            part = part.filter(pa.array(marked[hashed(part) % np.uint64(BITS)]))
+            x = _matrix(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    taken = docs.where(keep).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(stats, "doc_id long, x array<double>").join(named, "doc_id").select("y", "x")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + DIM + DIM * DIM))
-        for part in slices(batches):
-            all_, y = _matrix(part.column(1).to_pylist()), part.column(0).to_numpy()
+        for part in slices(batches, 4096):
+            all_, y = part.column(1).flatten().to_numpy().reshape(-1, DIM), part.column(0).to_numpy()
             for c in (0, 1):
                 x = all_[y == c]
                 sums[c] += np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))

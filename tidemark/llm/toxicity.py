@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bounded_batches, slices
 
-#: Labelled documents of each class that the field is fitted on, at most.
-SAMPLE = 2500
+#: Labelled documents of each class that the field is fitted on, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 2500, 24e6
 #: Hash buckets of the features.
 BUCKETS = 1 << 17
 CUT = 0.7
@@ -136,7 +136,7 @@ class Field:
         gs = np.array([((y[:, 0] == a) - np.exp(fw[:, 0, a] + bw[:, 0, a] - z)).mean() for a in (0, 1)])
         return g, gt, gs
 
-    def fit(self, f: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = 6, batch: int = 512, rate: float = 0.1, decay: float = 1e-6) -> None:
+    def fit(self, f: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = 2, batch: int = 512, rate: float = 0.1, decay: float = 1e-6) -> None:
         """AdaGrad over shuffled batches (fixed seed)."""
         # Few segments are gone through more often, in smaller batches.
         batch, epochs = min(batch, max(16, len(y) // 40)), max(epochs, 15_000 // max(len(y), 1))
@@ -250,26 +250,24 @@ def document_score(p: np.ndarray) -> float:
     return top if top < 0.5 else float(1 - np.exp(np.log1p(-np.minimum(p[p >= 0.5], 1 - 1e-12)).sum()))
 
 
-def segments(docs: list[list[bytes]], marked: list[list[int]], around: int = 8, plain: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training segments: around every labelled token, or ``plain`` evenly placed ones where a document has none."""
+def segments(docs: list[list[bytes]], marked: list[list[int]], around: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training segments: around every labelled token, or the whole text, every word once, where a document has none."""
     length, fs, ys, ons = 2 * around + 1, [], [], []
     known: dict[bytes, list[int]] = {}
     for words, at in zip(docs, marked, strict=True):
-        centres = at or (list(np.linspace(around, max(around, len(words) - around - 1), plain).astype(int)) if len(words) > length else [around])
         labels, last = set(at), -length
-        for c in centres:
-            if c - last < around and at:
-                continue
-            last = c
-            a = max(0, c - around)
+        starts = []
+        for c in at:
+            if c - last >= around:
+                starts.append(max(0, c - around))
+                last = c
+        for a in starts if at else range(0, len(words), length):
             part = words[a : a + length]
-            if not part:
-                continue
             f = [known[w] if w in known else known.setdefault(w, features(w)) for w in part]
             fs.append(f + [[0] * WIDTH] * (length - len(part)))
             ys.append([int(a + i in labels) for i in range(len(part))] + [0] * (length - len(part)))
             ons.append([True] * len(part) + [False] * (length - len(part)))
-    return np.array(fs, np.int32), np.array(ys, float), np.array(ons, bool)
+    return np.array(fs, np.int32).reshape(-1, length, WIDTH), np.array(ys, float).reshape(-1, length), np.array(ons, bool).reshape(-1, length)
 
 
 def train_field(toxic: list[bytes], clean: list[bytes]) -> Field:
@@ -293,21 +291,29 @@ def train_field(toxic: list[bytes], clean: list[bytes]) -> Field:
     if pick:
         f2, y2, on2 = segments([d for d, _ in pick], [h for _, h in pick])
         f, y, on = np.concatenate((f, f2)), np.concatenate((y, np.zeros_like(y2))), np.concatenate((on, on2))
-        field.fit(f, y, on, epochs=3)
+        field.fit(f, y, on, epochs=1)
     return field
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Tagger:
-    """Fits on at most ``sample`` labelled documents of each class (first by hash of the id), never on ids with crc32 modulo ``folds`` equal to ``held``.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE, sample_bytes: float = SAMPLE_BYTES) -> Tagger:
+    """Fits on whole texts of at most ``sample`` labelled documents and ``sample_bytes`` of each class (first by hash of the id), never on ids with crc32 modulo ``folds`` equal to ``held``.
 
-    The ids of the sample are broadcast: 2 * ``sample`` numbers at most. Null ids, labels and texts are left out; identical texts count once.
+    The ids of the sample are broadcast: 2 * ``sample`` numbers at most. Null ids, labels and texts are left out; identical texts count once. Toxic texts of the sample
+    in which no word tells them from clean ones give no labelled token and are left out of the training.
     """
     keep = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
+    slim = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     texts: dict[int, list[bytes]] = {}
     for y in (0, 1):
         ids = labels.where(keep & (F.col("toxic") == y)).select(F.col("doc_id").cast("long")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").collect()
-        texts[y] = sorted({bytes(t) for _, t in rows})
+        sized = slim.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+        some, total = [], 0
+        for r in sized:
+            if total + r["n"] <= sample_bytes:
+                some.append((r["doc_id"],))
+                total += r["n"]
+        chosen = docs.sparkSession.createDataFrame(some, "doc_id long")
+        texts[y] = sorted({bytes(t) for _, t in slim.join(F.broadcast(chosen), "doc_id", "left_semi").collect()})
     return Tagger(train_field(texts[1], texts[0]))
 
 
@@ -315,7 +321,7 @@ _WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
 def score_toxicity(docs: DataFrame, model: Tagger, cut: float = CUT) -> DataFrame:
-    """(doc_id, score, predicted, spans) of every row, map only, over whole texts.
+    """(doc_id, score, predicted, spans) of every row, map only, over whole texts. A score of exactly ``cut`` is predicted toxic.
 
     ``spans`` has (start, end, probability) of each run of tokens with a marginal of at least 0.5, as character offsets. Null and empty texts score 0;
     repeated rows stay; other columns are left out.
