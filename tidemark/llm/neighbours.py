@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, slices, sorted_groups
+from tidemark.llm.common import Scratch, parts_for, slices, sorted_groups
 from tidemark.llm.components import connected_components
 from tidemark.llm.topk import usable
 
@@ -149,7 +149,7 @@ def _links_within(reps: DataFrame, comps: DataFrame, threshold: float) -> DataFr
     members = reps.join(comps, reps["id"] == comps["node"]).select("id", "v", "copies", F.col("component").alias("comp"))
     # Eight tiles at least, of 128 to TILE vectors: a component of any size is many tasks, a large one is not copied more often than it must.
     size = F.count(F.lit(1))
-    n = members.groupBy("comp").agg(F.ceil(size / F.greatest(F.lit(TILE / 4), F.least(F.lit(TILE), size / 8))).cast("int").alias("tiles"))
+    n = members.groupBy("comp").agg(F.ceil(size / F.greatest(F.lit(TILE / 4), F.least(F.lit(TILE), size / 8))).cast("int").alias("tiles"), size.alias("n"))
     placed = members.join(n, "comp").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("id", "v", "copies", "comp", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
 
@@ -164,8 +164,8 @@ def _links_within(reps: DataFrame, comps: DataFrame, threshold: float) -> DataFr
         return pd.concat(out)
 
     # Dealt by tile: the joins before left all tiles of a component in one partition.
-    tiles = min(50_000, int(n.agg(F.coalesce(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2), F.lit(0))).first()[0]) + 1)
-    return pairs.repartition(tiles, "comp", "i", "j").groupBy("comp", "i", "j").applyInPandas(tile, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    rows = n.agg(F.coalesce(F.sum(F.col("n") * F.col("tiles")), F.lit(0))).first()[0]
+    return pairs.repartition(parts_for(reps.sparkSession, rows, 8 * TILE), "comp", "i", "j").groupBy("comp", "i", "j").applyInPandas(tile, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def _saturated(edges: DataFrame, threshold: float, k: int, wide: DataFrame | None = None) -> DataFrame:
