@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import queries as Q
-from tidemark.functions import ranges
+from tidemark.__main__ import main as command
+from tidemark.functions import extend, ranges
 from tidemark.functions import signals as S
 from tidemark.operators import detection as D
 from tidemark.operators import market as M
 from tidemark.operators import metrics
 from tidemark.plans import lifecycle as L
+from tidemark.sources import service
 from tidemark.sources import tables as T
 from tidemark.streaming.online import online_events, run_stream
 
@@ -65,6 +67,62 @@ def test_store_round_trip(spark, tmp_path):
         store.summary(99)
 
 
+def test_service_reads_the_store(spark, tmp_path):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    store = T.open_store(spark, str(tmp_path / "runs"))
+    assert service.answer(store, "/runs", "k", "k") == (200, [])
+    s = Q.series(spark, SF).where("series_id = 'view'").withColumn("momentum", S.momentum(30)).select("seq", "ts", "value", "momentum")
+    store.write(store.begin_run("test"), s, ["momentum"])
+    server = service.serve(store, "secret")
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path, key="secret": json.load(urlopen(Request(f"http://127.0.0.1:{server.server_port}{path}", headers={"X-API-Key": key})))
+    try:
+        n = s.count()
+        assert get("/health", "")["status"] == "ok" and get("/runs")[0]["source"] == "test" and get("/runs/1")["stream_points"] == n == get("/runs/1")["signal_rows"]
+        assert get("/runs/1/signals") == ["momentum"] and get("/runs/1/signals?channel=other") == []
+        assert [p["value"] is None for p in get("/runs/1/signals/momentum")][:30] == [True] * 29 + [False] and len(get("/runs/1/stream")) == n
+        for path, key, status in (("/runs", "wrong", 401), ("/runs/9", "secret", 404), ("/nothing", "secret", 404)):
+            with pytest.raises(HTTPError) as e:
+                get(path, key)
+            assert e.value.code == status
+    finally:
+        server.shutdown()
+    assert service.answer(store, "/runs", None, "any")[0] == 401
+    with pytest.raises(ValueError):
+        T.open_store(spark, str(tmp_path / "x.db"))
+
+
+def test_users_add_signals_and_open_events(spark):
+    extend.register_signal("span", of_window=lambda x: x.max(1) - x.min(1))
+    try:
+        got = S.with_signals(rows(spark, [1, 5, 2, 9]), 3, ("momentum", "span")).orderBy("seq").collect()
+        assert [r["span"] for r in got] == [None, None, 4.0, 7.0]
+        with pytest.raises(ValueError):
+            extend.register_signal("span", column=S.momentum)
+    finally:
+        extend.unregister_signal("span")
+    extend.register_functions(spark)
+    spark.createDataFrame([("a", 0, 3, 5), ("b", 1, 7, 7)], "series_id string, event_id long, first long, last long").createOrReplaceTempView("found")
+    assert [tuple(r) for r in spark.sql("SELECT r.* FROM found, LATERAL event_rows(series_id, event_id, first, last) r ORDER BY 1, 3").collect()] == [("a", 0, 3), ("a", 0, 4), ("a", 0, 5), ("b", 1, 7)]
+
+
+def test_report_and_command_line(spark, capsys):
+    files = D.evaluate(Q.simple_events(spark, SF), Q.labels(spark, SF), "overlap")
+    text = D.report_text(files, D.corpus_scores(files))
+    assert len(text.split("\n")) == 7 and "5 series" in text
+    command(["list"])
+    assert "detect_events" in capsys.readouterr().out
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"window_size": 30, "scorer_weights": {"zscore": 0.5}}')
+    assert T.read_config(str(tmp_path / "c.json"))["scorer_weights"] == {"zscore": 0.5}
+
+
 def test_csv_skips_bad_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text("timestamp,value\n2024-01-01 00:00:00,1\nbad,notanumber\n2024-01-01 00:05:00.5,2\n2024-01-01 00:10:00,3\n")
     got = T.read_stream_csv(spark, str(tmp_path / "a.csv")).orderBy("seq").collect()

@@ -276,6 +276,16 @@ def nab_normalized(files: DataFrame, *by: str) -> DataFrame:
     return total.select(*by, F.when(F.col("p") == F.col("n"), 0.0).otherwise(100 * (F.col("r") - F.col("n")) / (F.col("p") - F.col("n"))).alias("score"))
 
 
+def report_text(files: DataFrame, corpus: DataFrame | None = None, most: int = 200) -> str:
+    """A table of ``evaluate`` rows by series, ``most`` of them at most, and a line of ``corpus_scores``."""
+    lines = [f"{'series':<40}{'TP':>6}{'FP':>6}{'missed':>8}{'precision':>11}{'recall':>8}"]
+    for r in files.orderBy("series_id").limit(most).collect():
+        lines.append(f"{r['series_id']:<40}{r['tp']:>6}{r['fp']:>6}{r['missed']:>8}{r['precision']:>11.3f}{r['recall']:>8.3f}")
+    for r in corpus.collect() if corpus is not None else []:
+        lines.append(f"{r['files']} series: precision {r['precision']:.3f}, recall {r['recall']:.3f}, F1 {r['f1']:.3f}")
+    return "\n".join(lines)
+
+
 def corpus_scores(files: DataFrame, *by: str) -> DataFrame:
     """(``by``, files, precision, recall, f1) of ``evaluate``: means over files, and F1 of the means."""
     mean = files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))

@@ -180,6 +180,9 @@ class RunStore:
         df = self._read("signals", "signal_name string, channel string, run_id long")
         return df.where((F.col("run_id") == run) & (F.col("channel") == channel)).select("signal_name").distinct().orderBy("signal_name")
 
+    def signal_rows(self, run: int) -> int:
+        return self._read("signals", "run_id long").where(F.col("run_id") == run).count()
+
     def channels(self, run: int) -> DataFrame:
         return self._read("stream", "channel string, run_id long").where(F.col("run_id") == run).select("channel").distinct().orderBy("channel")
 
