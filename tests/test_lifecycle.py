@@ -31,6 +31,18 @@ def test_drift_is_seen_in_batch_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert {r["seq"]: r["psi"] for r in spark.table("drift").collect()} == {r["seq"]: r["psi"] for r in rows}
     assert drift_status(s.limit(0)).count() == 0
+    pieces = drift_status(s, 200, 200, every=20, size=150).orderBy("seq").collect()
+    assert [tuple(r) for r in pieces] == [tuple(r) for r in rows]
+
+
+def test_drift_index_of_zero_is_computed_again(spark):
+    """A window like the reference has index 0, which is looked at again at once."""
+    x = list(range(10)) * 4 + [50] * 20
+    s = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "series_id string, seq long, value double")
+    for size in (1000, 7):
+        got = [r["psi"] for r in drift_status(s, 10, 10, every=15, size=size).orderBy("seq").collect()]
+        m = drift.Monitor(10, 10, 10, 15)
+        assert got == [v or 0.0 for v in map(m.push, map(float, x))]
 
 
 def test_retrainer_climbs_and_starts_anew(spark, tmp_path):
