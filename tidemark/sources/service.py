@@ -30,7 +30,7 @@ def answer(store: RunStore, path: str, key: str | None, given: str | None) -> tu
     if where.lower() in OPEN:
         return 200, {"status": "ok"} | ({"service": "tidemark"} if where == "/" else {})
     if not key or not given or not hmac.compare_digest(given.encode(), key.encode()):
-        return 401, {"error": "missing or invalid API key"}
+        return 401, {"error": "API key missing or wrong"}
     if where == "/runs":
         return 200, [{"run_id": r["run_id"], "source": r["source"], "started_at": str(r["started_at"])} for r in store.runs().collect()]
     routes: dict[str, Callable[..., Any]] = {
@@ -45,7 +45,7 @@ def answer(store: RunStore, path: str, key: str | None, given: str | None) -> tu
             try:
                 return 200, f(int(run), *rest)
             except KeyError:
-                return 404, {"error": f"no run with id {run}"}
+                return 404, {"error": f"unknown run {run}"}
     return 404, {"error": "no such path"}
 
 
