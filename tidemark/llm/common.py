@@ -143,10 +143,14 @@ class Words:
         closes = np.cumsum([len(t or b"") + 1 for t in texts])
         self.doc = np.searchsorted(closes, self.start, "right")
         self.lengths = np.bincount(self.doc, minlength=len(texts))
-        power, inverse = powers(len(self.bytes) + 1)
-        prefix = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64) * _M1)
+        self.hash = np.empty(len(self.start), np.uint64)
+        for i in range(0, len(self.start), 65_536):  # some words at a time: eight bytes and more stand for each of theirs
+            start, end = self.start[i : i + 65_536], self.end[i : i + 65_536]
+            part = self.bytes[start[0] : end[-1]]
+            power, inverse = powers(len(part) + 1)
+            prefix = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
+            self.hash[i : i + 65_536] = mix((prefix[end - start[0]] - prefix[start - start[0]]) * inverse[start - start[0]] + (end - start).astype(np.uint64) * _M1)
 
     def __len__(self) -> int:
         return len(self.start)

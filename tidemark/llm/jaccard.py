@@ -289,6 +289,8 @@ def similar_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
         edges = edges.union(_across(scratch.save(rest, "rest"), star, member, texts, n, percent))
     comps = connected_components(edges, scratch)
     named = classes.join(comps, classes["class_id"] == comps["node"], "left").select("name", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    named = scratch.save(named, "named")
+    scratch.keep("sets", "named")
     out = table.join(named, "name", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -305,6 +305,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, k: int = K, aud
         edges, step = new, step + 1
     links = _links_within(reps, comps, threshold)
     per_rep = scratch.save(reps.select("lab", "v", "id", "copies").join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").select("lab", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "links")
+    scratch.keep("units", "links")
     named = units.join(per_rep, ["lab", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~good | (F.coalesce(big, F.lit(0.0)) <= 0)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.union(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
