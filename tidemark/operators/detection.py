@@ -301,6 +301,20 @@ def timestamp_gaps(series: DataFrame, multiplier: float = 3.0) -> DataFrame:
     return rows.join(mid, "series_id").where((F.col("m") > 0) & (F.col("gap_seconds") > multiplier * F.col("m"))).select("series_id", "seq", "gap_seconds", F.bround(F.col("gap_seconds") / F.col("m"), 1).alias("multiple"))
 
 
+def timestamp_report(series: DataFrame, multiplier: float = 3.0) -> DataFrame:
+    """(series_id, kind, seq, gap_seconds, multiple): ``gap`` rows of ``timestamp_gaps``; one ``parse_error`` row instead for a series in which a time is missing or the median step is 0.
+
+    A series of fewer than two rows has nothing to report.
+    """
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(along()).cast("timestamp"))) / 1e6
+    state = series.withColumn("g", gap).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.count("ts").alias("there"), F.median("g").alias("m")).where("n > 1")
+    bad = state.where("there < n OR m = 0")
+    none = F.lit(None).cast("double")
+    wrong = bad.select("series_id", F.lit("parse_error").alias("kind"), F.lit(None).cast("long").alias("seq"), none.alias("gap_seconds"), none.alias("multiple"))
+    good = timestamp_gaps(series.join(bad.select("series_id"), "series_id", "left_anti"), multiplier)
+    return good.select("series_id", F.lit("gap").alias("kind"), "seq", "gap_seconds", "multiple").union(wrong)
+
+
 def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     """(series_id, psi): population stability between two sets of values, in bins between the reference's quantiles; shares below 1e-6 count as that."""
     q = reference.groupBy("series_id").agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("q"))

@@ -96,6 +96,11 @@ def trend_overlay(prices: DataFrame, w: int = 30, band: float = 0.25, short: boo
     return rows.withColumn("position", trend_position(F.col("z"), band, size, short))
 
 
+def backtest(scored: DataFrame, threshold: float = 3.0, size: float = 1.0, follow: bool = True, k: int = 5, fee: float = 0.0001, slip: float = 0.0002) -> DataFrame:
+    """``scored`` (value, z) with the ``position`` that acts where z reaches the threshold, and its profit after costs."""
+    return with_profit(scored.withColumn("position", momentum_position(F.col("z"), threshold, k, follow, size)), fee, slip)
+
+
 def trading_agent(prices: DataFrame, weights: dict[str, float], threshold: float, size: float = 1.0, follow: bool = True, k: int = 5, w: int = 30) -> DataFrame:
     """``prices`` with the weighted detector's ``z`` and the ``position`` that follows or fades the last ``k`` steps' move where z reaches the threshold."""
     scored = weighted_detector(prices.select("series_id", "seq", "ts", "value"), weights, w)

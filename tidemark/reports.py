@@ -318,6 +318,20 @@ def model_nab(spark, sf_dir):
     return models.nab_of_flags(s, labels(spark, sf_dir), 0.85).select(r6(F.col("score")).alias("score"))
 
 
+@query("timestamp_report", f"WITH {BASE.replace('s AS (', 's0 AS (', 1)}, s AS (SELECT series_id, seq, value, CASE WHEN series_id = 'view' AND seq = 7 THEN NULL ELSE ts END AS ts FROM s0), g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER {ALONG})) / 1e6 AS gap FROM s), m AS (SELECT series_id, count(*) AS n, count(ts) AS there, median(gap) AS m FROM g GROUP BY series_id) SELECT series_id, 'parse_error' AS kind, -1::BIGINT AS seq, NULL::DOUBLE AS gap_seconds FROM m WHERE there < n OR m = 0 UNION ALL SELECT g.series_id, 'gap', seq, round(gap, 3) + 0.0 FROM g JOIN m USING (series_id) WHERE there = n AND m > 0 AND gap > 3 * m")
+def timestamp_report(spark, sf_dir):
+    """Gaps by series; a series with a missing time has one row that says so."""
+    s = series(spark, sf_dir).withColumn("ts", F.when(~((F.col("series_id") == "view") & (F.col("seq") == 7)), F.col("ts")))
+    return D.timestamp_report(s).select("series_id", "kind", F.coalesce("seq", F.lit(-1).cast("long")).alias("seq"), (F.round("gap_seconds", 3) + 0.0).alias("gap_seconds"))
+
+
+@query("backtest", f"WITH {profit_sql(BASE + ', ' + PX + ', zz AS (SELECT *, ' + Z60 + ' AS z FROM px)' + f', ps AS (SELECT *, CASE WHEN z >= 1 AND seq >= 5 THEN 0.7 * sign(value / lag(value, 5) OVER {ALONG} - 1) ELSE 0 END::DOUBLE AS position FROM zz)')} SELECT series_id, seq, position, round(pnl, 8) + 0.0 AS pnl FROM pl")
+def backtest(spark, sf_dir):
+    """Positions and profit of a rule on scores; here the price's rolling distance is the score."""
+    scored = prices(spark, sf_dir).withColumn("z", M.rolling_z(F.col("value")))
+    return M.backtest(scored, 1.0, 0.7).select("series_id", "seq", "position", (F.round("pnl", 8) + 0.0).alias("pnl"))
+
+
 # Promotion
 @query("sign_test", "SELECT w::INTEGER AS wins, n::INTEGER AS n, round(CASE WHEN n = 0 THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) FROM range(41) AS r(k) WHERE k >= w AND k <= n) END, 6) + 0.0 AS p FROM (SELECT DISTINCT (event_id % 21)::BIGINT AS n FROM events) JOIN (SELECT DISTINCT (event_id % 21)::BIGINT AS w FROM events) ON w <= n")
 def sign_test(spark, sf_dir):

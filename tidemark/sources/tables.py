@@ -123,15 +123,19 @@ def read_channel_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def synthetic_prices(spark: SparkSession, series: int, n: int, seed: int = 0, drift: float = 0.0002, vol: float = 0.01, start: float = 100.0) -> DataFrame:
-    """(series_id, seq, value): geometric walks whose volatility changes every 250 steps, with about one jump in 500. Hashes give the numbers, so reruns agree however rows are placed."""
+    """(series_id, seq, value): geometric walks whose volatility changes every 120 to 399 steps, with about one jump in 500. Hashes give the numbers, so reruns agree however rows are placed."""
     u = lambda tag, *cols: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), *cols), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    rows = spark.range(series * n).select((F.col("id") / n).cast("long").cast("string").alias("series_id"), (F.col("id") % n).alias("seq"))
+    numbered = lambda count, name: spark.range(series * count).select((F.col("id") / count).cast("long").cast("string").alias("series_id"), (F.col("id") % count).alias(name))
     at = ("series_id", "seq")
     normal = F.sqrt(-2 * F.log(u("a", *at))) * F.cos(2 * F.pi() * u("b", *at))
-    times = F.element_at(F.array(*map(F.lit, (0.5, 1.0, 1.0, 2.0, 3.0))), (u("c", "series_id", F.floor(F.col("seq") / 250)) * 5).cast("int") + 1)
+    size = 120 + (u("g", "series_id", "k") * 280).cast("int")
+    times = F.element_at(F.array(*map(F.lit, (0.5, 1.0, 1.0, 2.0, 3.0))), (u("c", "series_id", "k") * 5).cast("int") + 1)
+    upto = Window.partitionBy("series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    regimes = numbered(n // 120 + 1, "k").withColumns({"size": size, "times": times}).withColumn("to", F.sum("size").over(upto)).select("series_id", (F.col("to") - F.col("size")).alias("from"), "to", "times")
+    rows = numbered(n, "seq").join(regimes, "series_id").where("seq >= from AND seq < to")
     jump = F.when(u("d", *at) < 1 / 500, F.signum(u("e", *at) - 0.5) * vol * (8 + 8 * u("f", *at))).otherwise(0.0)
     w = Window.partitionBy("series_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("r", (normal + drift) * vol * times + jump).select("series_id", "seq", (start * F.exp(F.sum("r").over(w))).alias("value"))
+    return rows.withColumn("r", (normal + drift) * vol * F.col("times") + jump).select("series_id", "seq", (start * F.exp(F.sum("r").over(w))).alias("value"))
 
 
 def open_store(spark: SparkSession, root: str) -> RunStore:
