@@ -31,9 +31,9 @@ OWN, BANDS, SHAPES = 24, (2, 8, 64, 1024), 4
 CLASSES = OWN + (len(BANDS) + 1) * SHAPES
 HIDDEN, SIDE, EXPERTS = 16, 2, 4
 #: Each block of about BLOCK words trains in one round, in steps of STEP words; there every word is a target.
-ROUNDS, BLOCK, STEP = 3, 100_000, 1024
+ROUNDS, BLOCK, STEP = 4, 50_000, 768
 #: Text of a shard, and of a range of keys, about.
-SHARD_BYTES, RANGE_BYTES = 4e6, 12e6
+SHARD_BYTES, RANGE_BYTES = 3e6, 8e6
 _KEY = np.uint64((1 << 48) - 2)
 _SHAPES = [(2 * SIDE * (CLASSES + 1), HIDDEN), (2, HIDDEN), (HIDDEN,), (HIDDEN, EXPERTS + CLASSES), (EXPERTS + CLASSES,)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
@@ -63,19 +63,25 @@ class Shard:
 
     def __init__(self, texts: list[bytes | None]):
         self.words = Words(texts)
-        self.lengths, self.doc, h = self.words.lengths, self.words.doc, self.words.hash
+        self.lengths, self.doc, h = self.words.lengths, self.words.doc.astype(np.int32), self.words.hash
         self.linked = self.doc[1:] == self.doc[:-1]  # of each word but the last: whether the next one is in its document
         keys = np.concatenate((h & _KEY, combine(h[:-1], h[1:], 31)[self.linked] & _KEY | np.uint64(1)))
-        # Sorting numbers beats sorting places: the keys' high bits with the place behind them. Where low bits matter, the plain way.
+        # Sorting numbers in place beats sorting places: the keys' high bits with the place behind them. Where low bits matter, the plain way.
         n, low = len(keys), np.uint64(max(16, len(keys).bit_length()))
-        order = (np.sort(keys >> (low - np.uint64(16)) << low | np.arange(n, dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-        keys_in_order = keys[order]
-        if (keys_in_order[1:] < keys_in_order[:-1]).any():
-            order = np.argsort(keys, kind="stable")
-            keys_in_order = keys[order]
-        self.order, self.new = order, np.append(True, keys_in_order[1:] != keys_in_order[:-1])[:n]
+        packed = keys >> (low - np.uint64(16))
+        packed <<= low
+        packed |= np.arange(n, dtype=np.uint64)
+        packed.sort()
+        packed &= (np.uint64(1) << low) - np.uint64(1)
+        order = packed.astype(np.int32 if n < 1 << 31 else np.int64)
+        del packed
+        keys = keys[order]
+        if (keys[1:] < keys[:-1]).any():
+            again = np.argsort(keys, kind="stable")
+            order, keys = order[again], keys[again]
+        self.order, self.new = order, np.append(True, keys[1:] != keys[:-1])[:n]
         cut = np.flatnonzero(self.new)
-        self.keys, self.counts = keys_in_order[cut], np.diff(np.append(cut, n))
+        self.keys, self.counts = keys[cut], np.diff(np.append(cut, n))
 
     def elsewhere(self, totals: np.ndarray) -> np.ndarray:
         """How often each word, and then each pair, occurs in other documents. Places of a key are in order, and so are documents."""
