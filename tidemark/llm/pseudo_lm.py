@@ -31,7 +31,7 @@ OWN, BANDS, SHAPES = 24, (2, 8, 64, 1024), 4
 CLASSES = OWN + (len(BANDS) + 1) * SHAPES
 HIDDEN, SIDE, EXPERTS = 16, 2, 4
 #: Each block of about BLOCK words trains in one round, in steps of STEP words; there every word is a target.
-ROUNDS, BLOCK, STEP = 4, 50_000, 768
+ROUNDS, BLOCK, STEP = 4, 50_000, 1024
 #: Text of a shard, and of a range of keys, about.
 SHARD_BYTES, RANGE_BYTES = 3e6, 8e6
 _KEY = np.uint64((1 << 48) - 2)
@@ -147,31 +147,34 @@ def spelling(novel: list[bytes], pairs: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """What the network needs of some documents: their windows and the experts' probabilities."""
+    """What the network needs of some documents: their windows and the experts' probabilities; with ``pairs`` also the spelling of novel words."""
 
-    def __init__(self, lengths: np.ndarray, cls: bytes, own: bytes, pair: bytes, novel: bytes, totals: np.ndarray, pairs: np.ndarray):
+    def __init__(self, lengths: np.ndarray, cls: bytes, own: bytes, pair: bytes, novel: bytes, totals: np.ndarray, pairs: np.ndarray | None):
         self.lengths = np.asarray(lengths, np.int64)
         self.cls = np.frombuffer(cls, np.uint8).astype(np.int64)
-        log_n = np.frombuffer(own, np.float16).astype(np.float64)  # -1: in no other document
-        log_pair = np.frombuffer(pair, np.float16).astype(np.float64)  # of the word and the next one; -1: nowhere else
+        log_n = np.frombuffer(own, np.float16).astype(np.float32)  # -1: in no other document
+        log_pair = np.frombuffer(pair, np.float16).astype(np.float32)  # of the word and the next one; -1: nowhere else
         n = len(self.cls)
         ends = np.cumsum(self.lengths)
-        begins = (ends - self.lengths)[self.lengths > 0]
-        left, right = np.append(-2.0, log_n[:-1])[:n], np.append(log_n[1:], -2.0)[:n]
-        left[begins], right[ends[self.lengths > 0] - 1] = -2.0, -2.0
-        before = np.append(-1.0, log_pair[:-1])[:n]
-        before[begins] = -1.0
+        begins, ends = (ends - self.lengths)[self.lengths > 0], ends[self.lengths > 0] - 1
+        # Column 0: of the word before, column 1: of the next word; beyond a document's ends: -2.
+        around = np.full((n, 2), -2, np.float32)
+        around[1:, 0], around[:-1, 1] = log_n[:-1], log_n[1:]
+        around[begins, 0] = around[ends, 1] = -2
+        both = np.full((n, 2), -1, np.float32)
+        both[1:, 0], both[:, 1] = log_pair[:-1], log_pair
+        both[begins, 0] = -1
         self.near = neighbours(self.cls, self.lengths)
-        self.around = np.stack((left, right), 1).astype(np.float32) / 8
-        self.open = np.stack((left >= 0, right >= 0), 1)
+        self.open = around >= 0
         self.novel = log_n < 0
-        by_left = np.where((before >= 0) & (left >= 0), np.exp(np.minimum(before - left, 0)), 0.0)
-        by_right = np.where((log_pair >= 0) & (right >= 0), np.exp(np.minimum(log_pair - right, 0)), 0.0)
-        self.single = np.where(self.novel, 0.0, np.exp(np.minimum(log_n - np.log(np.maximum(totals, 1.0))[self.cls], 0)))
-        self.experts = np.stack((by_left, by_right, self.single), 1)
-        self.log_spelled = np.zeros(n)
-        self.log_spelled[self.novel] = spelling(novel.split(b"\0") if self.novel.any() else [], pairs)
-        self.log_alone = np.where(self.novel, self.log_spelled, log_n - np.log(max(totals.sum(), 1.0)))
+        self.experts = np.empty((n, 3), np.float32)
+        self.experts[:, :2] = np.where((both >= 0) & self.open, np.exp(np.minimum(both - around, 0)), 0)
+        self.around = around / 8
+        self.experts[:, 2] = np.where(self.novel, 0, np.exp(np.minimum(log_n - np.log(np.maximum(totals, 1.0)).astype(np.float32)[self.cls], 0)))
+        if pairs is not None:
+            self.log_spelled = np.zeros(n)
+            self.log_spelled[self.novel] = spelling(novel.split(b"\0") if self.novel.any() else [], pairs)
+            self.log_alone = np.where(self.novel, self.log_spelled, log_n - np.log(max(totals.sum(), 1.0)))
 
     def __len__(self) -> int:
         return len(self.cls)
@@ -205,31 +208,29 @@ class Network:
         c = np.exp(c - c.max(1, keepdims=True))
         return h, g, c, c.sum(1)
 
-    def shares(self, b: Block, at: slice, g: np.ndarray, c: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what each expert adds to the probability of the word, novel words' log probability left out; log probability)."""
-        n = len(g)
-        parts = np.empty((n, EXPERTS))
-        parts[:, :3] = g[:, :3] * b.experts[at]
+    def shares(self, b: Block, at: slice, g: np.ndarray, c: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """What each expert adds to the probability of the word; of a novel word only its gate, as the spelling does not matter to what the others add."""
+        n, novel = len(g), b.novel[at]
+        parts = np.empty((n, EXPERTS), np.float32)
+        np.multiply(g[:, :3], b.experts[at], out=parts[:, :3])
         parts[:, 2] *= c[np.arange(n), b.cls[at]] / sums
-        parts[:, 3] = np.where(b.novel[at], g[:, 3], 0.0)
-        np.maximum(parts[:, 2], np.where(b.novel[at], 0.0, 1e-30), out=parts[:, 2])
-        np.maximum(parts[:, 3], np.where(b.novel[at], 1e-30, 0.0), out=parts[:, 3])
-        return parts, np.log(parts.sum(1)) + np.where(b.novel[at], b.log_spelled[at], 0.0)
+        np.maximum(parts[:, 2], np.where(novel, np.float32(0), np.float32(1e-30)), out=parts[:, 2])
+        parts[:, 3] = np.where(novel, np.maximum(g[:, 3], np.float32(1e-30)), np.float32(0))
+        return parts
 
     def log_prob(self, b: Block) -> np.ndarray:
         out = np.empty(len(b))
         for i in range(0, len(b), 8192):
             at = slice(i, i + 8192)
             _, g, c, z = self.forward(b, at)
-            out[at] = self.shares(b, at, g, c, z)[1]
+            out[at] = np.log(self.shares(b, at, g, c, z).sum(1)) + b.log_spelled[at]
         return out
 
     def step(self, b: Block, at: slice, sums: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step up the mean log probability."""
         h, g, c, z = self.forward(b, at)
-        parts, _ = self.shares(b, at, g, c, z)
-        n = len(g)
-        r = (parts / parts.sum(1, keepdims=True)).astype(np.float32)
+        r, n = self.shares(b, at, g, c, z), len(g)
+        r /= r.sum(1, keepdims=True)
         d = np.empty((n, EXPERTS + CLASSES), np.float32)
         d[:, :EXPERTS] = r - g
         np.multiply(c, -(r[:, 2] / z)[:, None], out=d[:, EXPERTS:])
@@ -346,7 +347,7 @@ def fit_lm(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, Network]:
         def train(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, r: int = r) -> Iterator[pa.RecordBatch]:
             total = np.zeros(sum(_SIZES) + 1, np.int64)
             for part in slices(batches, 1):
-                b = Block(*[part.column(i)[0].as_py() for i in range(5)], totals, pairs)
+                b = Block(*[part.column(i)[0].as_py() for i in range(5)], totals, None)
                 if not len(b):
                     continue
                 own, sums = Network(start), [np.full(s, 1e-4, np.float32) for s in _SHAPES]
