@@ -5,11 +5,12 @@ Distinct stretches between white space are merged once and then looked up in a b
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bounded_batches, slices
 
-#: Stretches of each cache generation, and the length up to which a stretch is kept: so its memory is bounded.
-CACHE, KEPT = 120_000, 64
+#: Stretches of each cache generation, and the length up to which a stretch is kept: so its memory is bounded. Pieces (of which stretches with other signs or capitals share many) likewise.
+CACHE, KEPT = 200_000, 64
+#: Signs that may stand behind a word.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_symbols() -> list[str]:
@@ -48,55 +51,78 @@ class WordBpe:
         self.strings |= {i: s for s, i in self.special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
-        self.symbol = byte_symbols()
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        # Ids of each byte inside a word and at its end.
+        self.inner, self.final = ([self.vocab.get(x + end) for x in byte_symbols()] for end in ("", self.end))
+        self.young: dict[str, tuple[int, bytes, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        #: Whether the pattern takes a run of letters, and a run of signs behind it, as one piece each.
+        self.plain = all(self.pieces.findall(f"ab{a}{b}{c}") == ["ab", a + b + c] for a in SIGNS for b in SIGNS for c in ("", "-", "."))
+        size = max(self.strings, default=-1) + 1
+        self.numbers = [str(i).encode() for i in range(size)]
+        self.texts = [self.strings.get(i, "").encode() for i in range(size)]
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one piece. The queue holds (rank, position, left id, right id, merged id); an entry is stale when its symbols changed."""
-        symbols = [self.symbol[b] for b in word.encode()]
-        symbols[-1] += self.end
-        ids = [self.vocab.get(s) for s in symbols]
+        """Ids of one piece. An entry of the queue is a number: the rank, then the position; it is stale when the symbols there no longer merge at that rank."""
+        raw = word.encode()
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
         if None in ids:  # no id, no unknown token: the library leaves such symbols out
             ids = [i for i in ids if i is not None]
-        n, ranks = len(ids), self.ranks
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            if hit := ranks.get((ids[i], ids[i + 1])):
-                queue.append((hit[0], i, ids[i], ids[i + 1], hit[1]))
+        n, get = len(ids), self.ranks.get
+        shift = n.bit_length()
+        queue = [hit[0] << shift | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (hit := get(pair))]
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        pop, push, mask = heapq.heappop, heapq.heappush, (1 << shift) - 1
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & mask
             j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if j >= n or not (hit := get((ids[i], ids[j]))) or hit[0] != entry >> shift:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i] = new = hit[1]
+            ids[j] = -1  # no pair holds -1, so entries of this place are stale
             k = nxt[i] = nxt[j]
             if k < n:
                 prv[k] = i
-                if hit := ranks.get((new, ids[k])):
-                    heapq.heappush(queue, (hit[0], i, new, ids[k], hit[1]))
+                if hit := get((new, ids[k])):
+                    push(queue, hit[0] << shift | i)
             h = prv[i]
-            if h >= 0 and (hit := ranks.get((ids[h], new))):
-                heapq.heappush(queue, (hit[0], h, ids[h], new, hit[1]))
+            if h >= 0 and (hit := get((ids[h], new))):
+                push(queue, hit[0] << shift | h)
         return [i for i in ids if i >= 0]
 
-    def stretch_ids(self, stretch: str) -> list[int]:
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        """As ``merge``, with a cache that starts anew when it is full."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = tuple(self.merge(piece))  # of numbers alone, so the collector does not follow it
+            if len(piece) <= KEPT:
+                if len(self.known) >= CACHE:
+                    self.known = {}
+                self.known[piece] = ids
+        return ids
+
+    def stretch_ids(self, stretch: str) -> Sequence[int]:
         """Ids of a stretch of text without special tokens."""
         s = stretch if stretch.isascii() else unicodedata.normalize("NFC", stretch).replace("Σ", "σ")  # lower case letter by letter: no final sigma
         s = s.lower()
         if s.isascii() or "Cn" not in map(unicodedata.category, s):
-            return [i for piece in self.pieces.findall(s) for i in self.merge(piece)]
+            if self.plain and s.isascii() and (word := s.rstrip(SIGNS)).isalpha():  # a word and the signs behind it
+                return self.piece_ids(word) if len(word) == len(s) else self.piece_ids(word) + self.piece_ids(s[len(word) :])
+            return [i for piece in self.pieces.findall(s) for i in self.piece_ids(piece)]
         # The pattern library may know letters of a later Unicode than the tokenizer's: unassigned code points count as signs.
         as_signs = "".join("\u00a7" if unicodedata.category(c) == "Cn" else c for c in s)
         return [i for m in self.pieces.finditer(as_signs) for i in self.merge(s[m.start() : m.end()])]
 
-    def _miss(self, stretch: str) -> tuple[int, str, str]:
+    def _miss(self, stretch: str) -> tuple[int, bytes, bytes]:
         found = self.old.get(stretch)
         if found is None:
             ids = self.stretch_ids(stretch)
-            found = (len(ids), " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids))
+            found = (len(ids), b" ".join([self.numbers[i] for i in ids]), b" ".join([self.texts[i] for i in ids]))
         if len(stretch) > KEPT:
             return found
         if len(self.young) >= CACHE:
@@ -115,14 +141,21 @@ class WordBpe:
         """The vocabulary strings, one blank between; the file names no decoder."""
         return " ".join(self.strings[i] for i in ids)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
+    def digest(self, text: str) -> tuple[int, bytes, bytes]:
         """(number of ids, ids joined by blanks, decoded text), by the cache."""
         if self.at_special and "<|" in text and self.at_special.search(text):
             ids = self.encode(text)
-            return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        get = self.young.get
-        found = [get(s) or self._miss(s) for s in text.replace("\n", " ").split(" ") if s]
-        return sum(f[0] for f in found), " ".join([f[1] for f in found if f[0]]), " ".join([f[2] for f in found if f[0]])
+            return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+        words = text.replace("\n", " ").split(" ")
+        found = list(map(self.young.get, words))
+        if None in found:
+            found = [f or self._miss(w) for f, w in zip(found, words, strict=True) if w]
+        if not found:
+            return 0, b"", b""
+        n, ids_, strings = zip(*found, strict=True)
+        if 0 in n:
+            ids_, strings = [x for x in ids_ if x], [x for k, x in zip(n, strings, strict=True) if k]
+        return sum(n), b" ".join(ids_), b" ".join(strings)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -132,6 +165,7 @@ def tokenizer(path: str) -> WordBpe:
     """One tokenizer, with its cache, for each path and worker process."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
+        gc.set_threshold(200_000, 50, 50)  # the caches hold no cycles: looking through them for some is a sixth of the time
     return _LOADED[path]
 
 
@@ -152,11 +186,11 @@ def bpe_encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
             cols = [
                 part.column(0),
                 pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows]),
-                pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows]),
+                pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows]),
+                pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows]),
             ]
             if keep_ids:
-                cols += [pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows])]
+                cols += [pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2].decode() for r in rows])]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     bounded_batches(docs.sparkSession)
