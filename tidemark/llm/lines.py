@@ -146,17 +146,20 @@ def segment_keys(lines: list[str], most: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def pair_marks(lines: list[str]) -> np.ndarray:
-    """64 bits for each line: the parity of the number of its pairs of neighbouring code points in each of 64 hash cells.
+    """Twice 64 bits for each line: the parity of the number of its pairs of neighbouring code points in each of 64 hash cells, by two hashes.
 
-    An edit changes four pairs at most, so lines within ``most`` edits differ in 4 * most bits at most.
+    An edit changes four pairs at most, so lines within ``most`` edits differ in 4 * most bits of either at most.
     """
     size = np.array([len(x) for x in lines], np.int64)
     text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     line = np.repeat(np.arange(len(lines)), size)
     pair = np.flatnonzero(line[1:] == line[:-1]) if len(line) else np.zeros(0, np.int64)
-    cell = (combine(text[pair], text[pair + 1], 23) >> np.uint64(58)).astype(np.int64)
-    odd = (np.bincount(line[pair] * 64 + cell, minlength=64 * len(lines)) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel()
+    hashed, out = combine(text[pair], text[pair + 1], 23), []
+    for bits in (58, 52):
+        cell = ((hashed >> np.uint64(bits)) & np.uint64(63)).astype(np.int64)
+        odd = (np.bincount(line[pair] * 64 + cell, minlength=64 * len(lines)) & 1).astype(np.uint8)
+        out.append(np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel())
+    return np.stack(out, 1)
 
 
 def _printed() -> Column:
@@ -251,8 +254,11 @@ def _compare(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray
         n = high[i:j] - low[i:j]
         left = np.repeat(probe[i:j], n)
         right = index[np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        may = (np.bitwise_count((marks[left] ^ marks[right]).view(np.uint64)) <= 4 * most) & (who[left] != who[right])
-        left, right = left[may], right[may]
+        for k in (0, 1):
+            may = np.bitwise_count((marks[left, k] ^ marks[right, k]).view(np.uint64)) <= 4 * most
+            left, right = left[may], right[may]
+        other = who[left] != who[right]
+        left, right = left[other], right[other]
         # Either end can be the later one; in one first document both may be, until their texts are compared.
         for b, a in ((left, right), (right, left)):
             ok = (doc[a] <= doc[b]) & (kind[b] >= 2)
@@ -284,12 +290,12 @@ def _candidates(lines: DataFrame, scratch: Scratch, name: str, most: int, skip:
 
     def anew(key: np.ndarray, who: np.ndarray, doc: np.ndarray, kind: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-            part = (marks.view(np.uint64) >> np.uint64(lo)) & np.uint64((1 << hi - lo) - 1)
+            part = (marks[:, 0].copy().view(np.uint64) >> np.uint64(lo)) & np.uint64((1 << hi - lo) - 1)
             new = combine(key, part, 40 + k)
             yield _entries((new % np.uint64(64 * buckets)).astype(np.int64), new, who, doc, kind, marks)
 
     def unpacked(g: pa.Table) -> tuple[np.ndarray, ...]:
-        return tuple(_column(g, n, t) for n, t in (("key", np.uint64), ("who", np.int64), ("doc", np.int64), ("kind", np.int8), ("marks", np.int64)))
+        return *(_column(g, n, t) for n, t in (("key", np.uint64), ("who", np.int64), ("doc", np.int64), ("kind", np.int8))), _column(g, "marks", np.int64).reshape(-1, 2)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _in_pieces(batches, HOLD):
