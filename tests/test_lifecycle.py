@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import drift
+from tidemark.functions import drift, signals
+from tidemark.operators import market
 from tidemark.operators.drift import drift_status
 from tidemark.plans import evolving as E
 from tidemark.plans import lifecycle as L
@@ -140,6 +141,41 @@ def test_trader_by_hand(spark):
     assert rows.where(F.size("state") != 2).isEmpty()
 
 
+def test_trader_of_many_blocks(spark):
+    """Blocks of several tasks and buckets give what a plain walk over the rows gives; rows reach a task by bucket; equity beyond a double still has a fall."""
+    sharpe, total, fall = E.cards(np.append(np.full(2000, 1.0), -0.5)[None], 252)
+    assert np.isinf(total[0]) and fall[0] == -0.5
+    rng, plan, names = np.random.default_rng(3), E.Plan(lookback=40, every=20, cooldown=40, size=4, generations=1), ["momentum", "zscore"]
+    path = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 2300)))
+    rows = E.states(spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(path)], "series_id string, seq long, value double"), names, 10, 20).cache()
+    got = E.evolve_traders(rows, names, plan).first()
+    blocks = E.block_table(rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), plan)
+    rivals = E.evolve_rivals(rows, blocks, names, plan)
+    assert "bucket" in rivals._jdf.queryExecution().optimizedPlan().toString()
+    pop = np.array([r["genome"] for r in rivals.orderBy("block").collect()])
+    at = [(r["t"], r["b"], r["mid"]) for r in blocks.orderBy("block").collect()][1:]
+    g = rows.orderBy("seq").toPandas()
+    price, state, scale = g["value"].to_numpy(), np.stack(g["state"].to_list()), g["scale"].to_numpy()
+    position, best, since, swaps = np.zeros(len(price)), 0, plan.lookback - plan.cooldown, 0
+    for k, (t, b, m) in enumerate(at, 1):
+        position[t:b] = E.held_by(pop[[best]], state[t:b], scale[t:b], 1.0)[0]
+        one = [E.fitness(pop[[i]], price[m:b], state[m:b], scale[m:b], plan)[0] for i in (best, k)]
+        if one[1] - one[0] >= plan.margin and b - since >= plan.cooldown:
+            best, since, swaps = k, b, swaps + 1
+    want = E.cards(E.profits(price[40:], position[None, 40:], plan.cost), plan.periods)
+    assert len(at) > E.BLOCKS and got["swaps"] == swaps > 0 and [got["sharpe"], got["total_return"], got["max_drawdown"]] == pytest.approx([x[0] for x in want])
+
+
+def test_states_are_the_rolling_scales(spark):
+    """Arrays of a piece at once give what the window expressions give, a still stretch and nulls among the returns included."""
+    x = np.concatenate((np.random.default_rng(4).normal(100, 5, 90), np.full(90, 7.0)))
+    s = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "series_id string, seq long, value double")
+    got = E.states(s, ["momentum", "entropy"], 10, 20).orderBy("seq").collect()
+    rows = market.with_returns(signals.with_signals(s, 10, ("momentum", "entropy")).na.fill(0.0, ["momentum", "entropy"]))
+    want = rows.select("seq", market.rolling_scale(F.col("momentum"), 20).alias("m"), market.rolling_z(F.col("entropy"), 20).alias("e"), market.volatility_target(market.realised_volatility(20)).alias("s")).orderBy("seq").collect()
+    assert [v for r in got for v in (*r["state"], r["scale"])] == pytest.approx([v for r in want for v in (r["m"], r["e"], r["s"])], abs=1e-9)
+
+
 def test_price_walks_agree_however_rows_lie(spark, tmp_path):
     from tidemark.sources import tables as T
 
