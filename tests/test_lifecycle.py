@@ -1,10 +1,13 @@
 """Drift, retraining, search, models and the evolving trader."""
 
+import math
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import drift, signals
+from tidemark.functions import drift, ranges, signals
 from tidemark.operators import market
 from tidemark.operators.drift import drift_status
 from tidemark.plans import evolving as E
@@ -78,6 +81,18 @@ def test_sequential_promotion_compares_all_units(spark):
         L.sequential_promotion(table(units), "z")
 
 
+def test_sequential_promotion_of_many_units(spark):
+    """4,000 units that decide at each turn: the sign test costs a few terms, not a sum over all tosses of large binomials."""
+    for n in (256, 257, 900):
+        for k in (0, 1, n // 2 - 9, n // 2, n // 2 + 1, n // 2 + 30, n):
+            assert ranges.sign_test(k, n) == pytest.approx(float(sum(math.comb(n, j) for j in range(k, n + 1)) / 2**n), rel=1e-11)
+    rng = np.random.default_rng(8)
+    rows = [(i, d, float(v)) for d in "ab" for i, v in enumerate(rng.normal(0.001 * (d == "b"), 1, 4000))]
+    start = time.process_time()
+    got = L.sequential_promotion(spark.createDataFrame(rows, "unit int, detector string, score double"), "a", min_delta=-1.0, alpha=1e-9)
+    assert got.count() == 4000 and time.process_time() - start < 5
+
+
 def test_run_promotion_moves_the_champion(spark, tmp_path):
     """A challenger with a short memory wins on every series and becomes champion; without ``apply`` nothing moves."""
     rng, rows, wins = np.random.default_rng(1), [], []
