@@ -49,6 +49,19 @@ def test_drift_index_of_zero_is_computed_again(spark):
         assert got == [v or 0.0 for v in map(m.push, map(float, x))]
 
 
+def test_drift_edges_are_those_of_the_sql(spark):
+    """Values of two decimals lie on edges; the last digit of an edge decides their bin, and the query holds an index of 0 until the next step as its SQL does."""
+    import duckdb
+
+    rng, con = np.random.default_rng(0), duckdb.connect()
+    for n in (300, 37):
+        x = np.round(rng.exponential(50, n), 2)
+        want = con.execute("SELECT list_sort(list_distinct(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) FROM (SELECT unnest(?) AS x)", [x.tolist()]).fetchone()[0]
+        assert drift.edges(x).tolist() == want
+    s = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(list(range(10)) * 4 + [50] * 20)], "series_id string, seq long, value double")
+    assert [r["psi"] > 0 for r in drift_status(s, 10, 10, every=20, again=False).orderBy("seq").collect()] == [False] * 59 + [True]
+
+
 def test_retrainer_climbs_and_starts_anew(spark, tmp_path):
     assert [drift.spawn_count(drift.severity(p)) for p in (0.3, 0.375, 0.5)] == [4, 7, 12]
     assert [drift.severity_of_score(x) for x in (0.0, 0.15, 0.3, 0.9)] == [1.0, 0.5, 0.0, 0.0]

@@ -18,8 +18,8 @@ def with_level(rows: DataFrame, threshold: float = 0.25) -> DataFrame:
     return rows.withColumns({"level": level, "drift": F.coalesce(p > threshold, F.lit(False)), "psi": F.coalesce(p, F.lit(0.0))})
 
 
-def drift_status(series: DataFrame, reference_size: int = 300, window: int = 300, bins: int = 10, threshold: float = 0.25, every: int = 50, size: int = PIECE) -> DataFrame:
-    """(series_id, seq, psi, drift, level) of every row. The index is computed every ``every`` rows (and while it is 0) and holds in between.
+def drift_status(series: DataFrame, reference_size: int = 300, window: int = 300, bins: int = 10, threshold: float = 0.25, every: int = 50, size: int = PIECE, again: bool = True) -> DataFrame:
+    """(series_id, seq, psi, drift, level) of every row. The index is computed every ``every`` rows (and, with ``again``, while it is 0) and holds in between.
 
     A task takes ``size`` rows of a series, the window before them, and the series' first values.
     """
@@ -40,7 +40,7 @@ def drift_status(series: DataFrame, reference_size: int = 300, window: int = 300
         start = max(ready, (first + 1) // every * every - 1)
         begin = len(x) - int((seq >= max(0, start - window + 1)).sum())
         for i in np.flatnonzero(seq >= start):
-            if current == 0.0 or (seq[i] + 1) % every == 0:
+            if again and current == 0.0 or (seq[i] + 1) % every == 0:
                 current = psi(reference, x[max(begin, i - window + 1) : i + 1], bins)
             out[i] = current
         mine = (seq >= first) & (seq < first + size)
