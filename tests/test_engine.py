@@ -204,6 +204,29 @@ def test_profile_by_pieces(spark):
     assert points == pytest.approx([max(p[max(0, i - 8) : i + 1]) for i in range(120)])
 
 
+def test_profile_of_copies(spark):
+    """Windows whose values come again far enough away have distance 0 without a comparison; near copies, flat stretches and all others agree with the row by row profile."""
+    rng = np.random.default_rng(9)
+    once, still = rng.normal(size=70), np.full(40, 3.0)
+    x = np.concatenate((once, rng.normal(size=30), still, once, [5.0, 6.0] * 6, still, once[:20], 2 * once[20:60] + 1))
+    for m, size in ((9, 25), (9, 1000), (16, 64)):
+        got = {r["seq"]: r["profile"] for r in metrics.matrix_profile(rows(spark, x), m, size).collect()}
+        want = ranges.matrix_profile(x, m)
+        assert sorted(got) == list(range(len(want))) and [got[i] for i in range(len(want))] == pytest.approx(list(want), abs=1e-6)
+        assert {got[i] for i in range(70 - m + 1)} == {0.0}
+    one, two = ranges.fingerprints(np.array([0.0, 1.0, 2.0, -0.0, 1.0, 2.0, 1.0, 0.0]), 3)
+    assert one[0] == one[3] and two[0] == two[3] and len(set(one.tolist())) == 5
+
+
+def test_point_profile_of_copies(spark):
+    """Points of a series that is repeated whole are all at distance 0, exactly, and a lone spike between copies is not."""
+    x = np.random.default_rng(10).normal(size=60)
+    got = [r["profile"] for r in metrics.point_profile(rows(spark, np.tile(x, 3)), 8).orderBy("seq").collect()]
+    assert got == [0.0] * 180
+    got = [r["profile"] for r in metrics.point_profile(rows(spark, np.concatenate((x, [50.0], x))), 8).orderBy("seq").collect()]
+    assert got[60] > 0 and got[:53] == [0.0] * 53
+
+
 def test_univariate_files_are_checked(spark):
     long = lambda *r: spark.createDataFrame(r, "file string, date string, data double, cols string")
     good = T.univariate(T.pivot_channels(long(("f", "10", 2.0, "v"), ("f", "9", 1.0, "v"), ("f", "9", 0.0, "label"), ("f", "10", 1.0, "label"))))
