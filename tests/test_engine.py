@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,28 @@ def test_zero_weights_and_short_series(spark):
     assert D.detect(s).count() == 0
 
 
+def test_moments_round_as_in_sql():
+    """Means and deviations of moving windows have the digits of the SQL engine, also where a value stands many times in a row."""
+    rng = np.random.default_rng(12)
+    for x in (rng.exponential(50, 3000), np.repeat(rng.exponential(50, 50).round(2), 60)):
+        for w in (10, 30, 100):
+            con = duckdb.connect()
+            con.register("t", pd.DataFrame({"i": np.arange(len(x)), "x": x}))
+            want = con.sql(f"SELECT avg(x) OVER w AS a, stddev_samp(x) OVER w AS s FROM t WINDOW w AS (ORDER BY i ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) ORDER BY i").fetchnumpy()
+            at = np.arange(len(x) - w + 1)
+            mean, deviation = S.moments_of(np.lib.stride_tricks.sliding_window_view(x, w), at)
+            assert (mean == want["a"][w - 1 :]).all() and (deviation == want["s"][w - 1 :]).all()
+
+
+def test_ties_with_a_band_are_as_in_sql(spark, tmp_path):
+    """Every value stands 60 times in a row, so z-scores equal the edge of their band but for rounding."""
+    duckdb.sql(f"COPY (SELECT event_id * 60 + i AS event_id, ts, user_id, event_type, value, props FROM '{SF}/events.parquet', range(60) AS r(i)) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = Q.QUERIES["detect_sensitive"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(Q.ORACLES["detect_sensitive"]).select(*got.columns).fetchall())
+
+
 def test_profile_by_pieces(spark):
     x = np.random.default_rng(7).normal(size=120)
     got = [r["profile"] for r in metrics.matrix_profile(rows(spark, x), 9, 25).orderBy("seq").collect()]
