@@ -209,13 +209,26 @@ def test_moments_round_as_in_sql():
             assert (mean == want["a"][w - 1 :]).all() and (deviation == want["s"][w - 1 :]).all()
 
 
+def in_steps(spark, folder, name, where="true"):
+    """Rows of a query and of its SQL over events that stand 60 times in a row each."""
+    duckdb.sql(f"COPY (SELECT event_id * 60 + i AS event_id, ts, user_id, event_type, value, props FROM '{SF}/events.parquet', range(60) AS r(i) WHERE {where}) TO '{folder}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    got = Q.QUERIES[name](spark, str(folder))
+    return sorted(map(tuple, got.collect())), sorted(con.sql(Q.ORACLES[name]).select(*got.columns).fetchall())
+
+
 def test_ties_with_a_band_are_as_in_sql(spark, tmp_path):
     """Every value stands 60 times in a row, so z-scores equal the edge of their band but for rounding."""
-    duckdb.sql(f"COPY (SELECT event_id * 60 + i AS event_id, ts, user_id, event_type, value, props FROM '{SF}/events.parquet', range(60) AS r(i)) TO '{tmp_path}/events.parquet'")
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
-    got = Q.QUERIES["detect_sensitive"](spark, str(tmp_path))
-    assert sorted(map(tuple, got.collect())) == sorted(con.sql(Q.ORACLES["detect_sensitive"]).select(*got.columns).fetchall())
+    got, want = in_steps(spark, tmp_path, "detect_sensitive")
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["noncausal_residual", "oracle_scores"])
+def test_ranks_of_steps_are_as_in_sql(spark, tmp_path, name):
+    """Distances from a centred average are nothing but rounding where a value stands often in a row; ranks follow them."""
+    got, want = in_steps(spark, tmp_path, name, "event_type = 'click' AND event_id < 400")
+    assert len(got) > 3000 and got == want
 
 
 def test_profile_by_pieces(spark):
@@ -241,6 +254,19 @@ def test_profile_of_copies(spark):
     assert one[0] == one[3] and two[0] == two[3] and len(set(one.tolist())) == 5
 
 
+def test_profile_of_steps(spark):
+    """Values that stand many times in a row: windows of two values in the same pattern have distance 0 without a comparison, whatever the values; windows of three meet in blocks of several pieces."""
+    x = np.repeat(np.random.default_rng(13).exponential(50, 25).round(2), 15)
+    for m, size in ((16, 40), (16, 1000), (22, 64)):
+        got = {r["seq"]: r["profile"] for r in metrics.matrix_profile(rows(spark, x), m, size).collect()}
+        want = ranges.matrix_profile(x, m)
+        assert sorted(got) == list(range(len(want))) and [got[i] for i in range(len(want))] == pytest.approx(list(want), abs=1e-6)
+        pairs = [i for i in range(len(want)) if len(set(x[i : i + m])) == 2]
+        assert len(pairs) > len(want) // 3 and {got[i] for i in pairs} == {0.0}
+    one, two = ranges.fingerprints(np.array([1.0, 1.0, 5.0, 2.0, 2.0, 9.0, 9.0, 2.0]), 3)
+    assert one[0] == one[3] and two[0] == two[3] and len(set(one.tolist())) == 5
+
+
 def test_point_profile_of_copies(spark):
     """Points of a series that is repeated whole are all at distance 0, exactly, and a lone spike between copies is not."""
     x = np.random.default_rng(10).normal(size=60)
