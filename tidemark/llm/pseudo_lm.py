@@ -97,8 +97,9 @@ class Shard:
         """Class of each word. ``top``: the keys of the words with classes of their own."""
         m = len(self.words)
         kind = np.searchsorted(BANDS, totals, "right").astype(np.uint8) * np.uint8(SHAPES) + np.uint8(OWN)
-        for c, key in enumerate(top):
-            kind[self.keys == key] = c
+        at = np.minimum(np.searchsorted(self.keys, top), len(self.keys) - 1)
+        here = np.flatnonzero(self.keys[at] == top)
+        kind[at[here]] = here
         each = np.empty(len(self.order), np.uint8)
         each[self.order] = np.repeat(kind, self.counts)
         each = each[:m]
@@ -165,12 +166,13 @@ class Block:
         both[1:, 0], both[:, 1] = log_pair[:-1], log_pair
         both[begins, 0] = -1
         self.near = neighbours(self.cls, self.lengths)
-        self.open = around >= 0
+        # A row for each expert, as numpy takes long over many short rows.
+        self.open = np.ascontiguousarray((around >= 0).T)
         self.novel = log_n < 0
-        self.experts = np.empty((n, 3), np.float32)
-        self.experts[:, :2] = np.where((both >= 0) & self.open, np.exp(np.minimum(both - around, 0)), 0)
-        self.around = around / 8
-        self.experts[:, 2] = np.where(self.novel, 0, np.exp(np.minimum(log_n - np.log(np.maximum(totals, 1.0)).astype(np.float32)[self.cls], 0)))
+        self.experts = np.empty((3, n), np.float32)
+        self.experts[:2] = np.where((both >= 0).T & self.open, np.exp(np.minimum(both - around, 0)).T, 0)
+        self.around = np.append(around / 8, np.ones((n, 1), np.float32), 1)  # with a 1 for the bias
+        self.experts[2] = np.where(self.novel, 0, np.exp(np.minimum(log_n - np.log(np.maximum(totals, 1.0)).astype(np.float32)[self.cls], 0)))
         if pairs is not None:
             self.log_spelled = np.zeros(n)
             self.log_spelled[self.novel] = spelling(novel.split(b"\0") if self.novel.any() else [], pairs)
@@ -193,59 +195,65 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
-    def forward(self, b: Block, at: slice) -> tuple[np.ndarray, ...]:
-        """(hidden, gates, class distribution before its division, its sums) of some words; experts that the window rules out get no gate."""
+    def forward(self, b: Block, at: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hidden, rows of the gates and of the class distribution before its division, its sums) of some words; experts that the window rules out get no gate."""
         e, num, bias, out, out_bias = self.parts
-        h = b.around[at] @ num + bias
+        h = b.around[at] @ np.append(num, bias[None], 0)
         for k in range(2 * SIDE):
-            h += e[b.near[k, at]]
+            h += e.take(b.near[k, at], 0)
         np.tanh(h, out=h)
-        s = h @ out + out_bias
-        g, c = s[:, :EXPERTS], s[:, EXPERTS:]
-        g = np.exp(g - g.max(1, keepdims=True))
-        g[:, :2] *= b.open[at]
-        g /= g.sum(1, keepdims=True)
-        c = np.exp(c - c.max(1, keepdims=True))
-        return h, g, c, c.sum(1)
-
-    def shares(self, b: Block, at: slice, g: np.ndarray, c: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        s = np.ascontiguousarray(out.T) @ h.T
+        s += out_bias[:, None]
+        g, c = s[:EXPERTS], s[EXPERTS:]
+        g -= g.max(0)
+        c -= c.max(0)
+        np.exp(s, out=s)
+        g[:2] *= b.open[:, at]
+        g /= g.sum(0)
+        return h, s, c.sum(0)
+
+    def shares(self, b: Block, at: slice, s: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """What each expert adds to the probability of the word; of a novel word only its gate, as the spelling does not matter to what the others add."""
-        n, novel = len(g), b.novel[at]
-        parts = np.empty((n, EXPERTS), np.float32)
-        np.multiply(g[:, :3], b.experts[at], out=parts[:, :3])
-        parts[:, 2] *= c[np.arange(n), b.cls[at]] / sums
-        np.maximum(parts[:, 2], np.where(novel, np.float32(0), np.float32(1e-30)), out=parts[:, 2])
-        parts[:, 3] = np.where(novel, np.maximum(g[:, 3], np.float32(1e-30)), np.float32(0))
+        n, novel = s.shape[1], b.novel[at]
+        parts = np.empty((EXPERTS, n), np.float32)
+        np.multiply(s[:3], b.experts[:, at], out=parts[:3])
+        parts[2] *= s[EXPERTS + b.cls[at], np.arange(n)] / sums
+        np.maximum(parts[2], np.where(novel, np.float32(0), np.float32(1e-30)), out=parts[2])
+        parts[3] = np.where(novel, np.maximum(s[3], np.float32(1e-30)), np.float32(0))
         return parts
 
     def log_prob(self, b: Block) -> np.ndarray:
         out = np.empty(len(b))
-        for i in range(0, len(b), 8192):
-            at = slice(i, i + 8192)
-            _, g, c, z = self.forward(b, at)
-            out[at] = np.log(self.shares(b, at, g, c, z).sum(1)) + b.log_spelled[at]
+        for i in range(0, len(b), 2048):
+            at = slice(i, i + 2048)
+            _, s, z = self.forward(b, at)
+            out[at] = np.log(self.shares(b, at, s, z).sum(0)) + b.log_spelled[at]
         return out
 
     def step(self, b: Block, at: slice, sums: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step up the mean log probability."""
-        h, g, c, z = self.forward(b, at)
-        r, n = self.shares(b, at, g, c, z), len(g)
-        r /= r.sum(1, keepdims=True)
-        d = np.empty((n, EXPERTS + CLASSES), np.float32)
-        d[:, :EXPERTS] = r - g
-        np.multiply(c, -(r[:, 2] / z)[:, None], out=d[:, EXPERTS:])
-        d[np.arange(n), EXPERTS + b.cls[at]] += r[:, 2]
-        d /= n
-        gh = (d @ self.parts[3].T) * (1 - h * h)
-        ge = np.zeros(_SHAPES[0], np.float32)
-        one = np.zeros((n, CLASSES + 1), np.float32)
+        h, d, z = self.forward(b, at)
+        r, n = self.shares(b, at, d, z), len(h)
+        r /= r.sum(0) * np.float32(n)
         rows = np.arange(n)
+        # From gates and classes to how their scores should move.
+        d[:EXPERTS] /= -n
+        d[:EXPERTS] += r
+        d[EXPERTS:] *= -(r[2] / z)
+        d[EXPERTS + b.cls[at], rows] += r[2]
+        gh = d.T @ self.parts[3].T
+        gh *= 1 - h * h
+        ge = np.empty(_SHAPES[0], np.float32)
+        one = np.zeros((n, CLASSES + 1), np.float32)
+        rows *= CLASSES + 1
         for k in range(2 * SIDE):
             low = k * (CLASSES + 1)
-            one[rows, b.near[k, at] - low] = 1
-            ge[low : low + CLASSES + 1] = one.T @ gh
-            one[rows, b.near[k, at] - low] = 0
-        for x, grad, a in zip(self.parts, (ge, b.around[at].T @ gh, gh.sum(0), h.T @ d, d.sum(0)), sums, strict=True):
+            here = rows + (b.near[k, at] - low)
+            one.ravel()[here] = 1
+            np.matmul(one.T, gh, out=ge[low : low + CLASSES + 1])
+            one.ravel()[here] = 0
+        ga = b.around[at].T @ gh
+        for x, grad, a in zip(self.parts, (ge, ga[:-1], ga[-1], (d @ h).T, d @ np.ones(n, np.float32)), sums, strict=True):
             a += grad * grad
             x += rate * grad / np.sqrt(a)
 
