@@ -247,6 +247,16 @@ def test_pseudo_likelihood_hears_order_and_not_layout(spark, empty):
     assert pseudo_lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_pseudo_likelihood_of_blocks_without_words(spark):
+    """A block of empty texts alone: a whole table of them, or those that come after a text longer than a block."""
+    blank = [(1, None, "s"), (2, "", "s"), (None, " \n", "s")]
+    long = (0, "a b " * (pseudo_lm.BLOCK // 2 + 1), "s")
+    for rows in (blank, [long, *blank[:2]]):
+        got = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihood(docs(spark, rows)).collect()}
+        assert len(got) == len(rows) and all(got[i]["n_tokens"] == 0 == got[i]["log_likelihood"] and got[i]["mean_log_prob"] is None for i, _, _ in rows if i != 0)
+        assert 0 not in got or got[0]["n_tokens"] == pseudo_lm.BLOCK + 2 and got[0]["unseen_share"] == 1
+
+
 def plain_step(parts, cls, own, pair, totals, rate):
     """One first step over the words of one document by the plain formulas, a row for each word; sums of squares start at 1e-4."""
     e, num, bias, out, out_bias = parts

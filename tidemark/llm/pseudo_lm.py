@@ -392,7 +392,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
             total = np.bincount(doc, p, m)
             some = pa.array(b.lengths == 0)
             mean = lambda x: pa.array(np.bincount(doc, x, m) / np.maximum(b.lengths, 1), mask=some.to_numpy(zero_copy_only=False))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(part.column(0)[0].as_py(), pa.int64()), pa.array(b.lengths), pa.array(total), mean(p), mean(b.novel), mean(p - b.log_alone)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob", "unseen_share", "context_gain"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.column(0)[0].as_py(), pa.int64()), pa.array(b.lengths), pa.array(total, pa.float64()), mean(p), mean(b.novel), mean(p - b.log_alone)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob", "unseen_share", "context_gain"])
 
     kind = "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double, unseen_share double, context_gain double"
     return blocks.where("block >= 0").select("ids", "lengths", "cls", "own", "pair", "novel").mapInArrow(score, kind)
