@@ -209,6 +209,16 @@ def test_moments_round_as_in_sql():
             assert (mean == want["a"][w - 1 :]).all() and (deviation == want["s"][w - 1 :]).all()
 
 
+@pytest.mark.parametrize(("name", "bins"), [("entropy_coarse", 4), ("entropy", 8), ("entropy_fine", 16)])
+def test_entropies_round_as_in_sql(name, bins):
+    """Windows with the same counts in other bins tie but for rounding, so entropies have the digits of the SQL."""
+    x = np.random.default_rng(14).exponential(50, 3000).round(2)
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame({"series_id": "s", "seq": np.arange(len(x)), "ts": 0, "value": x}))
+    want = con.sql(f"WITH s AS (SELECT * FROM t), {Q.signals_sql(names=[name])} SELECT {name} AS e FROM sig WHERE seq >= 29 ORDER BY seq").fetchnumpy()["e"]
+    assert (S.entropy_of(np.lib.stride_tricks.sliding_window_view(x, 30), bins) == want).all()
+
+
 def in_steps(spark, folder, name, where="true"):
     """Rows of a query and of its SQL over events that stand 60 times in a row each."""
     duckdb.sql(f"COPY (SELECT event_id * 60 + i AS event_id, ts, user_id, event_type, value, props FROM '{SF}/events.parquet', range(60) AS r(i) WHERE {where}) TO '{folder}/events.parquet'")
