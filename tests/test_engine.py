@@ -250,6 +250,43 @@ def test_profile_by_pieces(spark):
     assert points == pytest.approx([max(p[max(0, i - 8) : i + 1]) for i in range(120)])
 
 
+def test_best_matches_are_exact():
+    """Single precision only leaves pairs out: results are those of all products in double precision, also where near copies lie closer together than single precision tells, within a block and between two."""
+    rng = np.random.default_rng(15)
+    noise, wave = rng.exponential(50, 5200).round(2), np.sin(np.arange(5200) / 7) + 1e-7 * rng.normal(size=5200)
+    for x, m in ((noise, 20), (wave, 16), (np.concatenate((wave[:900], noise)), 12)):
+        z = ranges.unit_windows(x, m)
+        every = np.arange(len(z))
+        is_open = every % 7 > 0
+        want = ranges.best_match(z, 0, z, 0, m // 2)
+        w = ranges.Windows(x, every, every, is_open)
+        got = ranges.best_matches(w, w, m, m // 2)[0]
+        assert got[is_open] == pytest.approx(want[is_open], abs=1e-15)
+        k = 2100
+        a, b = (ranges.Windows(x, every[part], every[part], is_open[part]) for part in (slice(0, k), slice(k, None)))
+        by_row, by_column = ranges.best_matches(a, b, m, m // 2)
+        assert by_row[a.open] == pytest.approx(ranges.best_match(z[:k], 0, z[k:], k, m // 2)[a.open], abs=1e-15)
+        assert by_column[b.open] == pytest.approx(ranges.best_match(z[k:], k, z[:k], 0, m // 2)[b.open], abs=1e-15)
+
+
+def test_tiles_grow_with_rows(spark):
+    """Blocks of a series do not grow in number with its rows, so what tiles are sent and send back does not grow with the pairs of pieces."""
+    x = np.random.default_rng(16).normal(size=1500)
+    profile = metrics.matrix_profile(rows(spark, x), 9, 25)
+    assert [p for _, p in sorted((r["seq"], r["profile"]) for r in profile.collect())] == pytest.approx(list(ranges.matrix_profile(x, 9)))
+    sent = {}
+
+    def walk(node):
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        for child in [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+        if node.nodeName() == "Exchange":
+            sent[node.id()] = node.metrics().apply("dataSize").value()
+
+    walk(profile._jdf.queryExecution().executedPlan())
+    assert 0 < sum(sent.values()) < 1000 * 1500, sent
+
+
 def test_profile_of_copies(spark):
     """Windows whose values come again far enough away have distance 0 without a comparison; near copies, flat stretches and all others agree with the row by row profile."""
     rng = np.random.default_rng(9)
